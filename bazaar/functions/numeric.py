@@ -50,7 +50,10 @@ def round_ratio(num: Column, den: Column, scale: int, factor: int = 1,
     d = den.cast(_WORK)
     a = F.abs(n) * F.lit(2 * factor * 10 ** scale) + F.abs(d)
     b = F.abs(d) * F.lit(2)
-    q = ((a - a % b) / b).cast("decimal(38,0)")
+    # Quotient precision chosen so quotient * 10^-scale fits decimal(38, scale)
+    # without Spark trimming the scale.
+    q = ((a - a % b) / b).cast(f"decimal({36 - scale},0)")
     signed = F.when((n < 0) != (d < 0), -q).otherwise(q)
-    out = (signed / F.lit(10 ** scale)).cast(f"decimal({precision},{scale})")
+    unit = F.lit("1" if scale == 0 else "0." + "0" * (scale - 1) + "1").cast(f"decimal({scale + 1},{scale})")
+    out = (signed * unit).cast(f"decimal({precision},{scale})")
     return F.when(d != 0, out)

@@ -134,6 +134,23 @@ def core_delivered_revenue(core: Core) -> DataFrame:
     return lines.agg(F.sum(line_revenue()).cast(MONEY_TOTAL).alias("total_core_revenue"))
 
 
+# Averages of per-person ratios are summed as exact decimals (ratios rounded
+# HALF_UP at 10 decimals), so the result does not depend on summation order.
+RATIO_SCALE = 10
+
+
+def exact_aov():
+    """monetary / frequency per person as DECIMAL(38,10)."""
+    return round_ratio(F.col("monetary_total"), F.col("frequency"), RATIO_SCALE, precision=38)
+
+
+def exact_ltv():
+    """(frequency / lifespan) * (monetary / frequency) * 12 = 12 * monetary / lifespan
+    (frequency > 0), as DECIMAL(38,10); NULL when frequency is 0."""
+    v = round_ratio(F.col("monetary_total") * F.lit(12), F.col("lifespan_months"), RATIO_SCALE, precision=38)
+    return F.when(F.col("frequency") != 0, v)
+
+
 def rfm_segment_summary(rfm: DataFrame) -> DataFrame:
     """the analytics.rfm_segment_summary table (without its load timestamp).
 
@@ -144,10 +161,10 @@ def rfm_segment_summary(rfm: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("customers"),
         F.sum("monetary_total").cast(MONEY_TOTAL).alias("revenue_total"),
         exact_mean(F.col("monetary_total")).alias("revenue_avg_per_customer"),
-        F.avg("avg_order_value").alias("avg_order_value"),
+        exact_mean(exact_aov()).alias("avg_order_value"),
         exact_mean(F.col("frequency")).alias("avg_orders_per_customer"),
         exact_mean(F.col("recency_days")).alias("avg_recency_days"),
-        F.avg("ltv_12m_approx").alias("avg_ltv_12m_approx"))
+        exact_mean(exact_ltv()).alias("avg_ltv_12m_approx"))
     return (with_total(seg, "revenue_total", "_all")
             .withColumn("revenue_share", round_ratio(F.col("revenue_total"), F.col("_all"), 6, 1))
             .drop("_all"))
