@@ -9,9 +9,9 @@ position of each row is computed instead as
    high bits, row index inside the partition in the low 33 bits);
 2. cut lineage with a reliable ``checkpoint`` so the range bounds and the tags
    are fixed even if a task is retried;
-3. count rows per partition (one small row per partition), turn the counts
-   into prefix offsets, and broadcast that table — its size is bounded by the
-   partition count, not by the data;
+3. count rows per partition (one small row per partition — bounded by the
+   partition count, not by the data) and turn the counts into prefix offsets,
+   a constant array in the plan;
 4. position = offset[partition] + index inside partition + 1.
 
 Surrogate keys, NTILE buckets and exact percentiles are pure functions of the
@@ -51,20 +51,20 @@ def global_position(df: DataFrame, order_by: Sequence[str | Column], out: str =
                 .sortWithinPartitions(*order)
                 .withColumn("_rid", F.monotonically_increasing_id())
                 .checkpoint(eager=True))
-    part = F.shiftright(F.col("_rid"), 33)
-    counts = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    # p rows, one per range partition: a single-partition window is harmless here.
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "_part",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-        F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    joined = tagged.join(F.broadcast(offsets), part == F.col("_part"))
-    pos = F.col("_off") + F.col("_rid").bitwiseAND(F.lit(_LOW_BITS)) + 1
-    res = joined.withColumn(out, pos.cast("bigint"))
+    part = F.shiftright(F.col("_rid"), 33).cast("int")
+    # One small row per range partition (p is the partition count, not a data
+    # size): prefix offsets become a constant array looked up per row.
+    counts = dict(tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).collect())
+    offsets, run = [], 0
+    for i in range(n):
+        offsets.append(run)
+        run += counts.get(i, 0)
+    offset = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), part + 1)
+    pos = offset + F.col("_rid").bitwiseAND(F.lit(_LOW_BITS)) + 1
+    res = tagged.withColumn(out, pos.cast("bigint"))
     if total:
-        res = res.withColumn(total, F.col("_total").cast("bigint"))
-    return res.drop("_rid", "_part", "_n", "_off", "_total")
+        res = res.withColumn(total, F.lit(run).cast("bigint"))
+    return res.drop("_rid")
 
 
 def surrogate_key(df: DataFrame, name: str, order_by: Sequence[str]) -> DataFrame:

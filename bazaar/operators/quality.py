@@ -81,21 +81,30 @@ def grain_check(df: DataFrame, key: str, rows: str = "rows", distinct: str = "di
               .withColumn(duplicated, F.col(rows) - F.col(distinct)))
 
 
-def assert_keys(df: DataFrame, table: str, unique: Sequence[Sequence[str]] = (),
+def key_violations(df: DataFrame, unique: Sequence[str], not_null: Sequence[str] = ()) -> DataFrame:
+    """One row: number of duplicated key values, and NULL counts per column.
+
+    A single job: the table is grouped by the unique key (partial
+    aggregation), and NULL counts ride along as per-group partial sums.
+    """
+    groups = df.groupBy(*unique).agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in not_null])
+    return groups.agg(F.count_if(F.col("_n") > 1).alias("duplicated_keys"),
+                      *[F.coalesce(F.sum(f"_null_{c}"), F.lit(0)).alias(c) for c in not_null])
+
+
+def assert_keys(df: DataFrame, table: str, unique: Sequence[str] = (),
                 not_null: Sequence[str] = ()) -> DataFrame:
-    """Raise ConstraintViolation if a key is duplicated or a required column is NULL.
+    """Raise ConstraintViolation if ``unique`` is duplicated or a ``not_null`` column is NULL.
 
     Meant for a table that was just written (only the key columns are read
     back).  Returns ``df`` so it can be chained.
     """
-    problems = []
-    if not_null:
-        row = null_count(df, {c: c for c in not_null}).first()
-        problems += [f"{c}: {row[c]} NULL" for c in not_null if row[c]]
-    for keys in unique:
-        dup = duplicate_keys(df.select(*keys), list(keys)).limit(1).collect()
-        if dup:
-            problems.append(f"duplicate {tuple(keys)} e.g. {tuple(dup[0])[:-1]}")
+    row = key_violations(df, list(unique) or list(not_null[:1]), not_null).first()
+    problems = [f"{c}: {row[c]} NULL" for c in not_null if row[c]]
+    if unique and row["duplicated_keys"]:
+        problems.append(f"{row['duplicated_keys']} duplicated {tuple(unique)} values")
     if problems:
         raise ConstraintViolation(f"{table}: " + "; ".join(problems))
     return df
