@@ -51,13 +51,14 @@ def retention(counts: DataFrame, cohort: str, since: str, active: str, size: str
               rate: str, max_since: int = 12, scale: int = 4) -> DataFrame:
     """Active / cohort size (the count at period 0), ROUND(scale), periods 0..max_since.
 
-    ``counts`` has one row per (cohort, period): its size is calendar-bounded.
+    The size is taken with a window over the cohort's own rows instead of a
+    self join, so the cohort pipeline below runs once.  ``counts`` has one
+    row per (cohort, period): calendar-bounded, small.
     """
-    sizes = (counts.where(F.col(since) == 0)
-                   .select(cohort, F.col(active).alias(size)))
-    return (counts.join(sizes, cohort)
-                  .where(F.col(since).between(0, max_since))
-                  .withColumn(rate, round_ratio(F.col(active), F.col(size), scale)))
+    w = Window.partitionBy(cohort)
+    with_size = counts.withColumn(size, F.max(F.when(F.col(since) == 0, F.col(active))).over(w))
+    return (with_size.where(F.col(size).isNotNull() & F.col(since).between(0, max_since))
+                     .withColumn(rate, round_ratio(F.col(active), F.col(size), scale)))
 
 
 def cohort_matrix(ret: DataFrame, cohort: str, since: str, rate: str, max_since: int = 12,
