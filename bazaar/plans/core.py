@@ -138,11 +138,14 @@ class Core:
         return getattr(self, name)
 
 
-# Facts joined and aggregated on order_id downstream are written bucketed by
-# it (same bucket count for both), so revenue-per-order aggregates and
-# order/line joins read co-partitioned files instead of shuffling the largest
-# tables again in every query.
-BUCKETED = {"fact_orders": ["order_id"], "fact_order_items": ["order_id"]}
+# fact_orders is written bucketed by its primary key order_id: every bucket
+# holds about the same number of orders (the key is unique, so no bucket can
+# be hot), and the per-order revenue aggregate of the order lines is shuffled
+# straight into the matching buckets, so joins on order_id never shuffle
+# fact_orders again.  Order lines are NOT bucketed: one order may hold a huge
+# share of all lines, and a bucketed scan would give that bucket to a single
+# task; unbucketed, they are partially aggregated per order before any shuffle.
+BUCKETED = {"fact_orders": ["order_id"]}
 
 
 def bucket_count(spark: SparkSession) -> int:
