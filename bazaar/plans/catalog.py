@@ -82,6 +82,11 @@ PLANS.update({
 })
 PLANS.update({
     "rfm_customer": _on_core(rfm.rfm_customer),
+    "rfm_base": _on_core(rfm.customer_base),
+    "rfm_metrics": _on_core(rfm.rfm_metrics),
+    "rfm_scores": _on_core(rfm.rfm_scored),
+    "rfm_segments": _on_core(rfm.rfm_segmented),
+    "rfm_ltv": _on_core(rfm.rfm_ltv_inputs),
     "rfm_row_count": _on_rfm(rfm.rfm_row_count),
     "rfm_segment_distribution": _on_rfm(rfm.rfm_segment_distribution),
     "rfm_null_check": _on_rfm(rfm.rfm_null_check),

@@ -75,23 +75,34 @@ def rfm_scores(metrics: DataFrame) -> DataFrame:
     return ntile_global(s, 5, [F.col("monetary_total").asc_nulls_last(), tie], "m_score")
 
 
-def rfm_customer(core: Core) -> DataFrame:
-    """the analytics.rfm_customer table (without its load timestamp)."""
+def rfm_scored(core: Core) -> DataFrame:
+    """Metrics + r/f/m scores."""
     metrics = rfm_metrics(core)
     checkpoint_root(metrics.sparkSession)
     # Materialise once: the three range sorts below each re-read it.
-    metrics = metrics.checkpoint(eager=True)
-    s = rfm_scores(metrics)
+    return rfm_scores(metrics.checkpoint(eager=True))
+
+
+def rfm_segmented(core: Core) -> DataFrame:
+    """F1d: scores + score string + segment."""
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
-    aov = safe_ratio(F.col("monetary_total"), F.col("frequency"))
+    return (rfm_scored(core).withColumn("rfm_score", rfm_code(r, f, m))
+                            .withColumn("rfm_segment", rfm_segment(r, f, m)))
+
+
+def rfm_ltv_inputs(core: Core) -> DataFrame:
+    """F1e: segments + lifespan in whole months (at least 1) + average order value."""
     lifespan = F.greatest(F.lit(1), whole_months_between(F.col("last_order_ts"), F.col("first_order_ts")))
-    out = (s.withColumn("rfm_score", rfm_code(r, f, m))
-            .withColumn("rfm_segment", rfm_segment(r, f, m))
+    return (rfm_segmented(core)
             .withColumn("lifespan_months", lifespan.cast("int"))
-            .withColumn("avg_order_value", aov))
+            .withColumn("avg_order_value", safe_ratio(F.col("monetary_total"), F.col("frequency"))))
+
+
+def rfm_customer(core: Core) -> DataFrame:
+    """the analytics.rfm_customer table (without its load timestamp)."""
     ltv = (F.col("frequency").cast("double") / F.col("lifespan_months").cast("double")
            * F.col("avg_order_value") * F.lit(12.0))
-    return out.withColumn("ltv_12m_approx", ltv).select(*RFM_COLUMNS)
+    return rfm_ltv_inputs(core).withColumn("ltv_12m_approx", ltv).select(*RFM_COLUMNS)
 
 
 # -- checks over the rfm table (F2-F8) ----------------------------------------
