@@ -1,8 +1,9 @@
 """Cohorts and retention over the core model.
 
 Cohort = month of a person's first delivered purchase; retention is the
-share of the cohort active in each later month (non-cumulative).  Every query
-starts from the same ``delivered_person_orders`` DataFrame.
+share of the cohort active in each later month (non-cumulative).  Order-grain
+queries start from ``delivered_person_orders``; cohort queries start from the
+distinct person-months, which are reduced before any join.
 """
 
 from __future__ import annotations
@@ -28,13 +29,27 @@ def delivered_person_orders(core: Core) -> DataFrame:
                      month_start(F.col("order_purchase_timestamp")).alias("order_month")))
 
 
+def delivered_person_months(core: Core) -> DataFrame:
+    """Distinct [customer_unique_id, order_month] with a delivered purchase.
+
+    Orders are first reduced to distinct (customer key, month) pairs — a
+    partial aggregation, so a customer with a huge number of orders ships at
+    most one row per month per task — and only then joined to the customer
+    dimension and reduced again per person.
+    """
+    o = (core.fact_orders.where(F.col("order_status") == "delivered")
+         .select("customer_sk", month_start(F.col("order_purchase_timestamp")).alias("order_month"))
+         .distinct())
+    pairs = o.join(core.dim_customers.select("customer_sk", PERSON), "customer_sk")
+    return active_pairs(pairs, PERSON, "order_month")
+
+
 def _cohorts(core: Core) -> DataFrame:
-    pairs = active_pairs(delivered_person_orders(core), PERSON, "order_month")
-    return assign_cohort(pairs, PERSON, "order_month", "cohort_month")
+    return assign_cohort(delivered_person_months(core), PERSON, "order_month", "cohort_month")
 
 
 def _counts(core: Core) -> DataFrame:
-    return active_counts(delivered_person_orders(core), PERSON, "order_month",
+    return active_counts(delivered_person_months(core), PERSON, "order_month",
                          "cohort_month", "months_since", "active_customers")
 
 
@@ -127,6 +142,6 @@ def cohort_size_check(core: Core) -> DataFrame:
 
 def cohort_min_months_since(core: Core) -> DataFrame:
     """Smallest months-since over all activity (never negative)."""
-    pairs = active_pairs(delivered_person_orders(core), PERSON, "order_month")
-    act = cohort_activity(pairs, _cohorts(core), PERSON, "order_month", "cohort_month", "months_since")
+    act = cohort_activity(delivered_person_months(core), _cohorts(core), PERSON, "order_month",
+                          "cohort_month", "months_since")
     return act.agg(F.min("months_since").alias("min_months_since"))

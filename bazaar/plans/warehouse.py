@@ -1,32 +1,66 @@
-"""One source's layers: staging (lazy), core and analytics (written once).
+"""One source's layers: staging, core and analytics, each written once.
 
-Core and analytics tables are written as Parquet under a fresh folder of the
-shared checkpoint root and read back, so every downstream query scans
-columnar files.  A ``Warehouse`` is memoised per (application, source) so a
+Staging, core and analytics tables are written as Parquet under a fresh
+folder of the shared checkpoint root and read back, so every downstream query
+scans columnar files.  A ``Warehouse`` is memoised per (application, source) so a
 session that runs many queries builds each layer once.
 """
 
 from __future__ import annotations
 
 import threading
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
 from bazaar.plans.core import Core, materialize_core, write_table
 from bazaar.plans.rfm import rfm_customer, rfm_segment_summary
 from bazaar.session import apply_semantics, run_folder
-from bazaar.sources.staging import Staging, staging_from_driver
+from bazaar.sources.schemas import STAGING_TABLES
+from bazaar.sources.staging import Staging, staging_from_driver, staging_from_frames
+
+
+def load_staging(spark: SparkSession, raw: Staging, root: str) -> Staging:
+    """Write the nine raw tables once as Parquet (the staging layer) and read them back.
+
+    Raw inputs may come as few large files (or one row group) that a scan
+    cannot split; every table is spread over the session's shuffle
+    parallelism before the write so later scans are parallel.  Tables are written as
+    concurrent jobs.
+    """
+    target = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def load(name):
+        path = f"{root}/{name}"
+        raw.table(name).repartition(target).write.mode("overwrite").parquet(path)
+        return name, spark.read.parquet(path)
+
+    with ThreadPoolExecutor(max_workers=len(STAGING_TABLES)) as pool:
+        return staging_from_frames(dict(pool.map(load, STAGING_TABLES)))
 
 
 class Warehouse:
-    def __init__(self, spark: SparkSession, staging: Staging, root: str | None = None):
+    """Staging (loaded once), core and analytics layers of one source."""
+
+    def __init__(self, spark: SparkSession, raw: Staging, root: str | None = None,
+                 load_raw: bool = True):
         self.spark = spark
-        self.staging = staging
+        self.raw = raw
         self.root = root or run_folder(spark, "warehouse")
+        self._load_raw = load_raw
+        self._staging: Staging | None = None
         self._core: Core | None = None
         self._analytics: dict[str, DataFrame] = {}
         self._lock = threading.RLock()
 
+    @property
+    def staging(self) -> Staging:
+        with self._lock:
+            if self._staging is None:
+                self._staging = (load_staging(self.spark, self.raw, f"{self.root}/staging")
+                                 if self._load_raw else self.raw)
+            return self._staging
+
     @property
     def core(self) -> Core:
         with self._lock:

@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 # Settings every job relies on for correct semantics (not tuning):
 #  * UTC + TIMESTAMP_NTZ inputs keep wall-clock timestamps unshifted;
 #  * ANSI mode makes decimal overflow and x/0 errors instead of silent NULLs,
-#    as in PostgreSQL.
+#    as a SQL database does.
 SEMANTIC_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",

@@ -34,17 +34,22 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     repeat = int(os.environ.get("BENCH_REPEAT", "2"))
-    spark = build_session("bench", cpus=cpus, extra={"spark.ui.showConsoleProgress": "false"})
+    extra = {"spark.ui.showConsoleProgress": "false"}
+    if os.environ.get("BENCH_EVENTLOG_DIR"):  # per-stage timings, read offline
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENTLOG_DIR"]})
+    spark = build_session("bench", cpus=cpus, extra=extra)
     spark.range(1000).selectExpr("sum(id)").collect()  # JVM warm-up
 
     times: dict[str, float] = {}
     wh = warehouse_for(spark, sf_dir)
+    spark.sparkContext.setJobGroup("core_build", "core_build")
     t0 = time.perf_counter()
     wh.core  # noqa: B018 — builds, writes and key-checks the seven core tables
     times["core_build"] = round(time.perf_counter() - t0, 3)
 
     for key in HEADLINE:
         best = None
+        spark.sparkContext.setJobGroup(key, key)
         for _ in range(repeat):
             t0 = time.perf_counter()
             run(PLANS[key](wh))
