@@ -40,7 +40,7 @@ def build_session(app: str = "bazaar", cpus: int | str | None = None,
     b = SparkSession.builder.master(f"local[{cpus}]").appName(app)
     conf = dict(SEMANTIC_CONF)
     conf.update(EXECUTION_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus) * 2)
+    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or int(cpus))
     conf["spark.driver.memory"] = "16g"
     if extra:
         conf.update(extra)

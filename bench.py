@@ -37,7 +37,8 @@ def main() -> None:
     extra = {"spark.ui.showConsoleProgress": "false"}
     if os.environ.get("BENCH_EVENTLOG_DIR"):  # per-stage timings, read offline
         extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENTLOG_DIR"]})
-    spark = build_session("bench", cpus=cpus, extra=extra)
+    parts = os.environ.get("BENCH_SHUFFLE_PARTITIONS")
+    spark = build_session("bench", cpus=cpus, shuffle_partitions=int(parts) if parts else None, extra=extra)
     spark.range(1000).selectExpr("sum(id)").collect()  # JVM warm-up
 
     times: dict[str, float] = {}

@@ -98,3 +98,78 @@ def dirty_tables():
     t["products"] += [PRODUCTS[0], (None,) + PRODUCTS[0][1:]]
     t["order_items"] += [ITEMS[0], ("o2", 2, None, "s2", None, D("-1.00"), D("-0.50"))]
     return t
+
+
+def skewed_tables(seed: int = 11):
+    """A generated staging set with hot keys, heavy ties and every trap class.
+
+    * customer c007 places a third of all orders; persons own two customer ids;
+    * order o00001 holds a third of all order lines; product p001 a third of lines;
+    * frequencies tie massively (most persons order once or twice);
+    * prices carry three decimals (half-up rounding), some amounts are negative;
+    * orphans: orders of unknown customers, lines of unknown products/sellers;
+    * delivered orders without lines; NULL timestamps; month-end purchase times.
+    """
+    import random
+    from datetime import timedelta
+
+    rnd = random.Random(seed)
+    states = ["SP", "RJ", "MG", "RS", "BA"]
+    customers = [(f"c{i:03d}", f"U{i // 2:03d}", f"{rnd.randint(1000, 99999):05d}", f"city{i % 17}",
+                  rnd.choice(states)) for i in range(200)]
+    cats = ["cat_a", "cat_b", "cat_c", "cat_d", "cat_e", "cat_f", "cat_g", None]
+    products = [(f"p{i:03d}", cats[i % len(cats)], rnd.randint(5, 60), rnd.randint(50, 900), rnd.randint(1, 6),
+                 rnd.randint(100, 5000), rnd.randint(5, 50), rnd.randint(5, 50), rnd.randint(5, 50))
+                for i in range(50)]
+    translation = [("cat_a", "A"), ("cat_b", "B"), ("cat_c", "C"), ("cat_d", None), ("cat_e", "E"), ("cat_z", "Z")]
+    sellers = [(f"s{i:02d}", f"{rnd.randint(1000, 99999):05d}", f"city{i % 5}", rnd.choice(states))
+               for i in range(30)]
+
+    base = T(2019, 1, 1)
+    orders = []
+    for i in range(1200):
+        cust = "c007" if i % 3 == 0 else (f"c9{i:02d}" if i % 97 == 5 else f"c{rnd.randint(0, 199):03d}")
+        status = rnd.choices(["delivered", "shipped", "canceled"], [8, 1, 1])[0]
+        if i % 50 == 0:   # month-end purchases at various times of day
+            purchase = T(2020, rnd.choice([1, 3, 5, 7]), 31, rnd.randint(0, 23), rnd.randint(0, 59))
+        else:
+            purchase = base + timedelta(days=rnd.randint(0, 1094), seconds=rnd.randint(0, 86399))
+        approved = None if i % 41 == 0 else purchase + timedelta(hours=rnd.randint(-3, 30))
+        carrier = None if i % 37 == 0 else purchase + timedelta(days=rnd.randint(1, 4))
+        delivered = (purchase + timedelta(days=rnd.randint(0, 20))) if status == "delivered" else None
+        estimated = purchase + timedelta(days=rnd.randint(-2, 30))
+        orders.append((f"o{i:05d}", cust, status, purchase, approved, carrier, delivered, estimated))
+
+    items = []
+    for n in range(1000):   # the hot order
+        items.append(("o00001", n + 1, rnd.choice(["p001", f"p{rnd.randint(0, 49):03d}"]),
+                      f"s{rnd.randint(0, 29):02d}", base, D(f"{rnd.randint(100, 99999)}.{rnd.randint(0, 999):03d}") / 100,
+                      D(rnd.randint(0, 3000)) / 100))
+    for i in range(2, 1200):
+        for n in range(rnd.choice([0, 1, 1, 1, 2, 3])):
+            prod = "p001" if rnd.random() < 0.33 else (f"pX{i}" if i % 211 == 0 else f"p{rnd.randint(0, 49):03d}")
+            sell = f"sX{i}" if i % 223 == 0 else f"s{rnd.randint(0, 29):02d}"
+            price = D(f"{rnd.randint(1, 2000)}.{rnd.randint(0, 999):03d}")
+            freight = D(rnd.randint(-100, 3000)) / 100 if i % 151 == 0 else D(rnd.randint(0, 3000)) / 100
+            items.append((f"o{i:05d}", n + 1, prod, sell, base + timedelta(days=i), price, freight))
+
+    payments = []
+    for i in range(1200):
+        payments.append((f"o{i:05d}", 1, rnd.choice(["credit_card", "boleto", "voucher"]), rnd.randint(1, 10),
+                         D(rnd.randint(-500, 90000)) / 100))
+        if i % 4 == 0:
+            payments.append((f"o{i:05d}", 2, "voucher", 1, D("10.00")))
+
+    reviews = []
+    for j in range(1500):
+        o = f"o{rnd.randint(0, 1199):05d}"
+        created = None if j % 29 == 0 else T(2020, rnd.randint(1, 12), rnd.randint(1, 28))
+        answered = None if j % 31 == 0 else T(2020, rnd.randint(1, 12), rnd.randint(1, 28), rnd.randint(0, 23))
+        reviews.append((f"r{j:05d}", o, rnd.randint(1, 5), None, None, created, answered))
+    reviews.append(("r99999", reviews[0][1], 1, None, None, reviews[0][5], reviews[0][6]))   # exact tie
+
+    return {
+        "orders": orders, "customers": customers, "order_items": items, "sellers": sellers,
+        "products": products, "order_payments": payments, "order_reviews": reviews,
+        "geolocation": GEO, "product_category_name_translation": translation,
+    }
