@@ -23,16 +23,13 @@ from bazaar.sources.staging import Staging, staging_from_driver, staging_from_fr
 def load_staging(spark: SparkSession, raw: Staging, root: str) -> Staging:
     """Write the nine raw tables once as Parquet (the staging layer) and read them back.
 
-    Raw inputs may come as few large files (or one row group) that a scan
-    cannot split; every table is spread over the session's shuffle
-    parallelism before the write so later scans are parallel.  Tables are written as
-    concurrent jobs.
+    One read of the raw inputs, no shuffle: later queries scan columnar files
+    with pruning and pushdown instead of re-parsing raw input.  Tables are
+    written as concurrent jobs.
     """
-    target = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
     def load(name):
         path = f"{root}/{name}"
-        raw.table(name).repartition(target).write.mode("overwrite").parquet(path)
+        raw.table(name).write.mode("overwrite").parquet(path)
         return name, spark.read.parquet(path)
 
     with ThreadPoolExecutor(max_workers=len(STAGING_TABLES)) as pool:

@@ -108,10 +108,20 @@ _SOURCES = {
 }
 
 
+def _source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """Scan one driver table, spread over the session's parallelism if the
+    files cannot be split (each driver table is a single row group)."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    target = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if df.rdd.getNumPartitions() < target:   # a plain scan: no job is run
+        df = df.repartition(target)
+    return df
+
+
 def mapped_staging_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One staging table derived (lazily) from the driver's parquet files."""
     text = MAPPING_SQL[name].replace("{TS}", "TIMESTAMP_NTZ")
-    dfs = {t: spark.read.parquet(f"{sf_dir.rstrip('/')}/{t}.parquet") for t in _SOURCES[name]}
+    dfs = {t: _source(spark, sf_dir, t) for t in _SOURCES[name]}
     return spark.sql(text, **dfs)
 
 
