@@ -57,8 +57,13 @@ def _concurrently(fn, items, workers: int = 8):
         return list(pool.map(fn, items))
 
 
-def run_pipeline(spark: SparkSession, staging: Staging, out: str) -> DataFrame:
-    """Run every layer, write everything under ``out``; return the tests summary."""
+def run_pipeline(spark: SparkSession, staging: Staging, out: str,
+                 catalog_prefix: str | None = None) -> DataFrame:
+    """Run every layer, write everything under ``out``; return the tests summary.
+
+    With ``catalog_prefix`` (possibly "") the layers are also registered as
+    catalog databases ``{prefix}staging``, ``{prefix}core``, ``{prefix}analytics``.
+    """
     out = out.rstrip("/")
 
     def write_check(item):
@@ -84,6 +89,8 @@ def run_pipeline(spark: SparkSession, staging: Staging, out: str) -> DataFrame:
         return name, n, "PASS" if ok else "FAIL"
 
     summary = _concurrently(run_test, list(warehouse_tests(wh).items()))
+    if catalog_prefix is not None:
+        wh.register_catalog(catalog_prefix)
     report = spark.createDataFrame(summary, "test string, rows bigint, status string")
     report.write.mode("overwrite").parquet(f"{out}/reports/tests_summary")
     return spark.read.parquet(f"{out}/reports/tests_summary")
@@ -92,6 +99,8 @@ def run_pipeline(spark: SparkSession, staging: Staging, out: str) -> DataFrame:
 def main(argv=None) -> int:
     ap = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     ap.add_argument("--out", required=True)
+    ap.add_argument("--catalog-prefix", default=None,
+                    help="also register the layers as catalog databases <prefix>staging/core/analytics")
     src = ap.add_mutually_exclusive_group(required=True)
     src.add_argument("--csv-dir", help="folder with <table>.csv for the nine staging tables")
     src.add_argument("--driver-dir", help="folder with the TPC-H-like parquet tables")
@@ -99,7 +108,7 @@ def main(argv=None) -> int:
     spark = SparkSession.getActiveSession() or build_session("bazaar-pipeline")
     staging = (staging_from_files(spark, args.csv_dir, "csv") if args.csv_dir
                else staging_from_driver(spark, args.driver_dir))
-    report = run_pipeline(spark, staging, args.out)
+    report = run_pipeline(spark, staging, args.out, args.catalog_prefix)
     rows = report.orderBy("test").collect()
     for r in rows:
         print(f"{r.test:32s} {r.rows:8d} {r.status}")

@@ -13,7 +13,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaar.plans.core import Core, materialize_core, write_table
+from bazaar.plans.core import CORE_TABLES, Core, materialize_core, write_table
 from bazaar.plans.rfm import rfm_customer, rfm_segment_summary
 from bazaar.session import apply_semantics, run_folder
 from bazaar.sources.schemas import STAGING_TABLES
@@ -58,6 +58,24 @@ class Warehouse:
                                  if self._load_raw else self.raw)
             return self._staging
 
+    def register_catalog(self, prefix: str = "") -> dict[str, list[str]]:
+        """Expose the written layers as catalog databases ``{prefix}staging``,
+        ``{prefix}core`` and ``{prefix}analytics`` (external tables over the
+        written files; metadata only, no data is moved)."""
+        layers = {"staging": {t: self.staging.table(t) for t in STAGING_TABLES},
+                  "core": {t: self.core.table(t) for t in CORE_TABLES},
+                  "analytics": {"rfm_customer": self.rfm, "rfm_segment_summary": self.rfm_summary}}
+        out = {}
+        for layer, tables in layers.items():
+            db = f"{prefix}{layer}"
+            self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
+            for name in tables:
+                path = f"{self.root}/{layer}/{name}"
+                self.spark.sql(f"DROP TABLE IF EXISTS {db}.{name}")
+                self.spark.catalog.createTable(f"{db}.{name}", path=path, source="parquet")
+            out[db] = sorted(tables)
+        return out
+
     @property
     def core(self) -> Core:
         with self._lock:

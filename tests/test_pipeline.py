@@ -9,7 +9,11 @@ from .fixtures import golden_staging
 
 def test_pipeline_on_fixture_writes_every_layer(spark):
     out = tempfile.mkdtemp(prefix="bazaar-pipe-")
-    report = {r.test: (r.rows, r.status) for r in run_pipeline(spark, golden_staging(spark), out).collect()}
+    report = {r.test: (r.rows, r.status)
+              for r in run_pipeline(spark, golden_staging(spark), out, catalog_prefix="gold_").collect()}
+    assert spark.table("gold_core.fact_orders").count() == 8
+    assert spark.sql("SELECT COUNT(*) AS n FROM gold_analytics.rfm_customer").first().n == 3
+    assert spark.table("gold_staging.orders").count() == 9
     for layer, names in {"core": ["dim_customers", "fact_orders", "fact_order_items", "fact_reviews"],
                          "analytics": ["rfm_customer", "rfm_segment_summary"],
                          "reports/staging": ["dq_dup_orders", "dq_unmapped_by_category"]}.items():
