@@ -98,23 +98,26 @@ def ntile_global(df: DataFrame, n: int, order_by: Sequence[str | Column], out: s
 
 
 def percentile_cont_global(df: DataFrame, value: str, fraction: float,
-                           tie_break: Sequence[str], out: str) -> DataFrame:
+                           tie_break: Sequence[str], out: str,
+                           also: Sequence[Column] = ()) -> DataFrame:
     """Exact PERCENTILE_CONT(fraction) WITHIN GROUP (ORDER BY value), one row (DOUBLE).
 
     The two rows bracketing position 1 + fraction * (n - 1) are picked from the
     global order and interpolated; no task ever holds all values.  NULL values
-    are ignored, as in SQL; an empty input yields NULL.
+    are ignored, as in SQL; an empty input yields NULL.  ``also`` holds extra
+    aggregates over ``value`` (e.g. a mean), evaluated on the same
+    materialised rows so the input is computed once.
     """
     vals = df.where(F.col(value).isNotNull()).select(
-        F.col(value).cast("double").alias("_v"), *tie_break)
+        F.col(value).cast("double").alias("_v"), F.col(value), *tie_break)
     ranked = global_position(vals, ["_v", *tie_break], out="_p", total="_t")
     rn = F.lit(1.0) + F.lit(float(fraction)) * (F.col("_t") - 1).cast("double")
     lo, hi = F.floor(rn), F.ceil(rn)
-    picked = ranked.where((F.col("_p") == lo) | (F.col("_p") == hi))
-    agg = picked.agg(F.max(F.when(F.col("_p") == lo, F.col("_v"))).alias("_lo"),
+    agg = ranked.agg(F.max(F.when(F.col("_p") == lo, F.col("_v"))).alias("_lo"),
                      F.max(F.when(F.col("_p") == hi, F.col("_v"))).alias("_hi"),
-                     F.max(rn - lo).alias("_frac"))
-    return agg.select((F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac")).alias(out))
+                     F.max(rn - lo).alias("_frac"), *also)
+    res = agg.withColumn(out, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac"))
+    return res.drop("_lo", "_hi", "_frac")
 
 
 def top_k_ranked(df: DataFrame, measure: str, k: int, tie_break: Sequence[str],

@@ -73,9 +73,9 @@ def delivered_order_revenue(core: Core, *cols: str) -> DataFrame:
 def aov_mean_median(core: Core) -> DataFrame:
     """Mean and exact median (PERCENTILE_CONT 0.5) of delivered order revenue."""
     rev = delivered_order_revenue(core)
-    mean = rev.agg(exact_mean(F.col("order_revenue")).alias("avg_aov_delivered"))
-    median = percentile_cont_global(rev, "order_revenue", 0.5, ["order_id"], "median_aov_delivered")
-    return mean.crossJoin(median)
+    both = percentile_cont_global(rev, "order_revenue", 0.5, ["order_id"], "median_aov_delivered",
+                                  also=[exact_mean(F.col("order_revenue")).alias("avg_aov_delivered")])
+    return both.select("avg_aov_delivered", "median_aov_delivered")
 
 
 def monthly_revenue_growth(core: Core) -> DataFrame:
