@@ -181,34 +181,39 @@ def write_table(df: DataFrame, path: str, name: str, with_created_at: bool = Tru
 def materialize_core(spark: SparkSession, stg: Staging, root: str, parallel: bool = True) -> Core:
     """Build and write the seven core tables under ``root``; return read-backs.
 
-    Independent tables are submitted as concurrent Spark jobs: the three
-    dimensions, payments and reviews first; then orders and order lines,
-    which look up dimension keys.
+    Every table is submitted as its own concurrent Spark job as soon as its
+    inputs exist: dimensions, payments and reviews right away; orders and
+    order lines once the dimensions they look keys up in are written.
     """
     database = "bazaar_" + uuid.uuid4().hex[:12]
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}/_catalog'")
 
     def w(name, build):
-        return name, write_table(build(), f"{root}/{name}", name,
-                                 bucket_by=BUCKETED.get(name), database=database)
-
-    wave1 = {"dim_customers": lambda: build_dim_customers(stg),
-             "dim_products": lambda: build_dim_products(stg),
-             "dim_sellers": lambda: build_dim_sellers(stg),
-             "fact_payments": lambda: build_fact_payments(stg),
-             "fact_reviews": lambda: build_fact_reviews(stg)}
-    t = dict(_run_all(wave1, w, parallel))
-    wave2 = {"fact_orders": lambda: build_fact_orders(stg, t["dim_customers"]),
-             "fact_order_items": lambda: build_fact_order_items(stg, t["dim_products"], t["dim_sellers"])}
-    t.update(_run_all(wave2, w, parallel))
-    return Core(**{n: t[n] for n in CORE_TABLES})
-
-
-def _run_all(builds: dict, fn, parallel: bool):
+        return write_table(build(), f"{root}/{name}", name, bucket_by=BUCKETED.get(name), database=database)
+
     if not parallel:
-        return [fn(n, b) for n, b in builds.items()]
-    with ThreadPoolExecutor(max_workers=len(builds)) as pool:
-        return list(pool.map(lambda kv: fn(*kv), builds.items()))
+        t = {}
+        for name, build in _builds(stg, lambda n: t[n]).items():
+            t[name] = w(name, build)
+        return Core(**t)
+    with ThreadPoolExecutor(max_workers=len(CORE_TABLES)) as pool:
+        futures: dict = {}
+        for name, build in _builds(stg, lambda n: futures[n].result()).items():
+            futures[name] = pool.submit(w, name, build)
+        return Core(**{n: futures[n].result() for n in CORE_TABLES})
+
+
+def _builds(stg: Staging, dim):
+    """Build functions in dependency order; ``dim(name)`` yields a written dimension."""
+    return {
+        "dim_customers": lambda: build_dim_customers(stg),
+        "dim_products": lambda: build_dim_products(stg),
+        "dim_sellers": lambda: build_dim_sellers(stg),
+        "fact_payments": lambda: build_fact_payments(stg),
+        "fact_reviews": lambda: build_fact_reviews(stg),
+        "fact_orders": lambda: build_fact_orders(stg, dim("dim_customers")),
+        "fact_order_items": lambda: build_fact_order_items(stg, dim("dim_products"), dim("dim_sellers")),
+    }
 
 
 def lazy_core(stg: Staging) -> Core:

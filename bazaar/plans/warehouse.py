@@ -17,23 +17,27 @@ from bazaar.plans.core import CORE_TABLES, Core, materialize_core, write_table
 from bazaar.plans.rfm import rfm_customer, rfm_segment_summary
 from bazaar.session import apply_semantics, run_folder
 from bazaar.sources.schemas import STAGING_TABLES
-from bazaar.sources.staging import Staging, staging_from_driver, staging_from_frames
+from bazaar.sources.staging import Staging, staging_from_driver
 
 
 def load_staging(spark: SparkSession, raw: Staging, root: str) -> Staging:
     """Write the nine raw tables once as Parquet (the staging layer) and read them back.
 
     One read of the raw inputs, no shuffle: later queries scan columnar files
-    with pruning and pushdown instead of re-parsing raw input.  Tables are
-    written as concurrent jobs.
+    with pruning and pushdown instead of re-parsing raw input.  The tables
+    are loaded as concurrent jobs; the returned Staging hands out each table
+    as soon as its own load has finished, so builds that need only small
+    tables do not wait for the largest one.
     """
     def load(name):
         path = f"{root}/{name}"
         raw.table(name).write.mode("overwrite").parquet(path)
-        return name, spark.read.parquet(path)
+        return spark.read.parquet(path)
 
-    with ThreadPoolExecutor(max_workers=len(STAGING_TABLES)) as pool:
-        return staging_from_frames(dict(pool.map(load, STAGING_TABLES)))
+    pool = ThreadPoolExecutor(max_workers=len(STAGING_TABLES))
+    futures = {name: pool.submit(load, name) for name in STAGING_TABLES}
+    pool.shutdown(wait=False)
+    return Staging(lambda name: futures[name].result())
 
 
 class Warehouse:

@@ -29,6 +29,9 @@ EXECUTION_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.ui.enabled": "false",
+    # Independent table builds are submitted as concurrent jobs; FAIR lets a
+    # small job's tasks run beside a large one instead of queueing behind it.
+    "spark.scheduler.mode": "FAIR",
 }
 
 

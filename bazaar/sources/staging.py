@@ -7,6 +7,7 @@ quoted multi-line text, FAILFAST on malformed rows) or Parquet; the
 
 from __future__ import annotations
 
+import threading
 from dataclasses import dataclass, field
 from typing import Callable
 
@@ -44,13 +45,17 @@ class Staging:
 
     loader: Callable[[str], DataFrame]
     _cache: dict = field(default_factory=dict)
+    _lock: threading.RLock = field(default_factory=threading.RLock)
 
     def table(self, name: str) -> DataFrame:
         if name not in STAGING_SCHEMAS:
             raise KeyError(name)
-        if name not in self._cache:
-            self._cache[name] = self.loader(name)
-        return self._cache[name]
+        with self._lock:
+            if name in self._cache:
+                return self._cache[name]
+        df = self.loader(name)   # may wait for a load: never under the lock
+        with self._lock:
+            return self._cache.setdefault(name, df)
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or name not in STAGING_SCHEMAS:
