@@ -59,7 +59,7 @@ def global_position(df: DataFrame, order_by: Sequence[str | Column], out: str =
     for i in range(n):
         offsets.append(run)
         run += counts.get(i, 0)
-    offset = F.element_at(F.array(*[F.lit(o).cast("bigint") for o in offsets]), part + 1)
+    offset = F.element_at(F.lit(offsets).cast("array<bigint>"), part + 1)   # one array literal
     pos = offset + F.col("_rid").bitwiseAND(F.lit(_LOW_BITS)) + 1
     res = tagged.withColumn(out, pos.cast("bigint"))
     if total:

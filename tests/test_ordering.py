@@ -83,3 +83,9 @@ def test_ntile_plan_has_no_single_partition_exchange(spark, skewed):
     ranked = ntile_global(skewed, 5, [F.col("freq"), F.col("id")], "b")
     plan = ranked._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_global_position_with_many_mostly_empty_partitions(spark):
+    df = spark.createDataFrame([(f"k{i:03d}",) for i in range(50)], "k string")
+    got = global_position(df, ["k"], out="pos", num_partitions=400).orderBy("k").collect()
+    assert [r.pos for r in got] == list(range(1, 51))
