@@ -11,7 +11,7 @@ plan.  Sub-packages:
 * ``operators`` — reusable DataFrame -> DataFrame operators (quality checks,
                   distributed global ordering, latest-per-key, shares, cohorts)
 * ``plans``     — the query catalogue: staging checks, star-schema builds,
-                  metrics, cohorts, RFM/LTV, tests, and the pipeline runner
+                  metrics, cohorts, RFM/LTV, tests, and the full warehouse build
 * ``streaming`` — intentionally empty (the source workload is batch only)
 """
 

@@ -52,7 +52,7 @@ def retention(counts: DataFrame, cohort: str, since: str, active: str, size: str
     """Active / cohort size (the count at period 0), ROUND(scale), periods 0..max_since.
 
     The size is taken with a window over the cohort's own rows instead of a
-    self join, so the cohort pipeline below runs once.  ``counts`` has one
+    self join, so the cohort computation below runs once.  ``counts`` has one
     row per (cohort, period): calendar-bounded, small.
     """
     w = Window.partitionBy(cohort)

@@ -1,6 +1,6 @@
-"""Full pipeline run: staging -> checks -> core -> analytics -> tests.
+"""Full warehouse build: staging -> checks -> core -> analytics -> tests.
 
-    python -m bazaar.plans.pipeline --out OUT (--csv-dir DIR | --driver-dir DIR)
+    python -m bazaar.plans.build --out OUT (--csv-dir DIR | --driver-dir DIR)
 
 Writes, under OUT:
   core/<table>               the seven star-schema tables (Parquet)
@@ -57,7 +57,7 @@ def _concurrently(fn, items, workers: int = 8):
         return list(pool.map(fn, items))
 
 
-def run_pipeline(spark: SparkSession, staging: Staging, out: str,
+def build_warehouse(spark: SparkSession, staging: Staging, out: str,
                  catalog_prefix: str | None = None) -> DataFrame:
     """Run every layer, write everything under ``out``; return the tests summary.
 
@@ -105,10 +105,10 @@ def main(argv=None) -> int:
     src.add_argument("--csv-dir", help="folder with <table>.csv for the nine staging tables")
     src.add_argument("--driver-dir", help="folder with the TPC-H-like parquet tables")
     args = ap.parse_args(argv)
-    spark = SparkSession.getActiveSession() or build_session("bazaar-pipeline")
+    spark = SparkSession.getActiveSession() or build_session("bazaar-build")
     staging = (staging_from_files(spark, args.csv_dir, "csv") if args.csv_dir
                else staging_from_driver(spark, args.driver_dir))
-    report = run_pipeline(spark, staging, args.out, args.catalog_prefix)
+    report = build_warehouse(spark, staging, args.out, args.catalog_prefix)
     rows = report.orderBy("test").collect()
     for r in rows:
         print(f"{r.test:32s} {r.rows:8d} {r.status}")

@@ -87,7 +87,7 @@ def rfm_segmented(core: Core) -> DataFrame:
     """F1d: scores + score string + segment."""
     r, f, m = F.col("r_score"), F.col("f_score"), F.col("m_score")
     return (rfm_scored(core).withColumn("rfm_score", rfm_code(r, f, m))
-                            .withColumn("rfm_segment", rfm_segment(r, f, m)))
+                            .withColumn("rfm_segment", rfm_segment("r_score", "f_score", "m_score")))
 
 
 def rfm_ltv_inputs(core: Core) -> DataFrame:

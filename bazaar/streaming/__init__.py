@@ -2,5 +2,5 @@
 
 The workload is a sequence of batch jobs over static tables; it has no event
 streams, watermarks or windows over time, so no Structured Streaming query is
-defined.  Batch entry points live in ``bazaar.plans.pipeline``.
+defined.  The batch entry point is ``bazaar.plans.build``.
 """

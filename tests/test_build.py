@@ -1,16 +1,16 @@
 import os
 import tempfile
 
-from bazaar.plans.pipeline import run_pipeline
+from bazaar.plans.build import build_warehouse
 from bazaar.sources.staging import staging_from_driver
 
 from .fixtures import golden_staging
 
 
-def test_pipeline_on_fixture_writes_every_layer(spark):
-    out = tempfile.mkdtemp(prefix="bazaar-pipe-")
+def test_build_on_fixture_writes_every_layer(spark):
+    out = tempfile.mkdtemp(prefix="bazaar-build-")
     report = {r.test: (r.rows, r.status)
-              for r in run_pipeline(spark, golden_staging(spark), out, catalog_prefix="gold_").collect()}
+              for r in build_warehouse(spark, golden_staging(spark), out, catalog_prefix="gold_").collect()}
     assert spark.table("gold_core.fact_orders").count() == 8
     assert spark.sql("SELECT COUNT(*) AS n FROM gold_analytics.rfm_customer").first().n == 3
     assert spark.table("gold_staging.orders").count() == 9
@@ -28,7 +28,7 @@ def test_pipeline_on_fixture_writes_every_layer(spark):
     assert "created_at" in rfm.columns and rfm.count() == 3
 
 
-def test_pipeline_on_driver_tables_passes(spark):
-    out = tempfile.mkdtemp(prefix="bazaar-pipe-")
-    report = run_pipeline(spark, staging_from_driver(spark, "/root/testdata/sf0.001"), out).collect()
+def test_build_on_driver_tables_passes(spark):
+    out = tempfile.mkdtemp(prefix="bazaar-build-")
+    report = build_warehouse(spark, staging_from_driver(spark, "/root/testdata/sf0.001"), out).collect()
     assert len(report) == 15 and all(r.status == "PASS" for r in report)

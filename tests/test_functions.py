@@ -83,7 +83,7 @@ def _segment_rule(r, f, m):
 def test_rfm_segments_all_125_cells(spark):
     triples = list(itertools.product(range(1, 6), repeat=3))
     df = spark.createDataFrame(triples, "r int, f int, m int")
-    out = df.select("r", "f", "m", rfm_segment(F.col("r"), F.col("f"), F.col("m")).alias("s"),
+    out = df.select("r", "f", "m", rfm_segment("r", "f", "m").alias("s"),
                     rfm_code(F.col("r"), F.col("f"), F.col("m")).alias("code")).collect()
     counts = {}
     for row in out:
