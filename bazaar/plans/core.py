@@ -178,14 +178,16 @@ def write_table(df: DataFrame, path: str, name: str, with_created_at: bool = Tru
     return back.drop("created_at")
 
 
-def materialize_core(spark: SparkSession, stg: Staging, root: str, parallel: bool = True) -> Core:
+def materialize_core(spark: SparkSession, stg: Staging, root: str, parallel: bool = True,
+                     database: str | None = None) -> Core:
     """Build and write the seven core tables under ``root``; return read-backs.
 
     Every table is submitted as its own concurrent Spark job as soon as its
     inputs exist: dimensions, payments and reviews right away; orders and
-    order lines once the dimensions they look keys up in are written.
+    order lines once the dimensions they look keys up in are written.  The
+    bucketed table is registered (external, metadata only) in ``database``.
     """
-    database = "bazaar_" + uuid.uuid4().hex[:12]
+    database = database or "bazaar_" + uuid.uuid4().hex[:12]
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}/_catalog'")
 
     def w(name, build):

@@ -9,6 +9,7 @@ session that runs many queries builds each layer once.
 from __future__ import annotations
 
 import threading
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +54,12 @@ class Warehouse:
         self._core: Core | None = None
         self._analytics: dict[str, DataFrame] = {}
         self._lock = threading.RLock()
+        # catalog database holding the bucketed core table's metadata
+        self.database = "bazaar_" + uuid.uuid4().hex[:12]
+
+    def close(self) -> None:
+        """Drop this warehouse's catalog metadata (written files are kept)."""
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
 
     @property
     def staging(self) -> Staging:
@@ -84,7 +91,8 @@ class Warehouse:
     def core(self) -> Core:
         with self._lock:
             if self._core is None:
-                self._core = materialize_core(self.spark, self.staging, f"{self.root}/core")
+                self._core = materialize_core(self.spark, self.staging, f"{self.root}/core",
+                                              database=self.database)
             return self._core
 
     def _analytics_table(self, name: str, build) -> DataFrame:

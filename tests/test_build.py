@@ -32,3 +32,35 @@ def test_build_on_driver_tables_passes(spark):
     out = tempfile.mkdtemp(prefix="bazaar-build-")
     report = build_warehouse(spark, staging_from_driver(spark, "/root/testdata/sf0.001"), out).collect()
     assert len(report) == 15 and all(r.status == "PASS" for r in report)
+
+
+def test_build_from_csv_files(spark):
+    """The raw-file path: CSV with header, quoted multi-line text, plain timestamps."""
+    from bazaar.sources.staging import staging_from_files
+
+    from .fixtures import frames
+
+    raw = tempfile.mkdtemp(prefix="bazaar-csv-")
+    for name, df in frames(spark).items():
+        (df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"')
+           .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").csv(f"{raw}/{name}.csv"))
+    stg = staging_from_files(spark, raw, "csv")
+    assert stg.order_reviews.where("review_id = 'r4'").first().review_comment_message == "multi\nline"
+    out = tempfile.mkdtemp(prefix="bazaar-build-")
+    report = {r.test: r.status for r in build_warehouse(spark, stg, out).collect()}
+    assert report["t_revenue_reconciliation"] == "PASS" and report["t_negative_payments"] == "FAIL"
+    rfm = {r.customer_unique_id: r for r in spark.read.parquet(f"{out}/analytics/rfm_customer").collect()}
+    assert sorted(rfm) == ["U1", "U3", "U5"] and str(rfm["U1"].monetary_total) == "33.13"
+
+
+def test_close_drops_catalog_metadata_only(spark):
+    from bazaar.plans.warehouse import Warehouse
+
+    from .fixtures import golden_staging
+
+    wh = Warehouse(spark, golden_staging(spark))
+    n = wh.core.fact_orders.count()
+    assert spark.catalog.databaseExists(wh.database)
+    wh.close()
+    assert not spark.catalog.databaseExists(wh.database)
+    assert spark.read.parquet(f"{wh.root}/core/fact_orders").count() == n
