@@ -29,16 +29,21 @@ def _staging_table(name: str):
     return lambda wh: wh.staging.table(name)
 
 
+def _wraps(fn, plan):
+    plan.__wrapped__ = fn
+    return plan
+
+
 def _on_staging(fn):
-    return lambda wh: fn(wh.staging)
+    return _wraps(fn, lambda wh: fn(wh.staging))
 
 
 def _on_core(fn):
-    return lambda wh: fn(wh.core)
+    return _wraps(fn, lambda wh: fn(wh.core))
 
 
 def _on_rfm(fn):
-    return lambda wh: fn(wh.rfm)
+    return _wraps(fn, lambda wh: fn(wh.rfm))
 
 
 # key -> function of a Warehouse
