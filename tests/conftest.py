@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,7 +12,8 @@ from bazaar.session import build_session, checkpoint_root  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     s = build_session("bazaar-tests", cpus=4, shuffle_partitions=8,
-                      extra={"spark.ui.showConsoleProgress": "false"})
+                      extra={"spark.ui.showConsoleProgress": "false",
+                             "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="bazaar-wh-")})
     checkpoint_root(s)
     yield s
     s.stop()
