@@ -95,9 +95,10 @@ def cohort_assignment(core: Core) -> DataFrame:
 
 def cohort_assignment_check(core: Core) -> DataFrame:
     """E7"""
-    g = grain_check(_cohorts(core), PERSON, "cohort_rows", "distinct_customers", "duplicated_customers")
-    nulls = _cohorts(core).agg(_null_flag_sum("cohort_month", "null_cohort_month"))
-    return g.crossJoin(nulls)
+    c = _cohorts(core)
+    return (c.agg(F.count(F.lit(1)).alias("cohort_rows"), F.count_distinct(PERSON).alias("distinct_customers"),
+                  _null_flag_sum("cohort_month", "null_cohort_month"))
+             .withColumn("duplicated_customers", F.col("cohort_rows") - F.col("distinct_customers")))
 
 
 def cohort_sizes(core: Core) -> DataFrame:

@@ -5,7 +5,7 @@
 Steps: start the session and warm the JVM (untimed), build and write the core
 layer once ("core_build"), then run each headline query to completion with
 the no-op sink (full execution, nothing collected).  Each query is run
-``BENCH_REPEAT`` times (default 2) and the best time is reported.
+``BENCH_REPEAT`` times (default 3) and the best time is reported.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ def run(df) -> None:
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    repeat = int(os.environ.get("BENCH_REPEAT", "2"))
+    repeat = int(os.environ.get("BENCH_REPEAT", "3"))
     extra = {"spark.ui.showConsoleProgress": "false"}
     if os.environ.get("BENCH_EVENTLOG_DIR"):  # per-stage timings, read offline
         extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": os.environ["BENCH_EVENTLOG_DIR"]})
