@@ -32,6 +32,8 @@ EXECUTION_CONF = {
     # Independent table builds are submitted as concurrent jobs; FAIR lets a
     # small job's tasks run beside a large one instead of queueing behind it.
     "spark.scheduler.mode": "FAIR",
+    # Remove checkpoint files of global-order steps once nothing references them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
