@@ -42,8 +42,8 @@ CORE_KEYS = {
 
 
 def _both_present_and_before(a: str, b: str):
-    """a < b with both sides known; FALSE (never NULL) otherwise."""
-    return (F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) < F.col(b)))
+    """a < b with both sides known; FALSE (never NULL) when either is missing."""
+    return F.coalesce(F.col(a) < F.col(b), F.lit(False))
 
 
 def build_dim_customers(stg: Staging) -> DataFrame:
