@@ -6,7 +6,7 @@ from decimal import Decimal as D
 import pytest
 
 from bazaar.operators.quality import ConstraintViolation
-from bazaar.plans import checks, cleaning, cohorts, core, metrics, rfm
+from bazaar.plans import checks, cleaning, cohorts, metrics, rfm
 from bazaar.plans.warehouse import Warehouse
 
 from .fixtures import dirty_tables, golden_staging
