@@ -120,6 +120,21 @@ def percentile_cont_global(df: DataFrame, value: str, fraction: float,
     return res.drop("_lo", "_hi", "_frac")
 
 
+def rank_desc(df: DataFrame, measure: str, tie_break: Sequence[str], out: str) -> DataFrame:
+    """RANK() OVER (ORDER BY measure DESC) for every row, without a single-partition window.
+
+    Rows get their global position in (measure DESC NULLS FIRST, tie_break)
+    order; a row's RANK is the smallest position among rows with the same
+    measure (ties share it, gaps follow).  That minimum is one aggregate per
+    distinct value, joined back null-safely (NULL measures are peers).
+    """
+    order = [F.col(measure).desc_nulls_first(), *[F.col(c).asc_nulls_last() for c in tie_break]]
+    ranked = global_position(df, order, out="_rpos")
+    first = ranked.groupBy(F.col(measure).alias("_rv")).agg(F.min("_rpos").alias(out))
+    joined = ranked.join(first, ranked[measure].eqNullSafe(first["_rv"]))
+    return joined.drop("_rv", "_rpos").withColumn(out, F.col(out).cast("int"))
+
+
 def top_k_ranked(df: DataFrame, measure: str, k: int, tie_break: Sequence[str],
                  rank_col: str) -> DataFrame:
     """The k rows with the largest ``measure`` plus their RANK() over the whole table.

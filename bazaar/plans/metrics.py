@@ -7,12 +7,12 @@ percentages are exact DECIMALs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.functions.dates import month_start
 from bazaar.functions.numeric import MONEY_TOTAL, exact_mean, money_sum
-from bazaar.operators.ordering import percentile_cont_global, top_k_ranked
+from bazaar.operators.ordering import percentile_cont_global, rank_desc, top_k_ranked
 from bazaar.operators.windows import period_growth, share_of_total
 from bazaar.plans.core import Core
 
@@ -98,18 +98,14 @@ def _revenue_by(core: Core, key: str) -> DataFrame:
 
 
 def category_performance(core: Core) -> DataFrame:
-    """Delivered revenue per English category, RANK and % of total.
-
-    One row per category (a bounded taxonomy), so the RANK window is small.
-    """
+    """Delivered revenue per English category, RANK and % of total."""
     per_product = _revenue_by(core, "product_sk")
     cats = (per_product.join(core.dim_products.select("product_sk", "product_category_name_english"),
                              "product_sk")
             .groupBy(F.col("product_category_name_english").alias("category"))
             .agg(F.sum("revenue").cast(MONEY_TOTAL).alias("revenue")))
     shared = share_of_total(cats, "revenue", "pct_of_delivered_revenue", 2)
-    ranked = shared.withColumn("category_rank",
-                               F.rank().over(Window.orderBy(F.col("revenue").desc_nulls_first())))
+    ranked = rank_desc(shared, "revenue", ["category"], "category_rank")
     return (ranked.select("category_rank", "category", "revenue", "pct_of_delivered_revenue")
                   .orderBy(F.col("revenue").desc_nulls_first(), "category"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from bazaar.operators.ordering import (global_position, ntile_global, percentile_cont_global,
-                                      surrogate_key, top_k_ranked)
+                                      rank_desc, surrogate_key, top_k_ranked)
 
 
 @pytest.fixture(scope="module")
@@ -89,3 +89,14 @@ def test_global_position_with_many_mostly_empty_partitions(spark):
     df = spark.createDataFrame([(f"k{i:03d}",) for i in range(50)], "k string")
     got = global_position(df, ["k"], out="pos", num_partitions=400).orderBy("k").collect()
     assert [r.pos for r in got] == list(range(1, 51))
+
+
+def test_rank_desc_matches_window_rank_with_ties_and_nulls(spark):
+    rnd = random.Random(9)
+    rows = [(f"c{i:04d}", None if i % 97 == 0 else float(rnd.choice([5, 5, 5, 7, 9, rnd.randint(0, 100)])))
+            for i in range(1500)]
+    df = spark.createDataFrame(rows, "cat string, revenue double")
+    got = rank_desc(df, "revenue", ["cat"], "rk")
+    want = df.withColumn("w", F.rank().over(Window.orderBy(F.col("revenue").desc_nulls_first())))
+    assert got.count() == 1500
+    assert got.join(want, "cat").where(F.col("rk") != F.col("w")).count() == 0

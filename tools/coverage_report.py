@@ -58,7 +58,7 @@ OPERATORS = [
     ("delivered_orders", "bazaar.plans.metrics.delivered_orders, bazaar.plans.cohorts.delivered_person_orders"),
     ("share_of_total", "bazaar.operators.windows.share_of_total (exact decimal, one-row total)"),
     ("period_growth", "bazaar.operators.windows.period_growth"),
-    ("rank_desc", "bazaar.operators.ordering.top_k_ranked (D7); bounded RANK window (D6)"),
+    ("rank_desc", "bazaar.operators.ordering.rank_desc (D6), top_k_ranked (D7)"),
     ("assign_cohort, cohort_activity, active_counts, retention, cohort_matrix", "bazaar.operators.cohorts"),
     ("ntile_global", "bazaar.operators.ordering.ntile_global"),
     ("whole_months_between", "bazaar.functions.dates.whole_months_between"),
