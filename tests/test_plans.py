@@ -44,3 +44,37 @@ def test_revenue_pre_aggregated_before_join(wh):
     # order lines are partially aggregated per order_id below the join
     below_join = p[p.index("Join"):]
     assert "HashAggregate(keys=[order_id" in below_join and "partial_sum" in below_join
+
+
+def _below_first_join(p: str) -> str:
+    return p[p.index("Join"):]
+
+
+def test_cohorts_dedup_customer_months_before_customer_join(wh):
+    from bazaar.plans import cohorts
+    p = plan(cohorts.cohort_sizes(wh.core))
+    assert "HashAggregate(keys=[customer_sk" in _below_first_join(p)
+
+
+def test_distinct_customers_before_customer_join(wh):
+    p = plan(metrics.unique_customers_delivered(wh.core))
+    assert "HashAggregate(keys=[customer_sk" in _below_first_join(p)
+
+
+def test_rfm_base_aggregates_per_customer_key_before_person(wh):
+    from bazaar.plans import rfm
+    p = plan(rfm.customer_base(wh.core))
+    # the per-customer-key aggregate feeds the dimension join; the per-person one sits above it
+    assert "HashAggregate(keys=[customer_sk" in _below_first_join(p)
+    assert p.index("HashAggregate(keys=[customer_unique_id") < p.index("Join")
+
+
+def test_orders_read_bucketed_in_revenue_join(spark, wh):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(metrics.revenue_total_vs_delivered(wh.core))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in p and "Bucketed: true" in p
+    # only the pre-aggregated order lines are shuffled for the join
+    assert p.count("Exchange hashpartitioning") == 1
