@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from bazaar.plans.core import CORE_TABLES, Core, materialize_core, write_table
 from bazaar.plans.rfm import rfm_customer, rfm_segment_summary
-from bazaar.session import apply_semantics, run_folder
+from bazaar.session import app_id, apply_semantics, run_folder
 from bazaar.sources.schemas import STAGING_TABLES
 from bazaar.sources.staging import Staging, staging_from_driver
 
@@ -120,7 +120,7 @@ _REG_LOCK = threading.Lock()
 def warehouse_for(spark: SparkSession, sf_dir: str) -> Warehouse:
     """The memoised warehouse over the driver's tables in ``sf_dir``."""
     apply_semantics(spark)
-    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
+    key = (app_id(spark), sf_dir.rstrip("/"))
     with _REG_LOCK:
         if key not in _WAREHOUSES:
             _WAREHOUSES[key] = Warehouse(spark, staging_from_driver(spark, sf_dir))

@@ -63,6 +63,19 @@ def apply_semantics(spark: SparkSession) -> None:
         spark.conf.set(k, v)
 
 
+def _context(spark: SparkSession):
+    """The SparkContext of a classic session; None under Spark Connect."""
+    try:
+        return spark.sparkContext
+    except Exception:  # noqa: BLE001 — Connect sessions have no SparkContext
+        return None
+
+
+def app_id(spark: SparkSession) -> str:
+    sc = _context(spark)
+    return sc.applicationId if sc is not None else spark.conf.get("spark.app.id", "app")
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -70,13 +83,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     registered; on a non-local master a missing setting is an error, because
     a machine-local folder would not survive executor loss.
     """
-    sc = spark.sparkContext
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    sc = _context(spark)
+    d = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not d:
-        if not sc.master.startswith("local"):
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="bazaar-ckpt-")
-    if sc.getCheckpointDir() is None:
+        if sc is None:
+            spark.conf.set("spark.checkpoint.dir", d)
+    if sc is not None and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
     return d
 
@@ -84,5 +100,4 @@ def checkpoint_root(spark: SparkSession) -> str:
 def run_folder(spark: SparkSession, *parts: str) -> str:
     """A fresh sub-folder of the shared checkpoint root for this application."""
     root = checkpoint_root(spark).rstrip("/")
-    app = spark.sparkContext.applicationId
-    return "/".join([root, f"bazaar-{app}", *parts, uuid.uuid4().hex[:8]])
+    return "/".join([root, f"bazaar-{app_id(spark)}", *parts, uuid.uuid4().hex[:8]])

@@ -118,7 +118,11 @@ def _source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     files cannot be split (each driver table is a single row group)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
     target = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    if df.rdd.getNumPartitions() < target:   # a plain scan: no job is run
+    try:
+        spread = df.rdd.getNumPartitions() < target   # a plain scan: no job is run
+    except Exception:  # noqa: BLE001 — no RDD view (Spark Connect): always spread
+        spread = True
+    if spread:
         key = _SPREAD_KEY.get(table)
         df = df.repartition(target, key) if key else df.repartition(target)
     return df
