@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import uuid
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,10 +133,22 @@ class Core:
     fact_order_items: DataFrame
     fact_payments: DataFrame
     fact_reviews: DataFrame
+    paths: dict = field(default_factory=dict)   # table -> written folder
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
+    def files(self, name: str) -> DataFrame:
+        """The table read as plain files, without its bucket spec.
+
+        A join of raw order lines with orders must shuffle both sides: AQE
+        can only split a hot order's partition when both join inputs are
+        shuffle stages, and a bucketed side is not.
+        """
+        df = self.table(name)
+        path = self.paths.get(name)
+        return df.sparkSession.read.parquet(path).drop("created_at") if path else df
+
 
 # fact_orders is written bucketed by its primary key order_id: every bucket
 # holds about the same number of orders (the key is unique, so no bucket can
@@ -193,16 +205,17 @@ def materialize_core(spark: SparkSession, stg: Staging, root: str, parallel: boo
     def w(name, build):
         return write_table(build(), f"{root}/{name}", name, bucket_by=BUCKETED.get(name), database=database)
 
+    paths = {n: f"{root}/{n}" for n in CORE_TABLES}
     if not parallel:
         t = {}
         for name, build in _builds(stg, lambda n: t[n]).items():
             t[name] = w(name, build)
-        return Core(**t)
+        return Core(**t, paths=paths)
     with ThreadPoolExecutor(max_workers=len(CORE_TABLES)) as pool:
         futures: dict = {}
         for name, build in _builds(stg, lambda n: futures[n].result()).items():
             futures[name] = pool.submit(w, name, build)
-        return Core(**{n: futures[n].result() for n in CORE_TABLES})
+        return Core(**{n: futures[n].result() for n in CORE_TABLES}, paths=paths)
 
 
 def _builds(stg: Staging, dim):

@@ -20,7 +20,7 @@ from bazaar.operators.ordering import ntile_global
 from bazaar.operators.quality import duplicate_keys, null_count
 from bazaar.operators.windows import with_total
 from bazaar.plans.core import Core
-from bazaar.plans.metrics import DELIVERED, line_revenue, revenue_per_order
+from bazaar.plans.metrics import DELIVERED, revenue_per_order
 from bazaar.session import checkpoint_root
 
 PERSON = "customer_unique_id"
@@ -139,10 +139,14 @@ def rfm_total_revenue(rfm: DataFrame) -> DataFrame:
 
 
 def core_delivered_revenue(core: Core) -> DataFrame:
-    """F8: SUM(price + freight) over lines of delivered orders."""
-    lines = core.fact_order_items.join(
+    """F8: SUM(price + freight) over lines of delivered orders.
+
+    Summed per order first (exact decimals, so the total is identical): the
+    join then sees one row per order, whatever an order's number of lines.
+    """
+    rev = revenue_per_order(core.fact_order_items).join(
         core.fact_orders.where(F.col("order_status") == DELIVERED).select("order_id"), "order_id")
-    return lines.agg(F.sum(line_revenue()).cast(MONEY_TOTAL).alias("total_core_revenue"))
+    return rev.agg(F.sum("order_revenue").cast(MONEY_TOTAL).alias("total_core_revenue"))
 
 
 # Averages of per-person ratios are summed as exact decimals (ratios rounded
