@@ -5,7 +5,9 @@
 Writes, under OUT:
   core/<table>               the seven star-schema tables (Parquet)
   analytics/<table>          rfm_customer, rfm_segment_summary (Parquet)
-  reports/staging/<check>    each staging data-quality check (Parquet)
+  reports/staging/<check>    each row-level staging check (duplicates, orphans,
+                             distributions, unmapped categories)
+  reports/staging/<t>_counts NULL-key and rule-violation counts of table <t>, one scan each
   reports/tests/<test>       each warehouse test's rows (Parquet)
   reports/tests_summary      one row per test: rows returned, PASS/FAIL
 A test passes when it returns no rows, or when every returned status is PASS.

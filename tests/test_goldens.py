@@ -181,3 +181,15 @@ def test_rfm_checks_and_reconciliation(wh):
 def test_row_count_tests_pass(wh):
     got = rows(checks.t_row_counts(wh.staging), "table_name", "status")
     assert len(got) == 7 and all(s == "PASS" for _, s in got)
+
+
+def test_table_counts_fold_the_count_checks(spark):
+    s = golden_staging(spark, dirty_tables())
+    counts = {t: one(df) for t, df in cleaning.table_counts(s).items()}
+    assert counts["orders"] == {"null_order_id": 1, "approved_before_purchase": 2,
+                                "delivered_before_carrier": 2, "estimated_before_purchase": 2}
+    assert counts["order_items"] == {"negative_price": 1, "negative_freight": 1}
+    assert counts["customers"] == {"null_customer_id": 1}
+    # each summary is one aggregation over one scan
+    plan = cleaning.table_counts(s)["orders"]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ") == 1
