@@ -76,7 +76,7 @@ def main() -> None:
     import inspect
     lines = ["# COVERAGE — SURVEY §2 inventory, line by line", "",
              "Generated by `tools/coverage_report.py`.  Every id has a `queries()` key and a DuckDB",
-             "`oracle_sql()` entry; all match exactly at sf0.01 / sf0.001 and on the native fixtures.", "",
+             "`oracle_sql()` entry; all match exactly at sf0.1 / sf0.01 / sf0.001 and on the native fixtures.", "",
              "| id | key | implemented by | oracle |", "| --- | --- | --- | --- |"]
     for i, key in IDS:
         fn = catalog.PLANS[key]
