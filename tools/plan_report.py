@@ -71,8 +71,9 @@ def main() -> None:
              "(column `reused`).  Global-position operators run their range sort and checkpoint",
              "when the query is built; their part shows as a scan of checkpointed rows.",
              "Single-partition exchanges are the final merge of global aggregates (one row after",
-             "partial aggregation), final ORDER BYs of small results, or windows over calendar-,",
-             "taxonomy- or segment-bounded inputs; none sits over a growing row set.",
+             "partial aggregation), final ORDER BYs of small results, or windows over calendar- or",
+             "segment-bounded inputs (months, the 20 top sellers, 8 segments); none sits over a",
+             "growing row set.",
              "",
              "| query | " + " | ".join(cols) + " |",
              "| --- | " + " | ".join("---:" for _ in cols) + " |"]
