@@ -93,6 +93,7 @@ def build_warehouse(spark: SparkSession, staging: Staging, out: str,
     summary = _concurrently(run_test, list(warehouse_tests(wh).items()))
     if catalog_prefix is not None:
         wh.register_catalog(catalog_prefix)
+    wh.close()   # the run's own catalog metadata; written files and registrations stay
     report = spark.createDataFrame(summary, "test string, rows bigint, status string")
     report.write.mode("overwrite").parquet(f"{out}/reports/tests_summary")
     return spark.read.parquet(f"{out}/reports/tests_summary")
