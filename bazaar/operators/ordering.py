@@ -45,9 +45,13 @@ def global_position(df: DataFrame, order_by: Sequence[str | Column], out: str =
     """
     spark = df.sparkSession
     checkpoint_root(spark)
+    # Without an explicit count AQE sizes the range partitions from the data
+    # (it only merges contiguous ranges, so the global order is kept); n is an
+    # upper bound on the partition index either way.
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = _as_cols(order_by)
-    tagged = (df.repartitionByRange(n, *order)
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    tagged = (ranged
                 .sortWithinPartitions(*order)
                 .withColumn("_rid", F.monotonically_increasing_id())
                 .checkpoint(eager=True))

@@ -117,7 +117,10 @@ def _source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """Scan one driver table, spread over the session's parallelism if the
     files cannot be split (each driver table is a single row group)."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-    target = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    try:   # the cluster's cores; the shuffle-partition setting without a SparkContext
+        target = spark.sparkContext.defaultParallelism
+    except Exception:  # noqa: BLE001
+        target = int(spark.conf.get("spark.sql.shuffle.partitions"))
     try:
         spread = df.rdd.getNumPartitions() < target   # a plain scan: no job is run
     except Exception:  # noqa: BLE001 — no RDD view (Spark Connect): always spread
