@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from bazaar.llm.packing import op2_best_fit_packing
 from bazaar.llm.suffix_dedup import op1_suffix_dedup
+from bazaar.llm.token_counts import op10_token_counts
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLE: dict[str, str] = {}
