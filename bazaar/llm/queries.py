@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bazaar.llm.langid import op3_language_id
 from bazaar.llm.packing import op2_best_fit_packing
+from bazaar.llm.quality import op7_line_quality
 from bazaar.llm.suffix_dedup import op1_suffix_dedup
 from bazaar.llm.token_counts import op10_token_counts
 
@@ -11,6 +12,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
+    "op7_line_quality": op7_line_quality,
     "op10_token_counts": op10_token_counts,
 }
 
