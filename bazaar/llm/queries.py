@@ -7,11 +7,13 @@ from bazaar.llm.packing import op2_best_fit_packing
 from bazaar.llm.quality import op7_line_quality
 from bazaar.llm.suffix_dedup import op1_suffix_dedup
 from bazaar.llm.token_counts import op10_token_counts
+from bazaar.llm.warc import op6_warc_normalise
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
+    "op6_warc_normalise": op6_warc_normalise,
     "op7_line_quality": op7_line_quality,
     "op10_token_counts": op10_token_counts,
 }
