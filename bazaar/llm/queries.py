@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bazaar.llm import decontaminate
+from bazaar.llm import decontaminate, near_join
 from bazaar.llm.langid import op3_language_id
 from bazaar.llm.packing import op2_best_fit_packing
 from bazaar.llm.quality import op7_line_quality
@@ -16,6 +16,7 @@ QUERIES = {
     "op3_language_id": op3_language_id,
     "op6_warc_normalise": op6_warc_normalise,
     "op7_line_quality": op7_line_quality,
+    "op8_near_join": near_join.op8_near_join,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_token_counts": op10_token_counts,
 }
