@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bazaar.llm import decontaminate, near_join
+from bazaar.llm.fingerprints import op5_fingerprints
 from bazaar.llm.langid import op3_language_id
 from bazaar.llm.packing import op2_best_fit_packing
 from bazaar.llm.quality import op7_line_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
+    "op5_fingerprints": op5_fingerprints,
     "op6_warc_normalise": op6_warc_normalise,
     "op7_line_quality": op7_line_quality,
     "op8_near_join": near_join.op8_near_join,
