@@ -120,18 +120,23 @@ def search(text: str | None, parts: list[Partition], threshold: float) -> Iterat
                 yield part.rows[i], len(item), n
 
 
-def find_items(docs: DataFrame, items: DataFrame, threshold: float = NEAR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """A row for each document and contained item: doc_id, item_id, n_shingles, n_found, containment."""
-    spark = docs.sparkSession
+def _blocks(items: DataFrame, threshold: float, block_bytes: int) -> Iterator[tuple[list[Partition], list]]:
+    """The benchmark's partitions and item ids, about ``block_bytes`` of item text at a time."""
     items = items.select("item_id", "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
     deal = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+    for block in range(blocks):
+        rows = items.where(deal == block).collect()  # one block, bounded
+        yield build([r["text"] for r in rows], threshold), [r["item_id"] for r in rows]
+
+
+def find_items(docs: DataFrame, items: DataFrame, threshold: float = NEAR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """A row for each document and contained item: doc_id, item_id, n_shingles, n_found, containment."""
     doc_kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, "doc_id"), (items, "item_id")))
 
-    def one(block: int) -> DataFrame:
-        rows = items.where(deal == block).collect()  # a block: about ``block_bytes`` of text
-        sent = spark.sparkContext.broadcast((build([r["text"] for r in rows], threshold), [r["item_id"] for r in rows]))
+    def one(block) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts, ids = sent.value
@@ -144,7 +149,20 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = NEAR, block
 
         return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, n_shingles long, n_found long, containment double")
 
-    return reduce(DataFrame.unionByName, (one(b) for b in range(blocks)))
+    return reduce(DataFrame.unionByName, map(one, _blocks(items, threshold, block_bytes)))
+
+
+def without_items(docs: DataFrame, items: DataFrame, threshold: float = NEAR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that contain no item, all columns as they are."""
+    for block in _blocks(items, threshold, block_bytes):
+        sent = docs.sparkSession.sparkContext.broadcast(block[0])
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array([next(search(x.as_py(), sent.value, threshold), None) is None for x in batch.column("text")], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

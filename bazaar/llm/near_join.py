@@ -296,6 +296,23 @@ def near_classes(docs: DataFrame, threshold: float = NEAR, recall: float = RECAL
     return named.select("doc_id", "text_id", "guard").join(named_classes, ["text_id", "guard"]).select("doc_id", "class_id", "n_links", "n_copies")
 
 
+def one_of_each(docs: DataFrame, threshold: float = NEAR) -> DataFrame:
+    """The first document (least doc_id) of each near-duplicate class, all columns as they are.
+
+    Of rows equal in id and text one stays; rows without id stay if their class has no id.
+    """
+    classes = near_classes(docs, threshold)
+    heads = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    name = [F.xxhash64("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))]
+    again = docs.groupBy(name[0].alias("_i"), name[1].alias("_t")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    if again.isEmpty():
+        return kept
+    kept = kept.withColumns({"_i": name[0], "_t": name[1]})
+    once = kept.join(again, ["_i", "_t"], "left_anti")
+    return once.unionByName(kept.join(again, ["_i", "_t"], "left_semi").dropDuplicates(["_i", "_t"])).select(*docs.columns)
+
+
 def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of ``documents``: five-word shingles, similarity 0.8 or more."""
     return near_classes(table(spark, sf_dir, "documents"))

@@ -7,6 +7,7 @@ from bazaar.llm.fingerprints import op5_fingerprints
 from bazaar.llm.langid import op3_language_id
 from bazaar.llm.packing import op2_best_fit_packing
 from bazaar.llm.quality import op7_line_quality
+from bazaar.llm.sharding import op4_kd_sharding
 from bazaar.llm.suffix_dedup import op1_suffix_dedup
 from bazaar.llm.token_counts import op10_token_counts
 from bazaar.llm.warc import op6_warc_normalise
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_language_id": op3_language_id,
+    "op4_kd_sharding": op4_kd_sharding,
     "op5_fingerprints": op5_fingerprints,
     "op6_warc_normalise": op6_warc_normalise,
     "op7_line_quality": op7_line_quality,

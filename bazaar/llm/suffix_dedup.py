@@ -383,6 +383,39 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "fir
     return joined.mapInArrow(_merged, out)
 
 
+def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keep = [c for c in batch.schema.names if c != "spans"]
+        text = [t if not s else whole_characters(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist())]
+        yield pa.RecordBatch.from_arrays([pa.array(text, batch.schema.field("text").type) if c == "text" else batch.column(c) for c in keep], keep)
+
+
+def whole_characters(text: str, spans: list[tuple[int, int]]) -> str:
+    """A text without the characters that lie wholly in the byte spans."""
+    data = text.encode("utf-8", "surrogatepass")
+    inside = lambda i: i < len(data) and data[i] & 0xC0 == 0x80  # noqa: E731  within a character
+    out, at = [], 0
+    for start, end in spans:
+        while inside(start):
+            start += 1
+        while inside(end):
+            end -= 1
+        if end > start:
+            out.append(data[at:start])
+            at = end
+    return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
+
+
+def cut_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
+    """``docs`` with later copies of repeats cut from the texts (whole characters only), the first kept.
+
+    All rows stay; ``n_chars``, if there, is counted anew.
+    """
+    done = remove_repeats(docs, min_bytes, "first", anchor_bytes).select(*docs.columns, "spans")
+    done = done.mapInArrow(_cut_text, docs.schema)
+    return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each byte of ``documents`` in a 400-byte string that starts twice goes, every copy of it."""
     done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_BYTES, keep="none")

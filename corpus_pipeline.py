@@ -2,15 +2,55 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet in the shared folder and read again as the next stage's documents.
+All but the last return the columns of ``documents``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from bazaar.llm.common import cut, table
+from bazaar.llm import decontaminate, near_join, packing, quality, suffix_dedup
+from bazaar.llm.common import crc32_of_id, cut, table
 
-STAGES: list = []
+#: Repeated passages of at least so many bytes (about fifty words) are cut; a shorter anchor finds them.
+PASSAGE_BYTES, PASSAGE_ANCHOR = 256, 100
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which the line classifier expects label 1; rejected ones go."""
+    labels = table(spark, sf_dir, "labels").where(F.pmod(crc32_of_id(), F.lit(5)) != 0)
+    scored = quality.score(docs, quality.fit(docs, labels), extra=True)
+    return scored.where(F.col("score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return near_join.one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without later copies of passages; the first copy and all documents stay."""
+    return suffix_dedup.cut_repeats(docs, PASSAGE_BYTES, PASSAGE_ANCHOR)
+
+
+def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of ``benchmark``."""
+    return decontaminate.without_items(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 2048 tokens: a row for each piece of a document."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("suffix_dedup", repeated_passages),
+    ("decontamination", benchmark_free),
+    ("packing", packed),
+]
 
 #: SQL can express neither the classifier nor the packing.
 ORACLE_SQL = None
