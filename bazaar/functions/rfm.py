@@ -2,38 +2,32 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Segment names and rules, evaluated in this order (first match
-# wins); r, f, m are the recency, frequency and monetary scores, 1..5 with
-# 5 = best.  Rows matching no rule are "Others".
+# Segment names and rules on the recency (r), frequency (f) and
+# monetary (m) scores, 1..5 with 5 = best, in this order; the first match wins,
+# rows that match none are "Others".
 SEGMENT_RULES = (
-    ("Champions", "r >= 4 AND f >= 4 AND m >= 4"),
-    ("Loyal Customers", "r >= 4 AND f >= 3"),
-    ("New Customers", "r = 5 AND f <= 2"),
-    ("Potential Loyalist", "r >= 3 AND f >= 2 AND m >= 3"),
-    ("Need Attention", "r = 3 AND f = 1"),
-    ("At Risk", "r <= 2 AND f >= 3"),
-    ("Hibernating", "r = 1 AND f <= 2"),
+    ("Champions", lambda r, f, m: (r >= 4) & (f >= 4) & (m >= 4)),
+    ("Loyal Customers", lambda r, f, m: (r >= 4) & (f >= 3)),
+    ("New Customers", lambda r, f, m: (r == 5) & (f <= 2)),
+    ("Potential Loyalist", lambda r, f, m: (r >= 3) & (f >= 2) & (m >= 3)),
+    ("Need Attention", lambda r, f, m: (r == 3) & (f == 1)),
+    ("At Risk", lambda r, f, m: (r <= 2) & (f >= 3)),
+    ("Hibernating", lambda r, f, m: (r == 1) & (f <= 2)),
 )
 OTHERS = "Others"
 SEGMENT_NAMES = tuple(name for name, _ in SEGMENT_RULES) + (OTHERS,)
 
 
-def segment_case_sql(r: str, f: str, m: str) -> str:
-    """The rules as a SQL CASE over the named score columns (shared with the oracle)."""
-    names = {"r": r, "f": f, "m": m}
-    whens = " ".join(f"WHEN {re.sub(r'\b([rfm])\b', lambda t: names[t.group(1)], rule)} THEN '{seg}'"
-                     for seg, rule in SEGMENT_RULES)
-    return f"CASE {whens} ELSE '{OTHERS}' END"
-
-
 def rfm_segment(r: str = "r_score", f: str = "f_score", m: str = "m_score") -> Column:
     """Segment of the scores in columns ``r``, ``f``, ``m``."""
-    return F.expr(segment_case_sql(r, f, m))
+    scores = [F.col(c) for c in (r, f, m)]
+    out = F.lit(OTHERS)
+    for name, rule in reversed(SEGMENT_RULES):
+        out = F.when(rule(*scores), F.lit(name)).otherwise(out)
+    return out
 
 
 def rfm_code(r: Column, f: Column, m: Column) -> Column:

@@ -21,6 +21,9 @@ column) so ties never pile up in one range partition.
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -46,9 +49,7 @@ def global_position(df: DataFrame, order_by: Sequence[str | Column], out: str =
     spark = df.sparkSession
     checkpoint_root(spark)
     # Without an explicit count AQE sizes the range partitions from the data
-    # (it only merges contiguous ranges, so the global order is kept); n is an
-    # upper bound on the partition index either way.
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # (it only merges contiguous ranges, so the global order is kept).
     order = _as_cols(order_by)
     ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
     tagged = (ranged
@@ -60,7 +61,7 @@ def global_position(df: DataFrame, order_by: Sequence[str | Column], out: str =
     # size): prefix offsets become a constant array looked up per row.
     counts = dict(tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).collect())
     offsets, run = [], 0
-    for i in range(n):
+    for i in range(max(counts, default=0) + 1):   # as many partitions as the rows lie in
         offsets.append(run)
         run += counts.get(i, 0)
     offset = F.element_at(F.lit(offsets).cast("array<bigint>"), part + 1)   # one array literal
@@ -101,27 +102,85 @@ def ntile_global(df: DataFrame, n: int, order_by: Sequence[str | Column], out: s
                   .drop("_npos", "_ntotal"))
 
 
-def percentile_cont_global(df: DataFrame, value: str, fraction: float,
-                           tie_break: Sequence[str], out: str,
-                           also: Sequence[Column] = ()) -> DataFrame:
+@dataclass(frozen=True)
+class Ordered:
+    """One column of an order, its direction and where NULLs go."""
+
+    column: str
+    ascending: bool = True
+    nulls_first: bool = False
+
+    def sort(self) -> Column:
+        c = F.col(self.column)
+        if self.ascending:
+            return c.asc_nulls_first() if self.nulls_first else c.asc_nulls_last()
+        return c.desc_nulls_first() if self.nulls_first else c.desc_nulls_last()
+
+    def after(self, value) -> Column:
+        """The row's value comes after ``value`` in this order."""
+        c = F.col(self.column)
+        if value is None:
+            return c.isNotNull() if self.nulls_first else F.lit(False)
+        later = F.coalesce(c > F.lit(value) if self.ascending else c < F.lit(value), F.lit(False))
+        return later if self.nulls_first else c.isNull() | later
+
+
+def ntile_bounds(df: DataFrame, n: int, order: Sequence[Ordered]) -> list[tuple]:
+    """Order-column values of the last row of each NTILE(n) bucket but the last non-empty one.
+
+    Orders the key columns alone; at most n - 1 rows come to the driver.
+    """
+    names = [o.column for o in order]
+    ranked = global_position(df.select(*names), [o.sort() for o in order], out="_npos", total="_ntotal")
+    bucket = ntile_from_position(F.col("_npos"), F.col("_ntotal"), n)
+    following = ntile_from_position(F.col("_npos") + 1, F.col("_ntotal"), n)
+    last = ranked.where((F.col("_npos") < F.col("_ntotal")) & (bucket < following)).select("_npos", *names)
+    return [tuple(r)[1:] for r in sorted(last.collect())]
+
+
+def ntile_by_bounds(bounds: Sequence[tuple], order: Sequence[Ordered]) -> Column:
+    """Bucket number (INT): 1 + how many of the bounds the row comes after."""
+    def after(bound: tuple) -> Column:
+        out = F.lit(False)
+        for o, value in reversed(list(zip(order, bound))):
+            out = o.after(value) | (F.col(o.column).eqNullSafe(F.lit(value)) & out)
+        return out
+
+    return reduce(lambda a, b: a + b, (after(b).cast("int") for b in bounds), F.lit(1))
+
+
+def percentile_cont_global(df: DataFrame, value: str, fraction: float, out: str,
+                           also: Sequence[tuple[str, Column]] = ()) -> DataFrame:
     """Exact PERCENTILE_CONT(fraction) WITHIN GROUP (ORDER BY value), one row (DOUBLE).
 
-    The two rows bracketing position 1 + fraction * (n - 1) are picked from the
-    global order and interpolated; no task ever holds all values.  NULL values
-    are ignored, as in SQL; an empty input yields NULL.  ``also`` holds extra
-    aggregates over ``value`` (e.g. a mean), evaluated on the same
-    materialised rows so the input is computed once.
+    Rows are first reduced to distinct values and their counts.  The values
+    are range-partitioned; the counts per partition tell which one or two
+    partitions hold the bracketing ranks, and running counts inside these find
+    the two values to interpolate between.  NULL values are ignored, as in SQL;
+    an empty input yields NULL.  ``also`` holds (name, aggregate) pairs over
+    columns ``value`` and ``_n`` (rows with that value) of the same reduced rows.
     """
-    vals = df.where(F.col(value).isNotNull()).select(
-        F.col(value).cast("double").alias("_v"), F.col(value), *tie_break)
-    ranked = global_position(vals, ["_v", *tie_break], out="_p", total="_t")
-    rn = F.lit(1.0) + F.lit(float(fraction)) * (F.col("_t") - 1).cast("double")
-    lo, hi = F.floor(rn), F.ceil(rn)
-    agg = ranked.agg(F.max(F.when(F.col("_p") == lo, F.col("_v"))).alias("_lo"),
-                     F.max(F.when(F.col("_p") == hi, F.col("_v"))).alias("_hi"),
-                     F.max(rn - lo).alias("_frac"), *also)
-    res = agg.withColumn(out, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_frac"))
-    return res.drop("_lo", "_hi", "_frac")
+    checkpoint_root(df.sparkSession)
+    counted = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = counted.repartitionByRange(value).withColumn("_part", F.spark_partition_id()).checkpoint(eager=True)
+    sizes = sorted((r["_part"], r["n"]) for r in dealt.groupBy("_part").agg(F.sum("_n").alias("n")).collect())   # a row per partition
+    total = sum(n for _, n in sizes)
+    rank = 1 + fraction * (total - 1)
+    wanted, run = {}, 0
+    for part, n in sizes:
+        for name, r in (("_lo", math.floor(rank)), ("_hi", math.ceil(rank))):
+            if run < r <= run + n:
+                wanted[name] = (part, r - run)
+        run += n
+    extra = dealt.agg(F.count(F.lit(1)).alias("_rows"), *[c.alias(name) for name, c in also])
+    if not total:
+        return extra.withColumn(out, F.lit(None).cast("double")).drop("_rows")
+    until = F.sum("_n").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    near = dealt.where(F.col("_part").isin([p for p, _ in wanted.values()])).withColumn("_until", until)
+    at = {name: (F.col("_part") == p) & (F.col("_until") >= r) & (F.col("_until") - F.col("_n") < r) for name, (p, r) in wanted.items()}
+    ends = near.agg(*[F.max(F.when(c, F.col(value).cast("double"))).alias(name) for name, c in at.items()])
+    res = extra.crossJoin(F.broadcast(ends))
+    return res.withColumn(out, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.lit(rank - math.floor(rank))).drop("_lo", "_hi", "_rows")
 
 
 def rank_desc(df: DataFrame, measure: str, tie_break: Sequence[str], out: str) -> DataFrame:

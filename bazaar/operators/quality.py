@@ -7,6 +7,7 @@ meant to be folded into one ``agg`` so the table is scanned once.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -81,6 +82,21 @@ def grain_check(df: DataFrame, key: str, rows: str = "rows", distinct: str = "di
               .withColumn(duplicated, F.col(rows) - F.col(distinct)))
 
 
+def row_count_check(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """One row per table: its name, row count, and PASS if it has rows."""
+    counts = reduce(DataFrame.unionByName,
+                    (df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+                     for name, df in tables.items()))
+    return counts.withColumn("status", F.when(F.col("row_count") > 0, "PASS").otherwise("FAIL"))
+
+
+def reconcile(left: DataFrame, right: DataFrame, scale: int = 2) -> DataFrame:
+    """Two one-row totals side by side, their difference, and PASS if it is zero (a NULL total fails)."""
+    diff = F.col(left.columns[0]) - F.col(right.columns[0])
+    return (left.crossJoin(F.broadcast(right)).withColumn("diff", diff.cast(f"decimal(38,{scale})"))
+                .withColumn("status", F.when(F.col("diff") == 0, "PASS").otherwise("FAIL")))
+
+
 def key_violations(df: DataFrame, unique: Sequence[str], not_null: Sequence[str] = ()) -> DataFrame:
     """One row: number of duplicated key values, and NULL counts per column.
 

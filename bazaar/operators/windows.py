@@ -46,7 +46,7 @@ def period_growth(df: DataFrame, period: str, measure: str, running: str, abs_ch
     Input has one row per period (a few hundred months), so the ordered
     window runs in one small task by design.
     """
-    w = Window.orderBy(period)
+    w = Window.orderBy(F.col(period).asc_nulls_last())   # an unknown period comes last
     prev = F.lag(measure).over(w)
     return (df.withColumn(running, F.sum(measure).over(w.rowsBetween(Window.unboundedPreceding, 0)))
               .withColumn(abs_change, F.col(measure) - prev)

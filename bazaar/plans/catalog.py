@@ -120,6 +120,14 @@ PLANS.update({
 })
 
 
+# Metrics, cohorts and RFM validations: what a full run reports beside the tables and tests.
+REPORT_KEYS = ("status_mix", "revenue_total_vs_delivered", "unique_customers_delivered", "aov_mean_median",
+               "monthly_revenue_growth", "category_performance", "seller_top20",
+               *(k for k in PLANS if k.startswith("cohort_")),
+               "rfm_row_count", "rfm_segment_distribution", "rfm_null_check", "rfm_negative_check",
+               "rfm_score_ranges", "rfm_total_revenue", "core_delivered_revenue", "rfm_segment_summary")
+
+
 def query(key: str) -> Query:
     plan = PLANS[key]
     return lambda spark, sf_dir: plan(warehouse_for(spark, sf_dir))

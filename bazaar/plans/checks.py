@@ -5,12 +5,10 @@ A test passes when it returns no rows, or when its ``status`` is 'PASS'.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bazaar.operators.quality import duplicate_keys, orphan_rows, violating_rows
+from bazaar.operators.quality import duplicate_keys, orphan_rows, reconcile, row_count_check
 from bazaar.plans.core import Core
 from bazaar.plans.rfm import (core_delivered_revenue, rfm_core_nulls, rfm_score_ranges,
                               rfm_total_revenue, rfm_unique_check)
@@ -23,12 +21,7 @@ ORPHAN_LIMIT = 50
 
 def t_row_counts(stg: Staging) -> DataFrame:
     """G1: every staging table has rows."""
-    parts = [stg.table(t).agg(F.count(F.lit(1)).alias("row_count"))
-             .select(F.lit(f"staging.{t}").alias("table_name"), "row_count")
-             for t in ROW_COUNT_TABLES]
-    counts = reduce(DataFrame.unionByName, parts)
-    return (counts.withColumn("status", F.when(F.col("row_count") > 0, "PASS").otherwise("FAIL"))
-                  .orderBy("table_name"))
+    return row_count_check({f"staging.{t}": stg.table(t) for t in ROW_COUNT_TABLES}).orderBy("table_name")
 
 
 def t_unique_fact_orders(core: Core) -> DataFrame:
@@ -51,29 +44,41 @@ def t_unique_fact_order_items(core: Core) -> DataFrame:
     return duplicate_keys(core.fact_order_items, ["order_id", "order_item_id"])
 
 
+def violations(core: Core) -> dict[str, DataFrame]:
+    """All rows that break the rules of G7-G11, as many as there are."""
+    items = core.fact_order_items
+    return {
+        "t_orphan_orders_customer": orphan_rows(core.fact_orders, core.dim_customers, ["customer_sk"]),
+        "t_orphan_items_product": orphan_rows(items, core.dim_products, ["product_sk"]),
+        "t_orphan_items_seller": orphan_rows(items, core.dim_sellers, ["seller_sk"]),
+        "t_negative_items": items.where((F.col("price") < 0) | (F.col("freight_value") < 0)),
+        "t_negative_payments": core.fact_payments.where(F.col("payment_value") < 0),
+    }
+
+
+def _listed(core: Core, name: str, order_by: list[str], only_keys: bool = False) -> DataFrame:
+    rows = violations(core)[name]
+    return (rows.select(*order_by) if only_keys else rows).orderBy(*order_by).limit(ORPHAN_LIMIT)
+
+
 def t_orphan_orders_customer(core: Core) -> DataFrame:
-    o = orphan_rows(core.fact_orders, core.dim_customers, ["customer_sk"])
-    return o.select("order_id").orderBy("order_id").limit(ORPHAN_LIMIT)
+    return _listed(core, "t_orphan_orders_customer", ["order_id"], True)
 
 
 def t_orphan_items_product(core: Core) -> DataFrame:
-    o = orphan_rows(core.fact_order_items, core.dim_products, ["product_sk"])
-    return o.select("order_id", "order_item_id").orderBy("order_id", "order_item_id").limit(ORPHAN_LIMIT)
+    return _listed(core, "t_orphan_items_product", ["order_id", "order_item_id"], True)
 
 
 def t_orphan_items_seller(core: Core) -> DataFrame:
-    o = orphan_rows(core.fact_order_items, core.dim_sellers, ["seller_sk"])
-    return o.select("order_id", "order_item_id").orderBy("order_id", "order_item_id").limit(ORPHAN_LIMIT)
+    return _listed(core, "t_orphan_items_seller", ["order_id", "order_item_id"], True)
 
 
 def t_negative_items(core: Core) -> DataFrame:
-    return violating_rows(core.fact_order_items, (F.col("price") < 0) | (F.col("freight_value") < 0),
-                          ["order_id", "order_item_id"], ORPHAN_LIMIT)
+    return _listed(core, "t_negative_items", ["order_id", "order_item_id"])
 
 
 def t_negative_payments(core: Core) -> DataFrame:
-    return violating_rows(core.fact_payments, F.col("payment_value") < 0,
-                          ["order_id", "payment_sequential"], ORPHAN_LIMIT)
+    return _listed(core, "t_negative_payments", ["order_id", "payment_sequential"])
 
 
 def t_unique_rfm_customer(rfm: DataFrame) -> DataFrame:
@@ -90,7 +95,4 @@ def t_rfm_score_ranges(rfm: DataFrame) -> DataFrame:
 
 def t_revenue_reconciliation(rfm: DataFrame, core: Core) -> DataFrame:
     """RFM revenue equals core delivered revenue exactly (NULL diff fails)."""
-    both = rfm_total_revenue(rfm).crossJoin(core_delivered_revenue(core))
-    diff = F.col("total_rfm_revenue") - F.col("total_core_revenue")
-    return (both.withColumn("diff", diff.cast("decimal(38,2)"))
-                .withColumn("status", F.when(F.col("diff") == 0, "PASS").otherwise("FAIL")))
+    return reconcile(rfm_total_revenue(rfm), core_delivered_revenue(core))

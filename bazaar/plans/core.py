@@ -25,9 +25,9 @@ from bazaar.sources.staging import Staging
 CORE_TABLES = ("dim_customers", "dim_products", "dim_sellers", "fact_orders",
                "fact_order_items", "fact_payments", "fact_reviews")
 
-# Model rules checked after each write: (primary/unique natural key, not-null
-# columns).  Surrogate keys are dense positions 1..n by construction, so the
-# natural key's uniqueness is what is checked.
+# Model rules checked before a table is published: (primary/unique natural key,
+# not-null columns), and the surrogate keys, unique as well.
+SURROGATE_KEYS = {"dim_customers": "customer_sk", "dim_products": "product_sk", "dim_sellers": "seller_sk"}
 CORE_KEYS = {
     "dim_customers": (["customer_id"], ["customer_sk", "customer_id", "customer_unique_id"]),
     "dim_products": (["product_id"], ["product_sk", "product_id", "product_category_name_english",
@@ -166,56 +166,104 @@ def bucket_count(spark: SparkSession) -> int:
 
 
 def write_table(df: DataFrame, path: str, name: str, with_created_at: bool = True,
-                bucket_by: list[str] | None = None, database: str | None = None) -> DataFrame:
-    """Overwrite ``path`` with ``df`` (+ load timestamp), check keys, return the read-back.
+                bucket_by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` (+ load timestamp) to a fresh folder, check keys there, then publish it at ``path``.
 
-    With ``bucket_by`` the table is registered as ``database.name`` (external,
-    at ``path``) with a bucket spec; rows are hash-partitioned into exactly the
-    buckets first, so each task writes one file.
+    If a key rule is broken, ``path`` keeps what it had.
+    """
+    fresh = f"{path}-new-{uuid.uuid4().hex[:12]}"
+    _write_checked(df, fresh, name, with_created_at, bucket_by)
+    publish(df.sparkSession, fresh, path)
+    return df.sparkSession.read.parquet(path).drop("created_at")
+
+
+def _write_checked(df: DataFrame, path: str, name: str, with_created_at: bool = True,
+                   bucket_by: list[str] | None = None) -> DataFrame:
+    """Write a table to a new ``path`` and check its rules; the read-back.
+
+    With ``bucket_by`` the files are hash-partitioned and written as buckets
+    (one file each), through a catalog entry that is dropped again.
     """
     spark = df.sparkSession
     out = df.withColumn("created_at", F.current_timestamp()) if with_created_at else df
     if bucket_by:
-        n = bucket_count(spark)
-        table = f"{database}.{name}"
-        (out.repartition(n, *bucket_by).write.mode("overwrite").format("parquet")
+        n, table = bucket_count(spark), f"bazaar_write_{uuid.uuid4().hex[:12]}"
+        (out.repartition(n, *bucket_by).write.format("parquet")
             .option("path", path).bucketBy(n, *bucket_by).saveAsTable(table))
-        back = spark.table(table)
+        spark.sql(f"DROP TABLE {table}")   # external: the files stay
     else:
-        out.write.mode("overwrite").parquet(path)
-        back = spark.read.parquet(path)
+        out.write.parquet(path)
+    back = spark.read.parquet(path)
     if name in CORE_KEYS:
         unique, not_null = CORE_KEYS[name]
         assert_keys(back, name, unique=unique, not_null=not_null)
+        if name in SURROGATE_KEYS:
+            assert_keys(back, name, unique=[SURROGATE_KEYS[name]])
     return back.drop("created_at")
 
 
+def publish(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put the folder ``fresh`` in the place of ``path`` (a rename; the earlier version goes)."""
+    jvm = spark._jvm
+    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, path))
+    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    fs.mkdirs(target.getParent())
+    old = jvm.org.apache.hadoop.fs.Path(f"{path}-old-{uuid.uuid4().hex[:12]}")
+    replaced = fs.exists(target) and fs.rename(target, old)
+    if not fs.rename(source, target):
+        if replaced:
+            fs.rename(old, target)
+        raise OSError(f"cannot publish {path}")
+    if replaced:
+        fs.delete(old, True)
+    spark.catalog.refreshByPath(path)
+
+
+def _bucketed(spark: SparkSession, database: str, name: str, path: str, sample: DataFrame) -> DataFrame:
+    """Catalog entry (metadata only) that tells Spark the buckets of a published table."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sample.schema.fields)
+    spark.sql(f"CREATE TABLE {database}.{name} ({columns}) USING parquet CLUSTERED BY ({', '.join(BUCKETED[name])}) "
+              f"INTO {bucket_count(spark)} BUCKETS LOCATION '{path}'")
+    return spark.table(f"{database}.{name}")
+
+
 def materialize_core(spark: SparkSession, stg: Staging, root: str, parallel: bool = True,
                      database: str | None = None) -> Core:
     """Build and write the seven core tables under ``root``; return read-backs.
 
     Every table is submitted as its own concurrent Spark job as soon as its
     inputs exist: dimensions, payments and reviews right away; orders and
-    order lines once the dimensions they look keys up in are written.  The
-    bucketed table is registered (external, metadata only) in ``database``.
+    order lines once the dimensions they look keys up in are written.  All
+    tables are written to a fresh folder and checked there; only when all keep
+    their rules do they replace the earlier ones, so a bad batch never lands.
+    The bucketed table is registered (external, metadata only) in ``database``.
     """
     database = database or "bazaar_" + uuid.uuid4().hex[:12]
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{root}/_catalog'")
+    fresh = f"{root}-new-{uuid.uuid4().hex[:12]}"
 
     def w(name, build):
-        return write_table(build(), f"{root}/{name}", name, bucket_by=BUCKETED.get(name), database=database)
+        return _write_checked(build(), f"{fresh}/{name}", name, bucket_by=BUCKETED.get(name))
 
-    paths = {n: f"{root}/{n}" for n in CORE_TABLES}
     if not parallel:
         t = {}
         for name, build in _builds(stg, lambda n: t[n]).items():
             t[name] = w(name, build)
-        return Core(**t, paths=paths)
-    with ThreadPoolExecutor(max_workers=len(CORE_TABLES)) as pool:
-        futures: dict = {}
-        for name, build in _builds(stg, lambda n: futures[n].result()).items():
-            futures[name] = pool.submit(w, name, build)
-        return Core(**{n: futures[n].result() for n in CORE_TABLES}, paths=paths)
+    else:
+        with ThreadPoolExecutor(max_workers=len(CORE_TABLES)) as pool:
+            futures: dict = {}
+            for name, build in _builds(stg, lambda n: futures[n].result()).items():
+                futures[name] = pool.submit(w, name, build)
+            t = {n: futures[n].result() for n in CORE_TABLES}
+
+    paths = {n: f"{root}/{n}" for n in CORE_TABLES}
+    for name, path in paths.items():
+        publish(spark, f"{fresh}/{name}", path)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    tables = {}
+    for name, path in paths.items():
+        files = spark.read.parquet(path)
+        tables[name] = (_bucketed(spark, database, name, path, files) if name in BUCKETED else files).drop("created_at")
+    return Core(**tables, paths=paths)
 
 
 def _builds(stg: Staging, dim):

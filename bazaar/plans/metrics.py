@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.functions.dates import month_start
-from bazaar.functions.numeric import MONEY_TOTAL, exact_mean, money_sum
+from bazaar.functions.numeric import MONEY_TOTAL, money_sum, safe_ratio
 from bazaar.operators.ordering import percentile_cont_global, rank_desc, top_k_ranked
 from bazaar.operators.windows import period_growth, share_of_total
 from bazaar.plans.core import Core
@@ -32,17 +32,6 @@ def delivered_orders(core: Core, *cols: str) -> DataFrame:
     return core.fact_orders.where(F.col("order_status") == DELIVERED).select("order_id", *cols)
 
 
-def delivered_lines(core: Core, *cols: str) -> DataFrame:
-    """Order lines of delivered orders (semi join: order columns are not needed).
-
-    Orders are read as plain files here (not bucketed), so both join inputs
-    are shuffle stages and AQE can split the partition of an order that
-    holds a huge share of all lines.
-    """
-    orders = core.files("fact_orders").where(F.col("order_status") == DELIVERED).select("order_id")
-    return core.fact_order_items.join(orders, "order_id", "left_semi").select(*cols)
-
-
 def status_mix(core: Core) -> DataFrame:
     """Orders per status and their % of all orders."""
     counts = core.fact_orders.groupBy("order_status").agg(F.count(F.lit(1)).alias("orders"))
@@ -79,9 +68,11 @@ def delivered_order_revenue(core: Core, *cols: str) -> DataFrame:
 def aov_mean_median(core: Core) -> DataFrame:
     """Mean and exact median (PERCENTILE_CONT 0.5) of delivered order revenue."""
     rev = delivered_order_revenue(core)
-    both = percentile_cont_global(rev, "order_revenue", 0.5, ["order_id"], "median_aov_delivered",
-                                  also=[exact_mean(F.col("order_revenue")).alias("avg_aov_delivered")])
-    return both.select("avg_aov_delivered", "median_aov_delivered")
+    # sum and count over distinct amounts, each weighted by its number of orders
+    total = F.sum(F.col("order_revenue").cast("decimal(24,2)") * F.col("_n").cast("decimal(13,0)"))
+    both = percentile_cont_global(rev, "order_revenue", 0.5, "median_aov_delivered",
+                                  also=[("_sum", total), ("_count", F.sum("_n"))])
+    return both.select(safe_ratio(F.col("_sum"), F.col("_count")).alias("avg_aov_delivered"), "median_aov_delivered")
 
 
 def monthly_revenue_growth(core: Core) -> DataFrame:
@@ -94,13 +85,20 @@ def monthly_revenue_growth(core: Core) -> DataFrame:
     return g.select("month", "revenue_delivered",
                     F.col("revenue_running_total").cast(MONEY_TOTAL).alias("revenue_running_total"),
                     F.col("mom_abs_change").cast(MONEY_TOTAL).alias("mom_abs_change"),
-                    "mom_pct_change").orderBy("month")
+                    "mom_pct_change").orderBy(F.col("month").asc_nulls_last())
 
 
 def _revenue_by(core: Core, key: str) -> DataFrame:
-    """Delivered revenue per dimension key, partially aggregated before the dimension join."""
-    return (delivered_lines(core, key, "price", "freight_value")
-            .groupBy(key).agg(money_sum(line_revenue()).alias("revenue")))
+    """Delivered revenue per dimension key.
+
+    Lines are summed per (order, key) before anything is joined: partial sums
+    shrink an order with a huge share of all lines on the map side, and the
+    second key spreads what is left of it.
+    """
+    lines = core.fact_order_items.groupBy("order_id", key).agg(money_sum(line_revenue()).alias("revenue"))
+    orders = core.files("fact_orders").where(F.col("order_status") == DELIVERED).select("order_id")
+    return (lines.join(orders, "order_id", "left_semi")
+            .groupBy(key).agg(F.sum("revenue").cast(MONEY_TOTAL).alias("revenue")))
 
 
 def category_performance(core: Core) -> DataFrame:
@@ -118,10 +116,9 @@ def category_performance(core: Core) -> DataFrame:
 
 def seller_top20(core: Core, k: int = 20) -> DataFrame:
     """Top sellers by delivered revenue with RANK and % of total (all sellers)."""
-    per_seller = _revenue_by(core, "seller_sk")
-    sellers = (per_seller.join(core.dim_sellers.select("seller_sk", "seller_id", "seller_state"), "seller_sk")
-               .select("seller_id", "seller_state", F.col("revenue").cast(MONEY_TOTAL).alias("revenue")))
-    shared = share_of_total(sellers, "revenue", "pct_of_delivered_revenue", 2)
-    top = top_k_ranked(shared, "revenue", k, ["seller_id"], "seller_rank")
-    return (top.select("seller_rank", "seller_id", "seller_state", "revenue", "pct_of_delivered_revenue")
+    shared = share_of_total(_revenue_by(core, "seller_sk"), "revenue", "pct_of_delivered_revenue", 2)
+    # Surrogate keys follow the order of seller_id, so they break ties alike; names go to the k rows.
+    top = top_k_ranked(shared, "revenue", k, ["seller_sk"], "seller_rank")
+    named = core.dim_sellers.select("seller_sk", "seller_id", "seller_state").join(F.broadcast(top), "seller_sk")
+    return (named.select("seller_rank", "seller_id", "seller_state", "revenue", "pct_of_delivered_revenue")
                .orderBy(F.col("revenue").desc_nulls_first(), "seller_id"))

@@ -4,19 +4,21 @@ Per person: first/last delivered purchase, frequency (delivered orders with
 lines), monetary (their revenue), recency in days to the latest delivered
 purchase of anyone.  Scores are NTILE(5) over the whole customer base
 (recency descending, frequency and monetary ascending, ties broken by
-person id), computed by distributed global position — never by a
-single-partition window.
+person id), from bucket bounds found by distributed global position — never by
+a single-partition window.
 """
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bazaar.functions.dates import days_between, whole_months_between
 from bazaar.functions.numeric import MONEY_TOTAL, exact_mean, round_ratio, safe_ratio
 from bazaar.functions.rfm import rfm_code, rfm_segment
-from bazaar.operators.ordering import ntile_global
+from bazaar.operators.ordering import Ordered, ntile_bounds, ntile_by_bounds
 from bazaar.operators.quality import duplicate_keys, null_count
 from bazaar.operators.windows import with_total
 from bazaar.plans.core import Core
@@ -68,18 +70,24 @@ def rfm_metrics(core: Core) -> DataFrame:
 
 
 def rfm_scores(metrics: DataFrame) -> DataFrame:
-    """r/f/m scores 1..5 (5 = best) by three distributed NTILE(5)."""
-    tie = F.col(PERSON).asc_nulls_last()
-    s = ntile_global(metrics, 5, [F.col("recency_days").desc_nulls_first(), tie], "r_score")
-    s = ntile_global(s, 5, [F.col("frequency").asc_nulls_last(), tie], "f_score")
-    return ntile_global(s, 5, [F.col("monetary_total").asc_nulls_last(), tie], "m_score")
+    """r/f/m scores 1..5 (5 = best): NTILE(5) of the customer base, in one pass over it.
+
+    Only (value, person) is ordered, to find each score's four last rows of a
+    bucket; all rows are then compared with these twelve.
+    """
+    tie = Ordered(PERSON)
+    orders = {"r_score": [Ordered("recency_days", ascending=False, nulls_first=True), tie],
+              "f_score": [Ordered("frequency"), tie], "m_score": [Ordered("monetary_total"), tie]}
+    with ThreadPoolExecutor(max_workers=len(orders)) as pool:
+        bounds = dict(zip(orders, pool.map(lambda o: ntile_bounds(metrics, 5, o), orders.values())))
+    return metrics.select("*", *(ntile_by_bounds(bounds[name], order).alias(name) for name, order in orders.items()))
 
 
 def rfm_scored(core: Core) -> DataFrame:
     """Metrics + r/f/m scores."""
     metrics = rfm_metrics(core)
     checkpoint_root(metrics.sparkSession)
-    # Materialise once: the three range sorts below each re-read it.
+    # Materialise once: the three orderings and the scoring pass each re-read it.
     return rfm_scores(metrics.checkpoint(eager=True))
 
 

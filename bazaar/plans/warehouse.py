@@ -1,8 +1,8 @@
 """One source's layers: staging, core and analytics, each written once.
 
-Staging, core and analytics tables are written as Parquet under a fresh
-folder of the shared checkpoint root and read back, so every downstream query
-scans columnar files.  A ``Warehouse`` is memoised per (application, source) so a
+Core and analytics tables (and staging tables of text sources) are written as
+Parquet under a fresh folder of the shared checkpoint root and read back, so
+every downstream query scans columnar files.  A ``Warehouse`` is memoised per (application, source) so a
 session that runs many queries builds each layer once.
 """
 
@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import threading
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,23 +21,31 @@ from bazaar.sources.staging import Staging, staging_from_driver
 
 
 def load_staging(spark: SparkSession, raw: Staging, root: str) -> Staging:
-    """Write the nine raw tables once as Parquet (the staging layer) and read them back.
+    """The staging layer of a source.
 
-    One read of the raw inputs, no shuffle: later queries scan columnar files
-    with pruning and pushdown instead of re-parsing raw input.  The tables
-    are loaded as concurrent jobs; the returned Staging hands out each table
-    as soon as its own load has finished, so builds that need only small
-    tables do not wait for the largest one.
+    Columnar sources are read in place, pruned to what a query needs.  A table
+    of a text source is parsed once, when a query first asks for it, and kept
+    as Parquet.
     """
+    if raw.columnar:
+        return raw
+
     def load(name):
         path = f"{root}/{name}"
         raw.table(name).write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
-    pool = ThreadPoolExecutor(max_workers=len(STAGING_TABLES))
-    futures = {name: pool.submit(load, name) for name in STAGING_TABLES}
-    pool.shutdown(wait=False)
-    return Staging(lambda name: futures[name].result())
+    # Each table has its own lock: builds of different tables load side by side.
+    locks = {name: threading.Lock() for name in STAGING_TABLES}
+    loaded: dict[str, DataFrame] = {}
+
+    def once(name):
+        with locks[name]:
+            if name not in loaded:
+                loaded[name] = load(name)
+            return loaded[name]
+
+    return Staging(once)
 
 
 class Warehouse:
@@ -72,7 +79,12 @@ class Warehouse:
     def register_catalog(self, prefix: str = "") -> dict[str, list[str]]:
         """Expose the written layers as catalog databases ``{prefix}staging``,
         ``{prefix}core`` and ``{prefix}analytics`` (external tables over the
-        written files; metadata only, no data is moved)."""
+        written files).  Staging tables that were read in place are written first."""
+        for name in STAGING_TABLES:
+            if self.raw.columnar or not self._load_raw:
+                self.staging.table(name).write.mode("overwrite").parquet(f"{self.root}/staging/{name}")
+            else:
+                self.staging.table(name)
         layers = {"staging": {t: self.staging.table(t) for t in STAGING_TABLES},
                   "core": {t: self.core.table(t) for t in CORE_TABLES},
                   "analytics": {"rfm_customer": self.rfm, "rfm_segment_summary": self.rfm_summary}}
@@ -125,3 +137,10 @@ def warehouse_for(spark: SparkSession, sf_dir: str) -> Warehouse:
         if key not in _WAREHOUSES:
             _WAREHOUSES[key] = Warehouse(spark, staging_from_driver(spark, sf_dir))
         return _WAREHOUSES[key]
+
+
+def close_all() -> None:
+    """Drop the catalog metadata of all memoised warehouses (their files stay)."""
+    with _REG_LOCK:
+        while _WAREHOUSES:
+            _WAREHOUSES.popitem()[1].close()

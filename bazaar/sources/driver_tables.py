@@ -9,7 +9,8 @@ before any multiplication so both engines round identically.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 # Fixed mapping (one SELECT per staging table).
 MAPPING_SQL: dict[str, str] = {
@@ -108,33 +109,45 @@ _SOURCES = {
 }
 
 
-# Hash key used to spread a table whose mapping needs that distribution anyway
-# (the line numbering is a window partitioned by order key).
-_SPREAD_KEY = {"lineitem": "l_orderkey"}
+def _source(spark: SparkSession, sf_dir: str, table: str, spread: int | None) -> DataFrame:
+    """Scan one driver table as its files are split, or dealt out to ``spread`` partitions."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    return df.repartition(spread) if spread else df
 
 
-def _source(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """Scan one driver table, spread over the session's parallelism if the
-    files cannot be split (each driver table is a single row group)."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
-    try:   # the cluster's cores; the shuffle-partition setting without a SparkContext
-        target = spark.sparkContext.defaultParallelism
-    except Exception:  # noqa: BLE001
-        target = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    try:
-        spread = df.rdd.getNumPartitions() < target   # a plain scan: no job is run
-    except Exception:  # noqa: BLE001 — no RDD view (Spark Connect): always spread
-        spread = True
-    if spread:
-        key = _SPREAD_KEY.get(table)
-        df = df.repartition(target, key) if key else df.repartition(target)
-    return df
-
-
-def mapped_staging_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+# The line number of the order_items mapping, as DuckDB computes it.
+LINE_NUMBER = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax, l_shipdate)"
+# Line numbers of an order that are ordered together.
+LINE_BLOCK = 1000
+
+
+def number_lines(lines: DataFrame) -> DataFrame:
+    """``lines`` with ``line_position``: their rank within the order (LINE_NUMBER's values).
+
+    An order may hold a huge share of all lines, so rows are ranked within
+    blocks of line numbers and follow the counts of the order's earlier blocks.
+    Only orders of several blocks have such counts to join.
+    """
+    block = F.floor(F.col("l_linenumber") / LINE_BLOCK)
+    order = [F.col(c).asc_nulls_first() for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax", "l_shipdate")]
+    inside = F.row_number().over(Window.partitionBy("l_orderkey", "_block").orderBy(*order))
+    earlier = F.sum("_n").over(Window.partitionBy("l_orderkey").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    blocks = lines.groupBy("l_orderkey", block.alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
+    before = (blocks.withColumn("_before", earlier).where(F.col("_before") > 0)
+              .select(F.col("l_orderkey").alias("_order"), F.col("_block").alias("_of"), "_before"))
+    ranked = lines.withColumn("_block", block).withColumn("_inside", inside)
+    joined = ranked.join(before, (F.col("l_orderkey") == F.col("_order")) & (F.col("_block") == F.col("_of")), "left")
+    return (joined.withColumn("line_position", F.coalesce("_before", F.lit(0)) + F.col("_inside"))
+                  .drop("_block", "_inside", "_order", "_of", "_before"))
+
+
+def mapped_staging_table(spark: SparkSession, sf_dir: str, name: str, spread: int | None = None) -> DataFrame:
     """One staging table derived (lazily) from the driver's parquet files."""
+    dfs = {t: _source(spark, sf_dir, t, spread) for t in _SOURCES[name]}
     text = MAPPING_SQL[name].replace("{TS}", "TIMESTAMP_NTZ")
-    dfs = {t: _source(spark, sf_dir, t) for t in _SOURCES[name]}
+    if name == "order_items":
+        dfs["lineitem"] = number_lines(dfs["lineitem"])
+        text = text.replace(LINE_NUMBER, "line_position")
     return spark.sql(text, **dfs)
 
 

@@ -17,11 +17,16 @@ from bazaar.sources.driver_tables import mapped_staging_table
 from bazaar.sources.schemas import STAGING_SCHEMAS, STAGING_TABLES
 
 
+# Tables with newlines inside quoted values.
+MULTI_LINE = {"order_reviews"}
+
+
 def read_staging(spark: SparkSession, name: str, path: str, fmt: str = "csv") -> DataFrame:
     """Read one raw staging table with its fixed schema.
 
-    CSV: header row, fields applied by position, double-quote escaping and
-    multi-line values (review texts contain newlines), malformed rows abort.
+    CSV: header names must be the schema's, in its order; double-quote
+    escaping; malformed rows abort.  Only review texts contain newlines, so
+    only that file is read as a whole; the others are split.
     Parquet: columns selected and cast to the staging schema by name.
     """
     schema = STAGING_SCHEMAS[name]
@@ -29,7 +34,8 @@ def read_staging(spark: SparkSession, name: str, path: str, fmt: str = "csv") ->
         return (spark.read.schema(schema)
                 .option("header", True)
                 .option("mode", "FAILFAST")
-                .option("multiLine", True)
+                .option("enforceSchema", False)   # a header that differs is an error
+                .option("multiLine", name in MULTI_LINE)
                 .option("escape", '"')
                 .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
                 .csv(path))
@@ -44,6 +50,7 @@ class Staging:
     """The nine staging tables, resolved lazily and memoised per instance."""
 
     loader: Callable[[str], DataFrame]
+    columnar: bool = False   # scans prune columns: queries read the source in place
     _cache: dict = field(default_factory=dict)
     _lock: threading.RLock = field(default_factory=threading.RLock)
 
@@ -70,13 +77,17 @@ class Staging:
 def staging_from_files(spark: SparkSession, root: str, fmt: str = "csv",
                        names: dict[str, str] | None = None) -> Staging:
     """Staging over raw files ``{root}/{file}``; ``names`` maps table -> file name."""
-    names = names or {t: f"{t}.{fmt}" for t in STAGING_TABLES}
-    return Staging(lambda t: read_staging(spark, t, f"{root.rstrip('/')}/{names[t]}", fmt))
+    files = {t: f"{t}.{fmt}" for t in STAGING_TABLES} | (names or {})
+    return Staging(lambda t: read_staging(spark, t, f"{root.rstrip('/')}/{files[t]}", fmt), columnar=fmt == "parquet")
 
 
-def staging_from_driver(spark: SparkSession, sf_dir: str) -> Staging:
-    """Staging derived from the driver's TPC-H-like parquet tables."""
-    return Staging(lambda t: mapped_staging_table(spark, sf_dir, t))
+def staging_from_driver(spark: SparkSession, sf_dir: str, spread: int | None = None) -> Staging:
+    """Staging derived from the driver's TPC-H-like parquet tables.
+
+    ``spread`` deals each table out to so many partitions first: for files of a
+    single row group, which one task would read.
+    """
+    return Staging(lambda t: mapped_staging_table(spark, sf_dir, t, spread), columnar=True)
 
 
 def staging_from_frames(frames: dict[str, DataFrame]) -> Staging:

@@ -100,6 +100,14 @@ def dirty_tables():
     return t
 
 
+def unknown_time_tables():
+    """The golden tables with delivered orders of unknown purchase time, of a new and of a known person."""
+    t = {k: list(v) for k, v in TABLES.items()}
+    t["orders"] += [("oN1", "c4", "delivered", None, None, None, None, None), ("oN2", "c3", "delivered", None, None, None, None, None)]
+    t["order_items"] += [("oN1", 1, "p1", "s1", None, D("3.00"), D("0.30")), ("oN2", 1, "p2", "s2", None, D("4.00"), D("0.40"))]
+    return t
+
+
 def skewed_tables(seed: int = 11):
     """A generated staging set with hot keys, heavy ties and every trap class.
 
@@ -134,6 +142,9 @@ def skewed_tables(seed: int = 11):
             purchase = T(2020, rnd.choice([1, 3, 5, 7]), 31, rnd.randint(0, 23), rnd.randint(0, 59))
         else:
             purchase = base + timedelta(days=rnd.randint(0, 1094), seconds=rnd.randint(0, 86399))
+        if i % 113 == 7:   # unknown purchase time
+            orders.append((f"o{i:05d}", cust, status, None, None, None, None, None))
+            continue
         approved = None if i % 41 == 0 else purchase + timedelta(hours=rnd.randint(-3, 30))
         carrier = None if i % 37 == 0 else purchase + timedelta(days=rnd.randint(1, 4))
         delivered = (purchase + timedelta(days=rnd.randint(0, 20))) if status == "delivered" else None

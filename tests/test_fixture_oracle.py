@@ -15,13 +15,13 @@ from bazaar.plans.oracle_sql import oracle_sql_over_staging
 from bazaar.plans.warehouse import Warehouse
 from bazaar.sources.staging import staging_from_frames
 
-from .fixtures import TABLES, frames, skewed_tables
+from .fixtures import TABLES, frames, skewed_tables, unknown_time_tables
 from .test_oracle import _canon
 
 
-@pytest.fixture(scope="module", params=["golden", "skewed"])
+@pytest.fixture(scope="module", params=["golden", "unknown_time", "skewed"])
 def case(spark, request):
-    tables = TABLES if request.param == "golden" else skewed_tables()
+    tables = {"golden": lambda: TABLES, "unknown_time": unknown_time_tables, "skewed": skewed_tables}[request.param]()
     root = tempfile.mkdtemp(prefix=f"bazaar-{request.param}-")
     paths = {}
     for name, df in frames(spark, tables).items():

@@ -61,10 +61,10 @@ def test_percentile_cont_matches_exact(spark, skewed):
         rn = 1 + frac * (n - 1)
         lo, hi = int(rn // 1), int(-(-rn // 1))
         want = vals[lo - 1] + (vals[hi - 1] - vals[lo - 1]) * (rn - lo)
-        got = percentile_cont_global(skewed, "amount", frac, ["id"], "p").first().p
+        got = percentile_cont_global(skewed, "amount", frac, "p").first().p
         assert got == pytest.approx(want, rel=1e-12)
     empty = skewed.where("freq < 0")
-    assert percentile_cont_global(empty, "amount", 0.5, ["id"], "p").first().p is None
+    assert percentile_cont_global(empty, "amount", 0.5, "p").first().p is None
 
 
 def test_top_k_rank_is_global_rank(spark):
