@@ -316,3 +316,20 @@ def one_of_each(docs: DataFrame, threshold: float = NEAR) -> DataFrame:
 def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of ``documents``: five-word shingles, similarity 0.8 or more."""
     return near_classes(table(spark, sf_dir, "documents"))
+
+
+#: Exact similarities of all pairs of texts that share a shingle, and components by propagation.
+ORACLE = r"""
+WITH RECURSIVE named AS (SELECT doc_id, ifnull(text, '') AS t FROM documents),
+texts AS (SELECT t, min(doc_id) AS id, count(*) AS n_copies FROM named GROUP BY t),
+words AS (SELECT id, list_filter(regexp_split_to_array(t, '[ \t\n\r\f\x0B]+'), lambda x: x <> '') AS w FROM texts),
+sh AS (SELECT DISTINCT id, unnest(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM words WHERE len(w) > 0),
+size AS (SELECT id, count(*) AS n FROM sh GROUP BY id),
+shared AS (SELECT a.id AS a, b.id AS b, count(*) AS n FROM sh a JOIN sh b ON a.s = b.s AND a.id <> b.id GROUP BY ALL),
+pair AS (SELECT a, b FROM shared JOIN size x ON x.id = a JOIN size y ON y.id = b WHERE shared.n >= 0.8 * (x.n + y.n - shared.n)),
+reach(id, root) AS (SELECT id, id FROM texts UNION SELECT p.b, r.root FROM reach r JOIN pair p ON p.a = r.id WHERE r.root < p.b),
+class AS (SELECT id, min(root) AS class_id FROM reach GROUP BY id),
+links AS (SELECT a AS id, count(*) AS n_links FROM pair GROUP BY a)
+SELECT named.doc_id, class_id, ifnull(n_links, 0) AS n_links, n_copies
+FROM named JOIN texts USING (t) JOIN class USING (id) LEFT JOIN links USING (id)
+"""

@@ -225,13 +225,16 @@ def _bucket_spans(min_bytes: int, keep: str):
     def solve(t: pa.Table) -> pa.RecordBatch:
         data, start, row = _windows(t)
         order, run = order_suffixes(data, start, min_bytes, t.column("gram").to_numpy()[row])
-        position = row[order]  # rows come in order of position
+        # Rows come in order of position; rows equal in id and text bring the same run, which is one place.
+        names = [t.column(c).to_numpy() for c in ("gram", "_hd", "_ht", "first")]
+        place = np.cumsum(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in names], axis=0)]))
+        position = place[row[order]]
         earlier, also = smaller_neighbours(position, run)
         repeat = (earlier >= 0) | (also >= 0)
         if keep == "none":
             earlier, also = smaller_neighbours(-position, run)
             repeat |= (earlier >= 0) | (also >= 0)
-            repeat &= t.column("alone").to_numpy()[position]
+            repeat &= t.column("alone").to_numpy()[row[order]]
         hit = np.sort(order[repeat])
         if not len(hit):
             return _span_rows([np.empty(0, np.int64)] * 2, hit, hit)
