@@ -26,5 +26,6 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op8_near_join": near_join.ORACLE,
     "op9_decontamination": decontaminate.ORACLE,
 }
