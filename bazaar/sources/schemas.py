@@ -1,6 +1,6 @@
 """Staging-layer schemas: the nine raw tables, all columns nullable.
 
-Money is DECIMAL(18,6) on read (the raw type is an unbounded numeric, Spark
+Money is DECIMAL(38,18) on read (the raw type is an unbounded numeric, Spark
 has none); coordinates are DECIMAL(38,18).  Timestamps carry no zone.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 S = T.StringType()
 I = T.IntegerType()
 TS = T.TimestampNTZType()
-MONEY_RAW = T.DecimalType(18, 6)
+MONEY_RAW = T.DecimalType(38, 18)
 COORD = T.DecimalType(38, 18)
 
 
