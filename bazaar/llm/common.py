@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,7 +21,35 @@ SHINGLE_WORDS = 5
 NEAR = 0.8
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the session's Python workers this package, once per application.
+
+    A zip of the package goes to the shared folder and to Spark's list of
+    Python files, so tasks can import it wherever the driver was started.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = Path(__file__).resolve().parent.parent
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    uri = shared_folder(spark, "code")
+    fs, folder = shared_fs(uri)
+    fs.create_dir(folder, recursive=True)
+    with fs.open_output_stream(f"{folder}/{package.name}.zip") as file:
+        file.write(held.getvalue())
+    spark.sparkContext.addPyFile(f"{uri}/{package.name}.zip")
+    _shipped.add(app)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder; its queries' tasks can import this package."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

@@ -14,7 +14,7 @@ from bazaar.llm import decontaminate, near_join, packing, quality, suffix_dedup
 from bazaar.llm.common import crc32_of_id, cut, table
 
 #: Repeated passages of at least so many bytes (about fifty words) are cut; a shorter anchor finds them.
-PASSAGE_BYTES, PASSAGE_ANCHOR = 256, 100
+PASSAGE_BYTES, PASSAGE_ANCHOR = 300, 120
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
