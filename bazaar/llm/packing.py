@@ -192,10 +192,10 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> tuple[list[tup
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``items`` (with ``length``, 1 to capacity) with ``sequence_id`` and ``offset``."""
     spark = items.sparkSession
-    # Stored rows keep their partition and order when read again, so a row's
-    # number within (partition, length) is stable under retries.
-    stored = cut(items.drop("sequence_id", "offset", "_part", "_at", "_n", "_before", "_rank"))
-    tagged = stored.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33))
+    # Each row is stored with a number that names its writing task and place, so
+    # ranks stay what they are when tasks are repeated or files are split anew.
+    items = items.drop("sequence_id", "offset", "_part", "_at", "_n", "_before", "_rank")
+    tagged = cut(items.withColumn("_at", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_at", 33))
     per_part = tagged.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
     counts = {r["length"]: r["n"] for r in per_part.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
     if counts and not 1 <= min(counts) <= max(counts) <= capacity:
@@ -207,7 +207,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     offsets = per_part.select("length", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
     number = F.row_number().over(Window.partitionBy("_part", "length").orderBy("_at")) - 1
     ranked = (tagged.withColumn("_rank", number).join(offsets, ["length", "_part"])
-              .withColumn("_rank", F.col("_rank") + F.col("_before")).select(*stored.columns, "_rank"))
+              .withColumn("_rank", F.col("_rank") + F.col("_before")).select(*items.columns, "_rank"))
     sent = spark.sparkContext.broadcast({k: (np.array([s[1] for s in v]), np.array(v)) for k, v in by_length.items()})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +225,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             keep = [c for c in batch.schema.names if c != "_rank"]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(bin_), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
-    out = T.StructType([*stored.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    out = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(place, out)
 
 

@@ -118,9 +118,8 @@ def shard(docs: DataFrame, shards: int, dimensions: dict[str, Column] | None = N
     text = F.coalesce("text", F.lit(""))
     sized = docs.withColumns({"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text.cast("binary"))})
     dims = dimensions or default_dimensions(docs)
-    # Stored without the texts; a stored row keeps its number when read again.
-    rows = cut(sized.select("doc_id", "size", "text_crc32", F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(1), text).alias("g2"), *(c.alias(f"_{d}") for d, c in dims.items())))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    # Stored without the texts, each row with a number that stays when tasks are repeated.
+    rows = cut(sized.select(F.monotonically_increasing_id().alias("row"), "doc_id", "size", "text_crc32", F.xxhash64(text).alias("g1"), F.xxhash64(F.lit(1), text).alias("g2"), *(c.alias(f"_{d}") for d, c in dims.items())))
     names = [f"_{d}" for d in dims]
     groups = cut(rows.groupBy("g1", "g2").agg(F.sum("size").alias("w"), *(F.min(n).alias(n) for n in names)))
     first = groups.agg(F.sum("w").alias("w"), *(f(n).alias(f"{n}{s}") for n in names for s, f in (("low", F.min), ("high", F.max)))).first()
