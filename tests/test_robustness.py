@@ -115,3 +115,16 @@ def test_header_must_match(spark):
         f.write("customer_unique_id,customer_id,customer_zip_code_prefix,customer_city,customer_state\nu1,c1,01310,sao paulo,SP\n")
     with pytest.raises(Exception, match="(?i)header|column name"):
         read_staging(spark, "customers", path).collect()
+
+
+def test_segment_averages_of_unrounded_ratios(spark):
+    """The summary sums ratios as decimals of ten places; plain averages agree within that."""
+    from .fixtures import skewed_tables
+
+    wh = Warehouse(spark, golden_staging(spark, skewed_tables()))
+    plain = {r.rfm_segment: r for r in wh.rfm.groupBy("rfm_segment").agg(
+        F.avg(F.col("monetary_total").cast("double") / F.col("frequency")).alias("aov"),
+        F.avg(F.col("frequency") / F.col("lifespan_months") * (F.col("monetary_total").cast("double") / F.col("frequency")) * 12).alias("ltv")).collect()}
+    for r in wh.rfm_summary.collect():
+        assert r.avg_order_value == pytest.approx(plain[r.rfm_segment].aov, rel=1e-9)
+        assert r.avg_ltv_12m_approx == pytest.approx(plain[r.rfm_segment].ltv, rel=1e-9)

@@ -37,7 +37,9 @@ from bazaar.sources.staging import staging_from_files  # noqa: E402
 
 HEADLINE = ["fact_orders", "fact_order_items", "fact_reviews", "revenue_total_vs_delivered",
             "monthly_revenue_growth", "seller_top20", "category_performance", "cohort_matrix",
-            "unique_customers_delivered", "aov_mean_median", "rfm_customer"]
+            "unique_customers_delivered", "aov_mean_median", "rfm_customer",
+            "cohort_base_preview", "cohort_base_count", "cohort_base_grain", "cohort_base_nulls", "cohort_base_range",
+            "cohort_activity"]
 
 
 def generate(spark, root: str, n_lines: int) -> None:
@@ -172,10 +174,10 @@ def main() -> None:
               "* Paths that pre-aggregate before the shuffle (revenue per order for D2, D4, D5, F1, F8;",
               "  customer-months for cohorts) keep the hot order and the hot customer out of any task:",
               "  their largest task reads about as much as the median one.",
-              "* Raw order lines joined with orders (D6, D7) rely on AQE's skew join: the plan shows",
-              "  `SortMergeJoin(skew=true)` and the hot order's partition is split along map outputs.",
-              "  On this small input the lines come from few files (one row group each), so the split",
-              "  is coarse; on a large table with thousands of map tasks it is fine-grained.",
+              "* D6 and D7 sum lines per (order, product or seller) before they join orders: partial",
+              "  sums shrink the hot order and its products or sellers spread the rest.",
+              "* E1-E5 join delivered orders with customers at order grain (they list and count orders);",
+              "  the hot customer's partition is split by AQE's skew join.  E9 works on person-months.",
               "* Where the largest task equals the stage median (key checks in `core_build`, the",
               "  distinct-customer count, the cohort steps after person-month deduplication), AQE",
               "  coalesced a small shuffle into one task; the keys there are unique or already",
