@@ -154,6 +154,36 @@ def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     return out
 
 
+def by_bytes(cells: list[bytes], most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Ranges of consecutive cells of about ``most`` bytes together (at least one cell each)."""
+    out, start, size = [], 0, 0
+    for i, cell in enumerate(cells):
+        if i > start and size + len(cell) > most:
+            out.append((start, i))
+            start, size = i, 0
+        size += len(cell)
+    return [*out, (start, len(cells))] if cells else []
+
+
+def shingle_batch(cells: list[bytes], words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle fingerprints of several texts end to end, and where each text's begin.
+
+    The same fingerprints as ``shingle_hashes``; a text of fewer words has none.
+    """
+    data = np.frombuffer(b"\n".join(cells), dtype=np.uint8)
+    starts = np.cumsum([0, *(len(c) + 1 for c in cells[:-1])])
+    start, end = word_bounds(data)
+    size = len(start) - words + 1
+    if size < 1:
+        return np.empty(0, dtype=np.uint64), np.zeros(len(cells) + 1, dtype=np.int64)
+    word, text = Rolling(data).at(start, end), np.searchsorted(starts, start, side="right") - 1
+    out = np.full(size, words, dtype=np.uint64)
+    for i in range(words):
+        out = mix64(out * np.uint64(Rolling.BASE) + word[i:i + size])
+    inside = text[:size] == text[words - 1:]
+    return out[inside], np.concatenate([[0], np.cumsum(np.bincount(text[:size][inside], minlength=len(cells)))])
+
+
 def shared_fs(uri: str):
     """(file system, path) of a folder that all machines reach under the same address."""
     from pyarrow import fs

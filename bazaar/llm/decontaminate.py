@@ -28,14 +28,15 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import NEAR, SHINGLE_WORDS, mix64, shingle_hashes, table
+from bazaar.llm.common import NEAR, SHINGLE_WORDS, by_bytes, mix64, shingle_batch, shingle_hashes, table
 
 MISS = 1e-6
 BLOCK_BYTES = 8 << 20
@@ -65,29 +66,33 @@ class Partition:
 
     @classmethod
     def of(cls, words: int, size: int, items: list[tuple[int, np.ndarray]], threshold: float) -> Partition:
-        n = hashes_needed(size, threshold)
-        a = _multipliers(n)
+        a = _multipliers(hashes_needed(size, threshold))
         sign = np.array([(s[None, :] * a[:, None]).min(axis=1) for _, s in items]).T  # hash function x item
         order = np.argsort(sign, axis=1, kind="stable")
         return cls(words, size, [r for r, _ in items], [s for _, s in items], np.take_along_axis(sign, order, axis=1), order)
 
-    def candidates(self, shingles: np.ndarray) -> np.ndarray:
-        """Items that share a minimum with some window of a document."""
-        step = 2 * self.size
-        edges = np.arange(0, len(shingles), step)
-        found = np.zeros(len(self.rows), dtype=bool)
-        for a, minima, owner in zip(_multipliers(len(self.minima)), self.minima, self.owner):
-            half = np.minimum.reduceat(shingles * a, edges)
-            least = np.minimum(half[:-1], half[1:]) if len(half) > 1 else half
-            low = np.searchsorted(minima, least)
-            hit = low < len(minima)
-            hit[hit] = minima[low[hit]] == least[hit]
-            if hit.any():
-                low = np.unique(low[hit])
-                high = np.searchsorted(minima, minima[low], side="right")
-                for x, y in zip(low, high):
-                    found[owner[x:y]] = True
-        return np.flatnonzero(found)
+    @cached_property
+    def seen(self) -> np.ndarray:
+        """Per hash function, which slots of a small table some item's minimum falls in."""
+        out = np.zeros((len(self.minima), 1 << self.bits), dtype=bool)
+        np.put_along_axis(out, self.slot(self.minima).astype(np.int64), True, axis=1)
+        return out
+
+    @cached_property
+    def bits(self) -> int:
+        return min(18, max(12, (64 * len(self.rows)).bit_length()))
+
+    def slot(self, minima: np.ndarray) -> np.ndarray:
+        return (minima * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)
+
+    def match(self, function: int, least: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(window, item) pairs whose minima under a hash function agree."""
+        minima, owner = self.minima[function], self.owner[function]
+        for w in np.flatnonzero(self.seen[function][self.slot(least)]):
+            low = np.searchsorted(minima, least[w])
+            while low < len(minima) and minima[low] == least[w]:
+                yield w, owner[low]
+                low += 1
 
 
 def build(items: list[str | None], threshold: float) -> list[Partition]:
@@ -100,24 +105,52 @@ def build(items: list[str | None], threshold: float) -> list[Partition]:
     return [Partition.of(w, n, got, threshold) for (w, n), got in sorted(groups.items())]
 
 
-def search(text: str | None, parts: list[Partition], threshold: float) -> Iterator[tuple[int, int, int]]:
-    """(item row, its shingles, those found) of the items contained in a text."""
-    by_words: dict[int, np.ndarray] = {}
-    own: dict[int, np.ndarray] = {}
+def candidates(shingles: np.ndarray, starts: np.ndarray, parts: list[Partition]) -> set[tuple[int, int, int]]:
+    """(text, partition, item) where some window of a text shares a minimum with an item.
+
+    ``parts`` have the same shingle length and rising sizes.  A window is two
+    neighbouring blocks of a text; the blocks of a larger size class consist of
+    those of the smaller one, so each hash function reads the shingles once.
+    """
+    levels, size, first, number = [], 1, starts[:-1], np.diff(starts)
     for part in parts:
-        s = by_words.get(part.words)
-        if s is None:
-            s = by_words[part.words] = shingle_hashes(text, part.words)
-        if not len(s):
-            continue
-        for i in part.candidates(s):
-            if part.words not in own:
-                own[part.words] = np.unique(s)
-            item, there = part.sets[i], own[part.words]
-            at = np.minimum(np.searchsorted(there, item), len(there) - 1)
-            n = int((there[at] == item).sum())
-            if n >= threshold * len(item):
-                yield part.rows[i], len(item), n
+        factor, size = 2 * part.size // size, 2 * part.size
+        number = -(-number // factor)
+        inside = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)
+        edges = np.repeat(first, number) + inside * factor
+        first = np.cumsum(number) - number
+        text = np.repeat(np.arange(len(number)), number)
+        levels.append((edges, text, text[1:] == text[:-1]))
+    found = set()
+    for function, a in enumerate(_multipliers(max(len(p.minima) for p in parts))):
+        least = shingles * a
+        for k, (part, (edges, text, follows)) in enumerate(zip(parts, levels)):
+            least = np.minimum.reduceat(least, edges)
+            if function < len(part.minima):
+                window = least.copy()
+                np.minimum(window[:-1], least[1:], out=window[:-1], where=follows)
+                found.update((int(text[w]), k, int(i)) for w, i in part.match(function, window))
+    return found
+
+
+def search(texts: list[str | None], parts: list[Partition], threshold: float) -> Iterator[tuple[int, int, int, int]]:
+    """(text, item row, its shingles, those found) of the items contained in some texts."""
+    cells = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    for _, group in groupby(parts, key=lambda p: p.words):
+        group = list(group)
+        for low, high in by_bytes(cells):
+            shingles, starts = shingle_batch(cells[low:high], group[0].words)
+            own: tuple[int, np.ndarray] | None = None
+            if not len(shingles):
+                continue
+            for text, k, i in sorted(candidates(shingles, starts, group)):
+                if own is None or own[0] != text:
+                    own = text, np.unique(shingles[starts[text]:starts[text + 1]])
+                item, there = group[k].sets[i], own[1]
+                at = np.minimum(np.searchsorted(there, item), len(there) - 1)
+                n = int((there[at] == item).sum())
+                if n >= threshold * len(item):
+                    yield low + text, group[k].rows[i], len(item), n
 
 
 def _blocks(items: DataFrame, threshold: float, block_bytes: int) -> Iterator[tuple[list[Partition], list]]:
@@ -141,7 +174,7 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = NEAR, block
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parts, ids = sent.value
             for batch in batches:
-                got = [(i, *hit) for i, text in enumerate(batch.column("text")) for hit in search(text.as_py(), parts, threshold)]
+                got = list(search(batch.column("text").to_pylist(), parts, threshold))
                 if got:
                     row, item, n, found = (np.array(x) for x in zip(*got))
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array([ids[i] for i in item]), pa.array(n), pa.array(found), pa.array(found / n)],
@@ -159,7 +192,9 @@ def without_items(docs: DataFrame, items: DataFrame, threshold: float = NEAR, bl
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([next(search(x.as_py(), sent.value, threshold), None) is None for x in batch.column("text")], pa.bool_()))
+                clean = np.ones(len(batch), dtype=bool)
+                clean[[hit[0] for hit in search(batch.column("text").to_pylist(), sent.value, threshold)]] = False
+                yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
