@@ -47,9 +47,10 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of a folder; its queries' tasks can import this package."""
-    ship(spark)
+def table(spark: SparkSession, sf_dir: str, name: str, python: bool = True) -> DataFrame:
+    """A table of a folder; with ``python``, tasks can import this package."""
+    if python:
+        ship(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 

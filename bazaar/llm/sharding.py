@@ -173,5 +173,5 @@ def shard(docs: DataFrame, shards: int, dimensions: dict[str, Column] | None = N
 
 def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` in eight shards of near equal bytes; equal texts stay together."""
-    return shard(table(spark, sf_dir, "documents"), 8).select(
+    return shard(table(spark, sf_dir, "documents", python=False), 8).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
