@@ -113,6 +113,12 @@ def _split_all(points: DataFrame, root: Node, dims: list[str], target: float) ->
                 del active[i]
 
 
+def _literal_rows(spark: SparkSession, rows: list[tuple], columns: dict[str, str]) -> DataFrame:
+    """A few rows of numbers as literals in the plan."""
+    arrays = [F.lit(list(values)).cast(f"array<{kind}>").alias(name) for values, (name, kind) in zip(zip(*rows), columns.items())]
+    return spark.range(1).select(F.explode(F.arrays_zip(*arrays)).alias("row")).select("row.*")
+
+
 def shard(docs: DataFrame, shards: int, dimensions: dict[str, Column] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of each row; shards hold near equal bytes."""
     text = F.coalesce("text", F.lit(""))
@@ -134,8 +140,7 @@ def shard(docs: DataFrame, shards: int, dimensions: dict[str, Column] | None = N
         s = min(range(shards), key=lambda k: filled[k])
         filled[s] += w
         placed.append((g1, g2, part, int(parts), s))
-    spark = docs.sparkSession
-    heavy_at = spark.createDataFrame(placed or [(0, 0, -1, 1, 0)], "g1 long, g2 long, part int, parts int, shard int")
+    heavy_at = _literal_rows(docs.sparkSession, placed or [(0, 0, -1, 1, 0)], {"g1": "bigint", "g2": "bigint", "part": "int", "parts": "int", "shard": "int"})
 
     # The tree over all other groups, into the room that is left.
     span = lambda n: max((first[f"{n}high"] or 0) - (first[f"{n}low"] or 0), 1e-12)

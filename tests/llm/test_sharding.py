@@ -50,3 +50,9 @@ def test_other_dimensions(frame):
     got = S.shard(frame(rows), 4, {"first": F.length("text").cast("double"), "null": F.lit(None).cast("double")}).collect()
     sizes = check(rows, got, 4)
     assert max(sizes.values()) < 1.1 * min(sizes.values())
+
+
+def test_no_python_in_the_plan(frame):
+    rows = frame([(i, f"text {i % 7}") for i in range(50)])
+    plan = S.shard(rows.select("doc_id", "text"), 4)._jdf.queryExecution().toString()
+    assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "ExistingRDD"))
