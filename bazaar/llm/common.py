@@ -137,17 +137,27 @@ def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
+def word_hashes(data: np.ndarray, most: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and fingerprints of the words; about ``most`` bytes are fingerprinted at a time."""
+    start, end = word_bounds(data)
+    out, i = np.empty(len(start), dtype=np.uint64), 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + most, side="right")))
+        low = start[i]
+        out[i:j] = Rolling(data[low:end[j - 1]]).at(start[i:j] - low, end[i:j] - low)
+        i = j
+    return start, out
+
+
 def shingle_hashes(text: str | None, words: int = SHINGLE_WORDS) -> np.ndarray:
     """64-bit fingerprints of a text's word shingles, in order, repeats kept.
 
     A text of fewer words than a shingle has one shingle of all its words; a
     null text or one without words has none.
     """
-    data = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
-    start, end = word_bounds(data)
-    if not len(start):
+    _, word = word_hashes(np.frombuffer((text or "").encode("utf-8", "surrogatepass"), dtype=np.uint8))
+    if not len(word):
         return np.empty(0, dtype=np.uint64)
-    word = Rolling(data).at(start, end)
     n = min(words, len(word))
     out = np.full(len(word) - n + 1, n, dtype=np.uint64)
     for i in range(n):
@@ -173,11 +183,11 @@ def shingle_batch(cells: list[bytes], words: int = SHINGLE_WORDS) -> tuple[np.nd
     """
     data = np.frombuffer(b"\n".join(cells), dtype=np.uint8)
     starts = np.cumsum([0, *(len(c) + 1 for c in cells[:-1])])
-    start, end = word_bounds(data)
+    start, word = word_hashes(data)
     size = len(start) - words + 1
     if size < 1:
         return np.empty(0, dtype=np.uint64), np.zeros(len(cells) + 1, dtype=np.int64)
-    word, text = Rolling(data).at(start, end), np.searchsorted(starts, start, side="right") - 1
+    text = np.searchsorted(starts, start, side="right") - 1
     out = np.full(size, words, dtype=np.uint64)
     for i in range(words):
         out = mix64(out * np.uint64(Rolling.BASE) + word[i:i + size])
