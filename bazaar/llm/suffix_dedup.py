@@ -52,7 +52,7 @@ ANCHOR_BYTES = 160
 #: Most different runs of one bucket that a task puts in suffix order itself.
 WIDE = 20_000
 #: Bytes of a document that are fingerprinted at a time, and bytes of buckets ordered at a time.
-CHUNK, BATCH = 1 << 20, 4 << 20
+CHUNK, BATCH = 1 << 20, 2 << 20
 
 
 # -- numpy core -----------------------------------------------------------------
@@ -246,9 +246,7 @@ def _bucket_spans(min_bytes: int, keep: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (b.slice(i, 2000) for b in batches for i in range(0, len(b), 2000)):
             held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held is not None else pa.Table.from_batches([batch])
             if held.nbytes < BATCH:
                 continue
@@ -283,7 +281,10 @@ def _window_rows(min_bytes: int):
 
 
 def _run_spans(min_bytes: int):
-    """Spans of the runs that are repeats as a whole; ``skip`` names one that stays."""
+    """Spans of the runs that are repeats as a whole; ``skip`` names one that stays.
+
+    A row for each document of a batch, with its spans merged.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
@@ -293,7 +294,17 @@ def _run_spans(min_bytes: int):
             row = np.repeat(np.arange(len(batch)), counts)
             stay = batch.column("skip").to_numpy(zero_copy_only=False)[row] == at[:, 1]
             row, at = row[~stay], at[~stay]
-            yield _span_rows([batch.column(c).to_numpy()[row] for c in ("_hd", "_ht")], at[:, 1], at[:, 1] + at[:, 2] + (min_bytes - 1))
+            if not len(row):
+                continue
+            hd, ht = (batch.column(c).to_numpy()[row] for c in ("_hd", "_ht"))
+            order = np.lexsort((ht, hd))
+            hd, ht, at = hd[order], ht[order], at[order].astype(np.int64)
+            new = np.concatenate([[True], (hd[1:] != hd[:-1]) | (ht[1:] != ht[:-1])])
+            # Documents lie 2**32 apart on one line, so all are merged at once.
+            base = (np.cumsum(new) - 1) << 32
+            start, end = merge_spans(at[:, 1] + base, at[:, 1] + at[:, 2] + (min_bytes - 1) + base)
+            spans = np.column_stack([start, end]) & 0xFFFFFFFF
+            yield pa.RecordBatch.from_arrays([pa.array(hd[new]), pa.array(ht[new]), _binary(spans.ravel(), 2 * np.bincount(start >> 32))], ["_hd", "_ht", "at"])
 
     return run
 
@@ -340,14 +351,15 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "fir
             .mapInArrow(_anchor_rows(min_bytes, anchor_bytes), rows))
 
     # Anchors that occur more than once; the rest of the corpus needs no further look.
-    often = (runs.groupBy("gram").agg(F.sum("occurs").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
+    # Stored, so that the join's two sides are plain shuffles and Spark can split a hot anchor.
+    often = cut(runs.groupBy("gram").agg(F.sum("occurs").alias("n"), F.min("whole").alias("lo"), F.max("whole").alias("hi"))
              .where("n > 1").select("gram", (F.col("lo") != F.col("hi")).alias("mixed")))
     runs = cut(runs.join(often, "gram"))
 
     # Equal runs: how many, and the first of them.
     place = lambda i: F.conv(F.concat(*(F.hex(F.substring("at", 4 * i + j, 1)) for j in (4, 3, 2, 1))), 16, 10).cast("int")  # noqa: E731  little-endian
     me = F.struct("doc_id", "_ht", F.col("_first"), "_hd", F.col("_place"), F.col("_windows"))
-    equal = (runs.withColumns({"_place": place(0), "_first": place(1), "_windows": place(2)})
+    equal = cut(runs.withColumns({"_place": place(0), "_first": place(1), "_windows": place(2)})
              .groupBy("gram", "whole", "mixed").agg(F.sum("occurs").alias("n"), F.min(me).alias("top")))
     judged = runs.join(equal.select("gram", "whole", "n", "top"), ["gram", "whole"])
     is_top = (F.col("_hd") == F.col("top._hd")) & (F.col("_ht") == F.col("top._ht"))
