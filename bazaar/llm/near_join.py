@@ -268,7 +268,8 @@ def near_classes(docs: DataFrame, threshold: float = NEAR, recall: float = RECAL
     texts = cut(signed.groupBy("text_id", "guard").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.first("sign").alias("sign"), F.first("keys").alias("keys")))
 
     members = texts.select("text_id", F.posexplode("keys").alias("tree", "key"))
-    nodes = members.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Stored, so that the join's two sides are plain shuffles and Spark can split a hot node.
+    nodes = cut(members.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     tiles = F.ceil(F.col("n") / F.lit(tile)).cast("int")
     mine = F.pmod(F.xxhash64("text_id", F.lit(5)), F.col("tiles")).cast("int")
     shared = members.join(nodes, ["tree", "key"]).withColumn("tiles", tiles).withColumn("tile", mine)
@@ -279,11 +280,12 @@ def near_classes(docs: DataFrame, threshold: float = NEAR, recall: float = RECAL
     wanted = cut(with_sign.repartition(*node).sortWithinPartitions(*node)
                  .mapInArrow(_wanted(depth, threshold), "tree int, key long, i int, j int, tile int, text_id long, sign binary"))
 
-    # The text of each wanted member: of equal texts, the first document's.
+    # The text of each wanted member: of equal texts, the first document's.  The
+    # id is part of the join's key, so the copies of a text are spread.
     places = wanted.groupBy("text_id").agg(F.collect_list(F.struct(*node, "tile", "sign")).alias("at"))
-    holders = places.join(texts.select("text_id", "guard", "first_id"), "text_id")
-    bodies = (named.join(holders, ["text_id", "guard"]).where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-              .select("text_id", "text", F.explode("at").alias("at")).select("text_id", "text", "at.*"))
+    holders = places.join(texts.select("text_id", "guard", "first_id"), "text_id").select(F.col("text_id").alias("_t"), F.col("guard").alias("_g"), "first_id", "at")
+    first = (F.col("text_id") == F.col("_t")) & (F.col("guard") == F.col("_g")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    bodies = named.join(holders, first).select("text_id", "text", F.explode("at").alias("at")).select("text_id", "text", "at.*")
     verified = cut(bodies.repartition(*node).sortWithinPartitions(*node).mapInArrow(_links(depth, threshold), "text_id long, links long, root long"))
 
     links = verified.groupBy("text_id").agg(F.sum("links").alias("n_links"))
