@@ -153,9 +153,11 @@ def _attempt() -> str:
 def with_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, url, html, sha1 (hex), refers_to and revisit of each page."""
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha1", F.sha1(F.col("html").cast("binary")))
-    first = pages.groupBy("sha1").agg(F.min("page_id").alias("first_id"))
+    # Only digests of several pages; stored, so that the join's two sides are plain
+    # shuffles and Spark can split a digest that many pages share.
+    first = cut(pages.groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
     revisit = (F.octet_length("html") >= min_bytes) & F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
-    return pages.join(first, "sha1").select("page_id", "url", "html", "sha1", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("revisit"))
+    return pages.join(first, "sha1", "left").select("page_id", "url", "html", "sha1", F.when(revisit, F.col("first_id")).alias("refers_to"), revisit.alias("revisit"))
 
 
 def write_monolithic(records: DataFrame, folder: str) -> DataFrame:
