@@ -100,9 +100,9 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Fingerprints of all substrings of a byte array, from prefix sums modulo 2**64.
+    """Fingerprints of all substrings of an array of bytes (or of 64-bit hashes), from prefix sums modulo 2**64.
 
-    With S[i] the sum of code[byte j] * base**j over j < i, the fingerprint of
+    With S[i] the sum of code[byte j] * base**j over j < i (a hash is its own code), the fingerprint of
     bytes [i, i + n) is (S[i + n] - S[i]) * base**-i, scrambled with n.
     """
 
@@ -117,7 +117,7 @@ class Rolling:
             Rolling._pow = _powers(self.BASE, size)
             Rolling._inv = _powers(pow(self.BASE, -1, 1 << 64), size)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(self._code[data] * self._pow[:n], out=self.sums[1:])
+        np.cumsum((self._code[data] if data.dtype == np.uint8 else data) * self._pow[:n], out=self.sums[1:])
 
     def all(self, length: int) -> np.ndarray:
         """Fingerprints of every substring of ``length`` bytes, by start."""

@@ -24,12 +24,18 @@ bytes, and the suffix array of the whole corpus is dealt out in buckets:
    suffixes become rows that Spark groups by their fingerprint, which gives the
    same answer with partial aggregation.
 
+With ``min_words``, strings of so many words are judged too, by the same steps on
+each text's sequence of word fingerprints in place of its bytes: places, windows
+and spans count words, whatever white space lies between them.  Each maximal run
+of words in such repeats goes from its first word's first byte to its last word's
+last byte.
+
 ``keep="first"`` removes later copies and keeps the first (in order of doc_id,
 then text hash, then offset); ``keep="none"`` removes every copy.  Strings are
 judged on the input, not on what is left.
 
 Defined results: a null text counts as empty; matches never cross documents;
-texts shorter than ``min_bytes`` are never touched; rows equal in doc_id and
+texts shorter than ``min_bytes`` (and ``min_words``) are never touched; rows equal in doc_id and
 text are one document for the order of copies (with ``keep="first"`` all of
 them stay, with ``keep="none"`` all of them go); a null doc_id sorts first;
 input columns named like an output column are replaced; no rows give no rows.
@@ -45,10 +51,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaar.llm.common import Rolling, cut, mix64, row_key, table
+from bazaar.llm.common import Rolling, cut, mix64, row_key, table, word_bounds, word_hashes
 
 MIN_BYTES = 400
 ANCHOR_BYTES = 160
+ANCHOR_WORDS = 20
 #: Most different runs of one bucket that a task puts in suffix order itself.
 WIDE = 20_000
 #: Bytes of a document that are fingerprinted at a time, and bytes of buckets ordered at a time.
@@ -136,6 +143,11 @@ def _bytes(cell) -> np.ndarray:
     return np.frombuffer((cell or "").encode("utf-8", "surrogatepass"), dtype=np.uint8)
 
 
+def _units(cell, words: bool) -> np.ndarray:
+    """A text's bytes, or its words' fingerprints."""
+    return word_hashes(_bytes(cell))[1] if words else _bytes(cell)
+
+
 def _binary(values: np.ndarray, counts: np.ndarray) -> pa.Array:
     """One binary cell per count, holding so many of the (int32) values."""
     offsets = np.concatenate([[0], np.cumsum(counts * 4)]).astype(np.int32)
@@ -150,13 +162,13 @@ def _span_rows(key: list[np.ndarray], start: np.ndarray, end: np.ndarray) -> pa.
 _SPANS = "_hd long, _ht long, at binary"
 
 
-def _anchor_rows(min_bytes: int, anchor_bytes: int):
+def _anchor_rows(min_bytes: int, anchor_bytes: int, words: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hd, ht = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_hd", "_ht"))
             ids, rows, pending = batch.column("doc_id"), [], 0
             for i in range(len(batch)):
-                found = anchors(_bytes(batch.column("text")[i].as_py()), min_bytes, anchor_bytes)
+                found = anchors(_units(batch.column("text")[i].as_py(), words), min_bytes, anchor_bytes)
                 if found is None:
                     continue
                 place, first, count, gram, whole = found
@@ -184,15 +196,15 @@ def _anchor_rows(min_bytes: int, anchor_bytes: int):
     return run
 
 
-def _run_bytes(min_bytes: int):
-    """The bytes of the wanted runs of each document."""
+def _run_bytes(min_bytes: int, words: bool):
+    """The bytes (or word fingerprints) of the wanted runs of each document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
             for text, doc_id, hd, ht, wanted in zip(*(batch.column(c).to_pylist() for c in ("text", "doc_id", "_hd", "_ht", "wanted"))):
-                data = text.encode("utf-8", "surrogatepass")
+                data = _units(text, words)
                 for x in wanted:
-                    piece = data[x["first"]:x["first"] + x["windows"] + min_bytes - 1]
+                    piece = data[x["first"]:x["first"] + x["windows"] + min_bytes - 1].tobytes()
                     rows.append((x["gram"], doc_id, hd, ht, x["first"], x["windows"], x["place"], x["alone"], piece))
                     size += len(piece)
                     if size > BATCH:
@@ -209,21 +221,24 @@ def _run_bytes(min_bytes: int):
     return run
 
 
-def _windows(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bytes of all runs of a batch end to end; of each window the start there and the row."""
+def _windows(batch, words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes (or word fingerprints) of all runs of a batch end to end; of each window the start there and the row."""
     pieces = batch.column("bytes").combine_chunks() if isinstance(batch, pa.Table) else batch.column("bytes")
     offsets = np.frombuffer(pieces.buffers()[1], dtype=np.int32, count=len(pieces) + pieces.offset + 1)[pieces.offset:]
     data = np.frombuffer(pieces.buffers()[2], dtype=np.uint8)[offsets[0]:offsets[-1]]
+    offsets = (offsets - offsets[0]).astype(np.int64)
+    if words:
+        data, offsets = data.view(np.uint64), offsets // 8
     windows = batch.column("windows").to_numpy()
     row = np.repeat(np.arange(len(windows)), windows)
     inside = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-    return data, (offsets[:-1] - offsets[0]).astype(np.int64)[row] + inside, row
+    return data, offsets[:-1][row] + inside, row
 
 
-def _bucket_spans(min_bytes: int, keep: str):
+def _bucket_spans(min_bytes: int, keep: str, words: bool):
     """Spans of repeats in the runs of whole buckets, which arrive in order of bucket and position."""
     def solve(t: pa.Table) -> pa.RecordBatch:
-        data, start, row = _windows(t)
+        data, start, row = _windows(t, words)
         order, run = order_suffixes(data, start, min_bytes, t.column("gram").to_numpy()[row])
         # Rows come in order of position; rows equal in id and text bring the same run, which is one place.
         names = [t.column(c).to_numpy() for c in ("gram", "_hd", "_ht", "first")]
@@ -261,7 +276,7 @@ def _bucket_spans(min_bytes: int, keep: str):
     return run
 
 
-def _window_rows(min_bytes: int):
+def _window_rows(min_bytes: int, words: bool):
     """A row for each suffix of the runs of wide buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,7 +284,7 @@ def _window_rows(min_bytes: int):
                 part = batch.slice(i, 500)
                 if not len(part):
                     continue
-                data, start, row = _windows(pa.Table.from_batches([part]).combine_chunks())
+                data, start, row = _windows(pa.Table.from_batches([part]).combine_chunks(), words)
                 windows = part.column("windows").to_numpy()
                 at = part.column("first").to_numpy()[row] + np.arange(len(row)) - (np.cumsum(windows) - windows)[row]
                 name = Rolling(data).at(start, start + min_bytes)
@@ -316,39 +331,35 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(batch), 64):  # few texts at a time are held twice
             part = batch.slice(i, 64)
             spans, kept = [], []
-            for text, cells in zip(part.column("text").to_pylist(), part.column("_at").to_pylist()):
+            for text, cells, in_words in zip(*(part.column(c).to_pylist() for c in ("text", "_at", "_words"))):
                 data = (text or "").encode("utf-8", "surrogatepass")
-                if not cells:
+                if not cells and not in_words:
                     spans.append([])
                     kept.append(data)
                     continue
                 pairs = np.frombuffer(b"".join(cells), dtype=np.int32).reshape(-1, 2)
+                if in_words:
+                    first, last = merge_spans(*np.frombuffer(b"".join(in_words), dtype=np.int32).reshape(-1, 2).T)
+                    start, end = word_bounds(np.frombuffer(data, dtype=np.uint8))
+                    pairs = np.concatenate([pairs, np.column_stack([start[first], end[last - 1]])])
                 start, end = (x.tolist() for x in merge_spans(pairs[:, 0], pairs[:, 1]))
                 spans.append([{"start": a, "end": b} for a, b in zip(start, end)])
                 kept.append(b"".join(data[a:b] for a, b in zip([0, *end], [*start, len(data)])))
-            keep = [c for c in part.schema.names if c != "_at"]
+            keep = [c for c in part.schema.names if c not in ("_at", "_words")]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(spans, kind), pa.array(kept, pa.binary())], [*keep, "spans", "kept"])
 
 
 # -- Spark ------------------------------------------------------------------------
 
-def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "first",
-                   anchor_bytes: int = ANCHOR_BYTES, wide: int = WIDE) -> DataFrame:
-    """``docs`` with ``spans`` (removed byte ranges, maximal, in order) and ``kept`` (remaining bytes).
-
-    ``docs`` needs doc_id and text.  See the module's text for method and
-    defined results.
-    """
-    if keep not in ("first", "none"):
-        raise ValueError("keep is 'first' or 'none'")
+def repeat_spans(keyed: DataFrame, min_bytes: int, keep: str, anchor_bytes: int, wide: int, words: bool = False) -> DataFrame:
+    """Spans (``at``) to remove from the documents (``_hd``, ``_ht``); with ``words``, all lengths and places count words."""
     if not 0 < anchor_bytes <= min_bytes:
-        raise ValueError("anchor_bytes lies between 1 and min_bytes")
-    docs = docs.drop("spans", "kept", "_hd", "_ht", "_at")
-    keyed = docs.select("*", *row_key())
-    key = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, _hd long, _ht long"
+        raise ValueError("an anchor is between 1 and the length of a repeat")
+    key = f"doc_id {keyed.schema['doc_id'].dataType.simpleString()}, _hd long, _ht long"
     rows = f"gram long, whole long, {key}, occurs int, at binary"
-    runs = (keyed.where(F.octet_length("text") >= min_bytes).select("doc_id", "text", "_hd", "_ht")
-            .mapInArrow(_anchor_rows(min_bytes, anchor_bytes), rows))
+    least = 2 * min_bytes - 1 if words else min_bytes  # bytes
+    runs = (keyed.where(F.octet_length("text") >= least).select("doc_id", "text", "_hd", "_ht")
+            .mapInArrow(_anchor_rows(min_bytes, anchor_bytes, words), rows))
 
     # Anchors that occur more than once; the rest of the corpus needs no further look.
     # Stored, so that the join's two sides are plain shuffles and Spark can split a hot anchor.
@@ -377,21 +388,42 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "fir
         some = singles.join(breadth.where(condition), "gram")
         wanted = (some.groupBy("_hd", "_ht").agg(F.collect_list(F.struct("gram", "alone", F.col("_first").alias("first"), F.col("_windows").alias("windows"), F.col("_place").alias("place"))).alias("wanted")))
         texts = keyed.select("doc_id", "text", "_hd", "_ht")
-        return texts.join(wanted, ["_hd", "_ht"]).mapInArrow(_run_bytes(min_bytes), runs_type)
+        return texts.join(wanted, ["_hd", "_ht"]).mapInArrow(_run_bytes(min_bytes, words), runs_type)
 
     narrow = (with_bytes(f"breadth <= {int(wide)}").repartition(F.col("gram")).sortWithinPartitions("gram", "doc_id", "_ht", "first")
-              .mapInArrow(_bucket_spans(min_bytes, keep), _SPANS))
+              .mapInArrow(_bucket_spans(min_bytes, keep, words), _SPANS))
     spans = spans.unionByName(narrow)
     if not breadth.where(f"breadth > {int(wide)}").isEmpty():
         windows_type = f"gram long, name long, {key}, start int, alone boolean"
-        each = with_bytes(f"breadth > {int(wide)}").mapInArrow(_window_rows(min_bytes), windows_type)
+        each = with_bytes(f"breadth > {int(wide)}").mapInArrow(_window_rows(min_bytes, words), windows_type)
         same = each.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "_ht", "start", "_hd")).alias("top")).where("n > 1")
         gone = F.col("alone") if keep == "none" else ~((F.col("_hd") == F.col("top._hd")) & (F.col("_ht") == F.col("top._ht")) & (F.col("start") == F.col("top.start")))
         hits = each.join(same, ["gram", "name"]).where(gone).select("_hd", "_ht", "start")
         le = lambda c: F.unhex(F.concat(*(F.substring(F.lpad(F.hex(c), 8, "0"), j, 2) for j in (7, 5, 3, 1))))
         spans = spans.unionByName(hits.select("_hd", "_ht", F.concat(le(F.col("start")), le(F.col("start") + min_bytes)).alias("at")))
 
-    per_doc = spans.groupBy("_hd", "_ht").agg(F.collect_list("at").alias("_at"))
+    return spans
+
+
+def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "first", anchor_bytes: int = ANCHOR_BYTES, wide: int = WIDE,
+                   min_words: int | None = None, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
+    """``docs`` with ``spans`` (removed byte ranges, maximal, in order) and ``kept`` (remaining bytes).
+
+    ``docs`` needs doc_id and text.  With ``min_words``, repeats of so many words
+    go as well, however few bytes they have.  See the module's text for method
+    and defined results.
+    """
+    if keep not in ("first", "none"):
+        raise ValueError("keep is 'first' or 'none'")
+    docs = docs.drop("spans", "kept", "_hd", "_ht", "_at", "_words")
+    keyed = docs.select("*", *row_key())
+    none = F.lit(None).cast("binary")
+    spans = repeat_spans(keyed, min_bytes, keep, anchor_bytes, wide).withColumn("words", none)
+    if min_words is not None:
+        in_words = repeat_spans(keyed, min_words, keep, anchor_words, wide, words=True)
+        spans = spans.unionByName(in_words.select("_hd", "_ht", none.alias("at"), F.col("at").alias("words")))
+
+    per_doc = spans.groupBy("_hd", "_ht").agg(F.collect_list("at").alias("_at"), F.collect_list("words").alias("_words"))
     joined = keyed.join(per_doc, ["_hd", "_ht"], "left").drop("_hd", "_ht")
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     out = T.StructType(docs.schema.fields + [T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
@@ -421,12 +453,13 @@ def whole_characters(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
 
 
-def cut_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
+def cut_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, anchor_bytes: int = ANCHOR_BYTES,
+                min_words: int | None = None, anchor_words: int = ANCHOR_WORDS) -> DataFrame:
     """``docs`` with later copies of repeats cut from the texts (whole characters only), the first kept.
 
     All rows stay; ``n_chars``, if there, is counted anew.
     """
-    done = remove_repeats(docs, min_bytes, "first", anchor_bytes).select(*docs.columns, "spans")
+    done = remove_repeats(docs, min_bytes, "first", anchor_bytes, min_words=min_words, anchor_words=anchor_words).select(*docs.columns, "spans")
     done = done.mapInArrow(_cut_text, docs.schema)
     return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from bazaar.llm import decontaminate, near_join, packing, quality, suffix_dedup
 from bazaar.llm.common import crc32_of_id, cut, table
 
-#: Repeated passages of at least so many bytes (about fifty words) are cut; a shorter anchor finds them.
+#: Repeated passages of more than fifty words are cut, however few bytes they have, and such of
+#: at least so many bytes, however few words (text without spaces); shorter anchors find them.
+PASSAGE_WORDS, PASSAGE_WORD_ANCHOR = 51, 20
 PASSAGE_BYTES, PASSAGE_ANCHOR = 300, 120
 
 
@@ -31,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without later copies of passages; the first copy and all documents stay."""
-    return suffix_dedup.cut_repeats(docs, PASSAGE_BYTES, PASSAGE_ANCHOR)
+    return suffix_dedup.cut_repeats(docs, PASSAGE_BYTES, PASSAGE_ANCHOR, PASSAGE_WORDS, PASSAGE_WORD_ANCHOR)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

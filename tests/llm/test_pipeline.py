@@ -1,6 +1,8 @@
 """Each stage against a brute-force version on its own input, and the whole run."""
 
 import collections
+import random
+import re
 
 import corpus_pipeline as C
 from bazaar.llm import quality, suffix_dedup
@@ -72,3 +74,44 @@ def test_nulls_and_repeats_pass_all_stages(spark, frame):
     for _, stage in C.STAGES:
         docs = cut(stage(spark, docs, SF))
     assert docs.count() >= 1
+
+
+def passages_cut(rows):
+    """Texts without later copies of strings of 51 words (white space aside) or of ``PASSAGE_BYTES`` bytes."""
+    seen_words, seen_bytes, out = set(), set(), {}
+    for i, t in sorted(rows):
+        b = t.encode()
+        word = [m.span() for m in re.finditer(rb"[^ \t\n\r\f\x0b]+", b)]
+        gone, drop = bytearray(len(b)), bytearray(len(word))
+        for p in range(len(word) - 50):
+            w = tuple(b[x:y] for x, y in word[p:p + 51])
+            if w in seen_words:
+                drop[p:p + 51] = b"\1" * 51
+            seen_words.add(w)
+        for p, (x, y) in enumerate(word):
+            if drop[p]:
+                gone[word[p - 1][1] if p and drop[p - 1] else x:y] = b"\1" * (y - (word[p - 1][1] if p and drop[p - 1] else x))
+        for p in range(len(b) - C.PASSAGE_BYTES + 1):
+            w = b[p:p + C.PASSAGE_BYTES]
+            if w in seen_bytes:
+                gone[p:p + C.PASSAGE_BYTES] = b"\1" * C.PASSAGE_BYTES
+            seen_bytes.add(w)
+        edge = [p for p in range(len(b) + 1) if (gone[p] if p < len(b) else 0) != (gone[p - 1] if p else 0)]
+        out[i] = suffix_dedup.whole_characters(t, list(zip(edge[::2], edge[1::2])))
+    return out
+
+
+def test_passages_of_short_words_are_cut(spark, frame):
+    r = random.Random(5)
+    words = lambda n, most=3: [r.choice("abcdefghé") * r.randint(1, most) + r.choice("klmnop") for _ in range(n)]
+    passages = [words(60), words(51), words(50), words(51, 9), [w * 3 for w in words(45, 9)], words(130)]
+    rows = []
+    for i in range(40):
+        text = words(r.randint(0, 30))
+        for p in r.sample(passages, r.randint(0, 3)):
+            text += p + words(r.randint(0, 20))
+        rows.append((i, r.choice([" ", "\n ", "  "]).join(text)))
+    rows += [(50, " ".join(passages[0])), (51, "\t".join(passages[0])), (52, "a " * 300), (53, "語" * 150), (54, "-" + "語" * 150)]
+    got = {x.doc_id: x.text for x in dict(C.STAGES)["suffix_dedup"](spark, frame(rows), SF).collect()}
+    assert got == passages_cut(rows)
+    assert got[50] == got[51] == "" and all(len(" ".join(passages[k])) < 300 for k in (0, 1, 2))

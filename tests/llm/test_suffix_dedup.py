@@ -1,5 +1,6 @@
 import collections
 import random
+import re
 
 import numpy as np
 import pytest
@@ -78,3 +79,30 @@ def test_smaller_neighbours():
             left = [j for j in range(i) if run[j] == run[i] and v[j] < v[i]]
             right = [j for j in range(i + 1, n) if run[j] == run[i] and v[j] < v[i]]
             assert (back[i], on[i]) == (left[-1] if left else -1, right[0] if right else -1)
+
+
+@pytest.mark.parametrize("keep", ["none", "first"])
+@pytest.mark.parametrize("wide", [1, 20_000])
+def test_words_match_brute_force(frame, keep, wide):
+    r = random.Random(7)
+    parts = [[r.choice(["a", "bé", "c", "dd"]) for _ in range(r.randint(1, 14))] for _ in range(12)]
+    rows = [(i, r.choice([" ", "\n", "  "]).join(w for _ in range(r.randint(0, 6)) for w in r.choice(parts))) for i in range(40)]
+    rows += [(40, None), (41, ""), (42, "x " * 200), (43, " ".join(parts[0] * 3)), (43, " ".join(parts[0] * 3))]
+    size, seen, gone = 9, collections.defaultdict(list), {}
+    spans = [[m.span() for m in re.finditer(r"[^ \n]+", t or "")] for _, t in rows]
+    for row, ((i, t), at) in enumerate(zip(rows, spans)):
+        gone[row] = bytearray(len(at))
+        for p in range(len(at) - size + 1):
+            seen[tuple(t[a:b] for a, b in at[p:p + size])].append((i, p, row))
+    for at in seen.values():
+        if len(at) > 1:
+            first = min((i, p) for i, p, _ in at)  # rows equal in id and text are one place
+            for i, p, row in at:
+                if keep == "none" or (i, p) != first:
+                    gone[row][p:p + size] = b"\1" * size
+    want = []
+    for row, ((i, t), at) in enumerate(zip(rows, spans)):
+        dead = {k for p in range(len(at)) if gone[row][p] for k in range(at[p - 1][1] if p and gone[row][p - 1] else at[p][0], at[p][1])}
+        want.append((i, "".join(c for k, c in enumerate(t or "") if k not in dead).encode()))
+    got = S.remove_repeats(frame(rows, clash=True), 5000, keep, anchor_bytes=8, wide=wide, min_words=size, anchor_words=4).collect()
+    assert sorted((x.doc_id, bytes(x.kept)) for x in got) == sorted(want)
