@@ -285,7 +285,9 @@ def near_classes(docs: DataFrame, threshold: float = NEAR, recall: float = RECAL
     places = wanted.groupBy("text_id").agg(F.collect_list(F.struct(*node, "tile", "sign")).alias("at"))
     holders = places.join(texts.select("text_id", "guard", "first_id"), "text_id").select(F.col("text_id").alias("_t"), F.col("guard").alias("_g"), "first_id", "at")
     first = (F.col("text_id") == F.col("_t")) & (F.col("guard") == F.col("_g")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
-    bodies = named.join(holders, first).select("text_id", "text", F.explode("at").alias("at")).select("text_id", "text", "at.*")
+    # Rows equal in id and text, and copies without id, all match: one of them stays (partial sums before the shuffle).
+    fetched = named.join(holders, first).groupBy("text_id", "guard").agg(F.first("text").alias("text"), F.first("at").alias("at"))
+    bodies = fetched.select("text_id", "text", F.explode("at").alias("at")).select("text_id", "text", "at.*")
     verified = cut(bodies.repartition(*node).sortWithinPartitions(*node).mapInArrow(_links(depth, threshold), "text_id long, links long, root long"))
 
     links = verified.groupBy("text_id").agg(F.sum("links").alias("n_links"))

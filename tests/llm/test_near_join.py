@@ -94,3 +94,34 @@ def test_oracle_on_small_table(spark):
     names, want = [d[0] for d in cur.description], cur.fetchall()
     got = J.op8_near_join(spark, sf)
     assert got.columns == names and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("tile", [1000, 2])
+def test_repeated_and_null_id_rows_with_near_copies(frame, tile):
+    r = random.Random(4)
+    base = lambda: [f"w{r.randint(0, 5000)}" for _ in range(120)]
+    near = lambda words, k: " ".join(f"x{k}" if p == 7 * k else w for p, w in enumerate(words))
+    a, b, c = base(), base(), base()
+    rows = [(1, " ".join(a)), (1, " ".join(a)), (2, near(a, 1)), (2, near(a, 2)), (2, near(a, 2)), (None, near(a, 3)), (None, near(a, 3))]
+    rows += [(None, " ".join(b))] * 3 + [(None, near(b, 1)), (7, near(b, 2))]
+    rows += [(None, " ".join(c)), (None, " ".join(c)), (None, near(c, 1))]
+    got = J.near_classes(frame(rows), tile=tile).collect()
+    key = lambda x: tuple(-2 if v is None else v for v in x)
+    assert sorted(key((x.doc_id if x.doc_id is not None else -1, x.class_id, x.n_links, x.n_copies)) for x in got) == sorted(map(key, brute_rows(rows)))
+
+
+def brute_rows(rows):
+    """``brute`` with classes of null ids among others."""
+    by = {t: [i for i, u in rows if u == t] for _, t in rows}
+    link = lambda x, y: len(shingles(x) & shingles(y)) >= 0.8 * len(shingles(x) | shingles(y)) - 1e-9
+    out = []
+    for t, ids in by.items():
+        reached, todo = {t}, [t]
+        while todo:
+            x = todo.pop()
+            more = [y for y in by if y not in reached and link(x, y)]
+            reached.update(more)
+            todo += more
+        least = min((i for y in reached for i in by[y] if i is not None), default=None)
+        out += [(i if i is not None else -1, least, sum(link(t, y) for y in by if y != t), len(ids)) for i in ids]
+    return out
