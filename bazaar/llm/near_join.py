@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bazaar.llm.common import NEAR, cut, mix64, shingle_hashes, table
@@ -239,12 +239,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 # -- Spark ----------------------------------------------------------------------------------------
 
-def near_classes(docs: DataFrame, threshold: float = NEAR, recall: float = RECALL, tile: int = TILE) -> DataFrame:
-    """One row per document: doc_id, class_id, n_links (different texts at the threshold or above), n_copies (rows of its text)."""
+def text_name() -> list[Column]:
+    """A text is known by two 64-bit hashes; ``text_id`` is one of them, the other guards against collisions."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("text_id"), F.xxhash64(F.lit(1), text).alias("guard")]
+
+
+def text_classes(docs: DataFrame, threshold: float = NEAR, recall: float = RECALL, tile: int = TILE) -> DataFrame:
+    """One row per text: text_id, guard, first_id (least id of its rows), n_copies, root (names its class), n_links (null: none)."""
     depth = prefix_depth(threshold, recall)
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # A text is known by two 64-bit hashes; ``text_id`` is one of them, the other guards against collisions.
-    named = docs.select("doc_id", "text", F.xxhash64("text").alias("text_id"), F.xxhash64(F.lit(1), "text").alias("guard"))
+    named = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *text_name())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,23 +296,30 @@ def near_classes(docs: DataFrame, threshold: float = NEAR, recall: float = RECAL
 
     links = verified.groupBy("text_id").agg(F.sum("links").alias("n_links"))
     roots = components(verified.select(F.col("text_id").alias("u"), F.col("root").alias("v"))).withColumnRenamed("node", "text_id")
-    grouped = (texts.select("text_id", "guard", "first_id", "n_copies").join(roots, "text_id", "left").join(links, "text_id", "left")
-               .withColumn("root", F.coalesce("root", "text_id")))
+    return (texts.select("text_id", "guard", "first_id", "n_copies").join(roots, "text_id", "left").join(links, "text_id", "left")
+            .withColumn("root", F.coalesce("root", "text_id")))
+
+
+def near_classes(docs: DataFrame, threshold: float = NEAR, recall: float = RECALL, tile: int = TILE) -> DataFrame:
+    """One row per document: doc_id, class_id, n_links (different texts at the threshold or above), n_copies (rows of its text)."""
+    grouped = text_classes(docs, threshold, recall, tile)
     # Classes are named by their least id; only components of several texts need the aggregation.
     least = grouped.groupBy("root").agg(F.min("first_id").alias("class_id"))
     named_classes = grouped.join(least, "root").select("text_id", "guard", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    return named.select("doc_id", "text_id", "guard").join(named_classes, ["text_id", "guard"]).select("doc_id", "class_id", "n_links", "n_copies")
+    return docs.select("doc_id", *text_name()).join(named_classes, ["text_id", "guard"]).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def one_of_each(docs: DataFrame, threshold: float = NEAR) -> DataFrame:
-    """The first document (least doc_id) of each near-duplicate class, all columns as they are.
+    """The first document of each near-duplicate class, all columns as they are: exactly one row a class.
 
-    Of rows equal in id and text one stays; rows without id stay if their class has no id.
+    First is the least doc_id (rows without id come last), then the least text
+    hash; of rows equal in both one stays.
     """
-    classes = near_classes(docs, threshold)
-    heads = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    name = [F.xxhash64("doc_id"), F.xxhash64(F.coalesce("text", F.lit("")))]
+    me = F.struct(F.col("first_id").isNull().alias("last"), "first_id", "text_id", "guard")
+    heads = text_classes(docs, threshold).groupBy("root").agg(F.min(me).alias("head")).select(F.col("head.first_id").alias("_id"), F.col("head.text_id").alias("_t"), F.col("head.guard").alias("_g"))
+    name = text_name()
+    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_id")) & (name[0] == F.col("_t")) & (name[1] == F.col("_g")), "left_semi")
+    name = [F.xxhash64("doc_id"), name[0]]
     again = docs.groupBy(name[0].alias("_i"), name[1].alias("_t")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     if again.isEmpty():
         return kept

@@ -125,3 +125,18 @@ def brute_rows(rows):
         least = min((i for y in reached for i in by[y] if i is not None), default=None)
         out += [(i if i is not None else -1, least, sum(link(t, y) for y in by if y != t), len(ids)) for i in ids]
     return out
+
+
+def test_one_of_each_class_whatever_the_ids(frame):
+    r = random.Random(6)
+    base = lambda: [f"w{r.randint(0, 5000)}" for _ in range(120)]
+    near = lambda words, k: " ".join(f"x{k}" if p == 7 * k else w for p, w in enumerate(words))
+    a, b, c, d = base(), base(), base(), base()
+    classes = [[(5, near(a, 1)), (5, near(a, 2)), (None, near(a, 3))], [(3, near(b, 1)), (5, near(b, 2)), (5, near(b, 2))],
+               [(None, near(c, 1)), (None, near(c, 1)), (None, near(c, 2))], [(None, near(d, 1)), (8, near(d, 2)), (8, near(d, 2))], [(None, "alone")]]
+    df = frame([x for rows in classes for x in rows])
+    kept = [(x.doc_id, x.text) for x in J.one_of_each(df).collect()]
+    assert len(kept) == len(classes)
+    for rows in classes:
+        (head,) = [x for x in kept if x in rows]
+        assert head[0] == min((i for i, _ in rows if i is not None), default=None)
