@@ -5,8 +5,10 @@ from __future__ import annotations
 from bazaar.llm import decontaminate, near_join
 from bazaar.llm.fingerprints import op5_fingerprints
 from bazaar.llm.langid import op3_language_id
+from bazaar.llm.mixing import op13_source_mixing
 from bazaar.llm.packing import op2_best_fit_packing
 from bazaar.llm.quality import op7_line_quality
+from bazaar.llm.repair import op12_conversation_repair
 from bazaar.llm.sharding import op4_kd_sharding
 from bazaar.llm.suffix_dedup import op1_suffix_dedup
 from bazaar.llm.token_counts import op10_token_counts
@@ -23,6 +25,8 @@ QUERIES = {
     "op8_near_join": near_join.op8_near_join,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_source_mixing": op13_source_mixing,
 }
 
 ORACLE: dict[str, str] = {
