@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bazaar.llm import decontaminate, near_join
+from bazaar.llm import decontaminate, lexical, near_join
 from bazaar.llm.fingerprints import op5_fingerprints
 from bazaar.llm.langid import op3_language_id
 from bazaar.llm.mixing import op13_source_mixing
@@ -25,6 +25,7 @@ QUERIES = {
     "op8_near_join": near_join.op8_near_join,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_token_counts": op10_token_counts,
+    "op11_ranked_search": lexical.op11_ranked_search,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_source_mixing": op13_source_mixing,
 }
@@ -32,4 +33,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op8_near_join": near_join.ORACLE,
     "op9_decontamination": decontaminate.ORACLE,
+    "op11_ranked_search": lexical.ORACLE,
 }
