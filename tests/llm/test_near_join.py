@@ -60,10 +60,11 @@ def test_matches_brute_force(frame, tile):
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.class_id, r.n_links, r.n_copies) for r in got) == brute(rows)
 
 
-def test_one_of_each(frame):
+@pytest.mark.parametrize("chunk", [400, 3])
+def test_one_of_each(frame, chunk):
     rows = near_texts(2) + [(9005, "again"), (9005, "again"), (9006, "again")]
     df = frame(rows, clash=True)
-    kept = J.one_of_each(df)
+    kept = J.one_of_each(df, chunk=chunk)
     assert kept.columns == df.columns
     heads = {c for _, c, _, _ in brute(rows)}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(heads)
@@ -79,11 +80,14 @@ def test_components_of_chains(spark):
     assert got == {**{i: 0 for i in range(1, 61)}, 105: 100, 102: 100}
 
 
-def test_intersections():
+def test_similar():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 50, rng.integers(1, 40)).astype(np.uint64)) for _ in range(20)]
-    got = J.intersections(sets)
-    assert all(got[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(20) for j in range(20))
+    pair = rng.random((20, 20)) < 0.7
+    pair = np.triu(pair, 1) | np.triu(pair, 1).T
+    got = J.similar(sets, pair, 0.3)
+    near = lambda a, b: len(np.intersect1d(a, b)) >= 0.3 * len(np.union1d(a, b)) - 1e-9
+    assert all(got[i, j] == (pair[i, j] and near(sets[i], sets[j])) for i in range(20) for j in range(20))
 
 
 def test_oracle_on_small_table(spark):
@@ -140,3 +144,25 @@ def test_one_of_each_class_whatever_the_ids(frame):
     for rows in classes:
         (head,) = [x for x in kept if x in rows]
         assert head[0] == min((i for i, _ in rows if i is not None), default=None)
+
+
+@pytest.mark.parametrize("chunk", [400, 5])
+def test_roots_of_large_groups_and_chains(frame, chunk):
+    r = random.Random(11)
+    base = [f"w{r.randint(0, 5000)}" for _ in range(150)]
+    rows = []
+    for k in range(60):  # all near one another, in a hot node of each tree
+        words = list(base)
+        words[r.randrange(150)] = f"x{k}"
+        rows.append((k, " ".join(words)))
+    chain = [f"c{i}" for i in range(150)]
+    for k in range(25):  # neighbours are near, ends are not
+        rows.append((100 + k, " ".join(chain)))
+        chain[5 * k + 60 if 5 * k < 80 else 5 * k - 80] = f"y{k}"
+        chain[(5 * k + 61) % 150] = f"z{k}"
+    rows += [(200 + k, " ".join(base[:75] + [f"u{k}_{i}" for i in range(75)])) for k in range(10)]
+    texts = {r.text_id: r.root for r in J.text_roots(frame(rows), chunk=chunk).collect()}
+    want = brute(rows)
+    assert len(texts) == len({t for _, t in rows}) and len(set(texts.values())) == len({c for _, c, _, _ in want})
+    kept = sorted(r.doc_id for r in J.one_of_each(frame(rows), chunk=chunk).collect())
+    assert kept == sorted({c for _, c, _, _ in want})
