@@ -3,8 +3,8 @@
 A string of ``min_bytes`` bytes is a repeat if it starts at two places of the
 corpus.  The longest previous factor (LPF) of a place is the length of its
 longest match with an earlier place; in suffix order that match is found at the
-previous or the next entry with a smaller position.  Here only whether
-LPF >= min_bytes matters, so suffixes are ordered by their first ``min_bytes``
+previous or the next entry with a smaller position.  Only whether LPF reaches
+``min_bytes`` matters, so suffixes are compared by their first ``min_bytes``
 bytes, and the suffix array of the whole corpus is dealt out in buckets:
 
 1. *Anchors.*  Of the k-byte substrings in each ``min_bytes``-byte window the
@@ -17,12 +17,13 @@ bytes, and the suffix array of the whole corpus is dealt out in buckets:
 3. Runs that are equal as a whole are counted; a run that occurs twice is a
    repeat everywhere.  Only one of each set of equal runs goes on.
 4. *Buckets.*  For the others the bytes are fetched and the suffixes starting
-   in the runs of one bucket are put in suffix order; previous/next smaller
-   positions then give the earlier matches (and with positions counted from
-   the end, the later ones).
-5. A bucket of more than ``WIDE`` different runs is not held by one task: its
-   suffixes become rows that Spark groups by their fingerprint, which gives the
-   same answer with partial aggregation.
+   in the runs of one bucket are put in suffix order by their bytes (prefix
+   doubling); the longer of the matches with the entries at the previous and the next
+   smaller position is the LPF (and with positions counted from the end, the longest
+   match with a later place).
+5. A bucket of more than ``WIDE`` bytes is not held by one task: its suffixes become
+   rows that Spark groups by their fingerprint, which gives the same answer with
+   partial aggregation, but no order and no lengths.
 
 With ``min_words``, strings of so many words are judged too, by the same steps on
 each text's sequence of word fingerprints in place of its bytes: places, windows
@@ -56,8 +57,8 @@ from bazaar.llm.common import Rolling, cut, mix64, row_key, table, word_bounds,
 MIN_BYTES = 400
 ANCHOR_BYTES = 160
 ANCHOR_WORDS = 20
-#: Most different runs of one bucket that a task puts in suffix order itself.
-WIDE = 20_000
+#: Most bytes (or words) of the different runs of one bucket that a task puts in suffix order itself.
+WIDE = 4 << 20
 #: Bytes of a document that are fingerprinted at a time, and bytes of buckets ordered at a time.
 CHUNK, BATCH = 1 << 20, 2 << 20
 
@@ -114,18 +115,60 @@ def anchors(data: np.ndarray, min_bytes: int, anchor_bytes: int):
     return [np.concatenate(x) for x in zip(*out)] if out else None
 
 
-def order_suffixes(data: np.ndarray, start: np.ndarray, length: int, bucket: np.ndarray):
-    """Suffix order of the suffixes at ``start`` by bucket and first ``length`` bytes.
+class Suffixes:
+    """Suffix order and common prefixes by prefix doubling, up to a length.
 
-    Returns the order and, along it, the number of the run of suffixes whose
-    first ``length`` bytes are equal.
+    ``levels`` holds, for lengths 1, 2, 4 and so on, a number for the units that follow
+    each place: equal numbers for equal units, in their order.  Suffixes that end
+    before such a length have no number there and are not asked for it.
     """
-    name = Rolling(data).at(start, start + length)
-    order = np.lexsort((name, bucket))
-    name, bucket = name[order], bucket[order]
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = (name[1:] != name[:-1]) | (bucket[1:] != bucket[:-1])
-    return order, np.cumsum(new)
+
+    def __init__(self, data: np.ndarray, length: int):
+        self.length, step = length, 1
+        self.levels = [data.astype(np.uint32) if data.dtype == np.uint8 else self._ranks(data)]
+        while 2 * step <= length:
+            last = self.levels[-1]
+            front, back = last[:max(0, len(last) - step)], last[step:]
+            if data.dtype == np.uint8 and step < 4:  # up to four bytes are their own number
+                self.levels.append(front << np.uint32(8 * step) | back)
+            else:
+                self.levels.append(self._ranks(front.astype(np.uint64) << np.uint64(32) | back.astype(np.uint64)))
+            step *= 2
+
+    @staticmethod
+    def _ranks(values: np.ndarray) -> np.ndarray:
+        order = np.argsort(values)
+        along = values[order]
+        out = np.empty(len(values), dtype=np.uint32)
+        if len(values):
+            out[order] = np.cumsum(np.concatenate([[False], along[1:] != along[:-1]]), dtype=np.uint32)
+        return out
+
+    def order(self, start: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+        """Suffix order, by bucket, of the suffixes at ``start``: by their first ``length`` units."""
+        step = 1 << (len(self.levels) - 1)
+        top = self.levels[-1]
+        key = top[start].astype(np.uint64) << np.uint64(32) | top[start + self.length - step].astype(np.uint64)
+        return np.lexsort((key, bucket))
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Lengths of the common prefixes of pairs of suffixes, ``length`` at most."""
+        out = np.zeros(len(a), dtype=np.int64)
+        for level in range(len(self.levels) - 1, -1, -1):
+            rank, step = self.levels[level], 1 << level
+            fits = np.flatnonzero(out + step <= self.length)
+            same = fits[rank[a[fits] + out[fits]] == rank[b[fits] + out[fits]]]
+            out[same] += step
+        return out
+
+
+def previous_factors(suffixes: Suffixes, order: np.ndarray, start: np.ndarray, bucket: np.ndarray, position: np.ndarray) -> np.ndarray:
+    """LPF of the suffixes at ``start``: the longest match with one of a smaller position in its bucket, ``length`` at most."""
+    out = np.zeros(len(start), dtype=np.int64)
+    for near in smaller_neighbours(position[order], bucket[order]):
+        some = np.flatnonzero(near >= 0)
+        out[order[some]] = np.maximum(out[order[some]], suffixes.common(start[order[some]], start[order[near[some]]]))
+    return out
 
 
 def merge_spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -239,18 +282,20 @@ def _bucket_spans(min_bytes: int, keep: str, words: bool):
     """Spans of repeats in the runs of whole buckets, which arrive in order of bucket and position."""
     def solve(t: pa.Table) -> pa.RecordBatch:
         data, start, row = _windows(t, words)
-        order, run = order_suffixes(data, start, min_bytes, t.column("gram").to_numpy()[row])
+        gram = t.column("gram").to_numpy()
+        bucket = np.cumsum(np.concatenate([[True], gram[1:] != gram[:-1]]))[row]
+        suffixes = Suffixes(data, min_bytes)
+        order = suffixes.order(start, bucket)
         # Rows come in order of position; rows equal in id and text bring the same run, which is one place.
         names = [t.column(c).to_numpy() for c in ("gram", "_hd", "_ht", "first")]
         place = np.cumsum(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in names], axis=0)]))
-        position = place[row[order]]
-        earlier, also = smaller_neighbours(position, run)
-        repeat = (earlier >= 0) | (also >= 0)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(t.column("windows").to_numpy()) - t.column("windows").to_numpy(), t.column("windows").to_numpy())
+        position = (place[row] << 32) + inside
+        repeat = previous_factors(suffixes, order, start, bucket, position) >= min_bytes
         if keep == "none":
-            earlier, also = smaller_neighbours(-position, run)
-            repeat |= (earlier >= 0) | (also >= 0)
-            repeat &= t.column("alone").to_numpy()[row[order]]
-        hit = np.sort(order[repeat])
+            repeat |= previous_factors(suffixes, order, start, bucket, -position) >= min_bytes
+            repeat &= t.column("alone").to_numpy()[row]
+        hit = np.flatnonzero(repeat)
         if not len(hit):
             return _span_rows([np.empty(0, np.int64)] * 2, hit, hit)
         base = np.cumsum(t.column("windows").to_numpy()) - t.column("windows").to_numpy()
@@ -379,9 +424,10 @@ def repeat_spans(keyed: DataFrame, min_bytes: int, keep: str, anchor_bytes: int,
 
     # One of each set of equal runs, where a bucket holds different ones.
     singles = equal.where("mixed").select("gram", (F.col("n") == 1).alias("alone"), "top.*")
-    breadth = singles.groupBy("gram").agg(F.count(F.lit(1)).alias("breadth"), F.max("alone").alias("any_alone"))
+    breadth = singles.groupBy("gram").agg(F.sum(F.col("_windows") + F.lit(min_bytes - 1)).alias("breadth"), F.max("alone").alias("any_alone"))
     if keep == "none":  # equal runs are settled; a bucket matters if some run is alone in it
         breadth = breadth.where("any_alone")
+    breadth = cut(breadth.drop("any_alone"))
     runs_type = f"gram long, {key}, first int, windows int, place int, alone boolean, bytes binary"
 
     def with_bytes(condition: str) -> DataFrame:
@@ -459,8 +505,11 @@ def cut_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, anchor_bytes: int =
 
     All rows stay; ``n_chars``, if there, is counted anew.
     """
-    done = remove_repeats(docs, min_bytes, "first", anchor_bytes, min_words=min_words, anchor_words=anchor_words).select(*docs.columns, "spans")
-    done = done.mapInArrow(_cut_text, docs.schema)
+    # The other columns go along under one name, whatever they are called.
+    others = F.struct(*[c for c in docs.columns if c != "text"]).alias("_others")
+    narrow = docs.select("doc_id", "text", others)
+    done = remove_repeats(narrow, min_bytes, "first", anchor_bytes, min_words=min_words, anchor_words=anchor_words).select("doc_id", "text", "_others", "spans")
+    done = done.mapInArrow(_cut_text, narrow.schema).select(*("text" if c == "text" else F.col("_others").getField(c).alias(c) for c in docs.columns))
     return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
@@ -469,4 +518,4 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), MIN_BYTES, keep="none")
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + (s["end"] - s["start"]))
     return done.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), removed.alias("n_removed"),
-                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "spans")
+                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), F.make_valid_utf8(F.col("kept").cast("string")).alias("text"))

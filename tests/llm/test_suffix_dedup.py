@@ -1,4 +1,5 @@
 import collections
+import hashlib
 import random
 import re
 
@@ -30,7 +31,7 @@ def texts(seed, n=40):
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("wide", [1, 20_000])
+@pytest.mark.parametrize("wide", [1, S.WIDE])
 def test_matches_brute_force(frame, keep, wide):
     rows = texts(1)
     got = S.remove_repeats(frame(rows, clash=True), 20, keep, anchor_bytes=8, wide=wide).collect()
@@ -82,7 +83,7 @@ def test_smaller_neighbours():
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("wide", [1, 20_000])
+@pytest.mark.parametrize("wide", [1, S.WIDE])
 def test_words_match_brute_force(frame, keep, wide):
     r = random.Random(7)
     parts = [[r.choice(["a", "bé", "c", "dd"]) for _ in range(r.randint(1, 14))] for _ in range(12)]
@@ -106,3 +107,33 @@ def test_words_match_brute_force(frame, keep, wide):
         want.append((i, "".join(c for k, c in enumerate(t or "") if k not in dead).encode()))
     got = S.remove_repeats(frame(rows, clash=True), 5000, keep, anchor_bytes=8, wide=wide, min_words=size, anchor_words=4).collect()
     assert sorted((x.doc_id, bytes(x.kept)) for x in got) == sorted(want)
+
+
+def test_lpf_array_equals_brute_force():
+    r = random.Random(5)
+    for length in (1, 3, 8, 13, 40):
+        for kind in (np.uint8, np.uint64):
+            data = np.array([r.choice([1, 2, 200]) for _ in range(300)], dtype=kind)
+            start = np.array(sorted(r.sample(range(300 - length + 1), min(150, 300 - length))))
+            bucket = np.sort([r.randint(0, 2) for _ in start])
+            position = np.array(r.sample(range(1000), len(start)))
+            suffixes = S.Suffixes(data, length)
+            order = suffixes.order(start, bucket)
+            words = [tuple(data[p:p + length].tolist()) for p in start]
+            assert [(bucket[i], words[i]) for i in order] == sorted(zip(bucket.tolist(), words))
+            got = S.previous_factors(suffixes, order, start, bucket, position)
+            match = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), length)
+            for i in range(len(start)):
+                assert got[i] == max((match(words[i], words[j]) for j in range(len(start)) if bucket[j] == bucket[i] and position[j] < position[i]), default=0)
+
+
+def test_query_on_driver_table_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    want = {i: kept for i, kept in brute(rows, 400, "none")}
+    got = S.op1_suffix_dedup(spark, sf).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        whole = len((dict(rows)[r.doc_id] or "").encode())
+        assert r.n_bytes == whole and r.n_removed == whole - len(want[r.doc_id]) and r.kept_sha256 == hashlib.sha256(want[r.doc_id]).hexdigest()
+        assert (r.n_spans > 0) == (r.n_removed > 0) and r.text == want[r.doc_id].decode("utf-8", "replace")
