@@ -124,3 +124,21 @@ def assert_keys(df: DataFrame, table: str, unique: Sequence[str] = (),
     if problems:
         raise ConstraintViolation(f"{table}: " + "; ".join(problems))
     return df
+
+
+def assert_dense(df: DataFrame, table: str, key: str, not_null: Sequence[str] = ()) -> DataFrame:
+    """Raise ConstraintViolation unless ``key`` runs from 1 to n, or if a ``not_null`` column is NULL.
+
+    The sums of the keys and of their squares have closed forms; with the bounds and the
+    count they are compared in one pass without a shuffle of rows.
+    """
+    k = F.col(key).cast("decimal(19,0)")
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("lo"), F.max(key).alias("hi"),
+                 F.sum(k.cast("decimal(38,0)")).alias("s1"), F.sum((k * k).cast("decimal(38,0)")).alias("s2"),
+                 *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in not_null]).first()
+    n, problems = row["n"], [f"{c}: {row['_null_' + c]} NULL" for c in not_null if row[f"_null_{c}"]]
+    if n and (row["lo"], row["hi"], int(row["s1"]), int(row["s2"])) != (1, n, n * (n + 1) // 2, n * (n + 1) * (2 * n + 1) // 6):
+        problems.append(f"{key} does not run from 1 to {n}")
+    if problems:
+        raise ConstraintViolation(f"{table}: " + "; ".join(problems))
+    return df

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from bazaar.plans import checks, cleaning
 from bazaar.plans.catalog import REPORT_KEYS, PLANS
-from bazaar.plans.warehouse import Warehouse
+from bazaar.plans.warehouse import StoredStaging, Warehouse
 from bazaar.session import apply_semantics
 from bazaar.sources.staging import Staging, staging_from_driver, staging_from_files
 
@@ -79,6 +79,8 @@ def build_warehouse(spark: SparkSession, staging: Staging, out: str,
     out = out.rstrip("/")
 
     wh = Warehouse(spark, staging, root=out)   # raw text files are parsed once, on first use
+    if isinstance(wh.staging, StoredStaging):
+        wh.staging.keep()   # checks and core both read them: derived tables are derived once
 
     def write_check(item):
         name, df = item

@@ -9,6 +9,8 @@ and pushdown instead of re-deriving the model.
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from bazaar.functions.numeric import as_money
 from bazaar.operators.ordering import surrogate_key
-from bazaar.operators.quality import assert_keys
+from bazaar.operators.quality import assert_dense, assert_keys
 from bazaar.operators.windows import latest_per_key
 from bazaar.sources.staging import Staging
 
@@ -46,13 +48,13 @@ def _both_present_and_before(a: str, b: str):
     return F.coalesce(F.col(a) < F.col(b), F.lit(False))
 
 
-def build_dim_customers(stg: Staging) -> DataFrame:
+def build_dim_customers(stg: Staging, known: DataFrame | None = None) -> DataFrame:
     c = stg.customers.select("customer_id", "customer_unique_id", "customer_zip_code_prefix",
                              "customer_city", "customer_state")
-    return surrogate_key(c, "customer_sk", ["customer_id"])
+    return surrogate_key(c, "customer_sk", ["customer_id"], known, check=True)
 
 
-def build_dim_products(stg: Staging) -> DataFrame:
+def build_dim_products(stg: Staging, known: DataFrame | None = None) -> DataFrame:
     t = stg.translation.select("product_category_name", "product_category_name_english")
     p = stg.products
     joined = p.join(t, p["product_category_name"] == t["product_category_name"], "left")
@@ -63,12 +65,12 @@ def build_dim_products(stg: Staging) -> DataFrame:
         .alias("is_category_unmapped"),
         p["product_name_length"], p["product_description_length"], p["product_photos_qty"],
         p["product_weight_g"], p["product_length_cm"], p["product_height_cm"], p["product_width_cm"])
-    return surrogate_key(rows, "product_sk", ["product_id"])
+    return surrogate_key(rows, "product_sk", ["product_id"], known, check=True)
 
 
-def build_dim_sellers(stg: Staging) -> DataFrame:
+def build_dim_sellers(stg: Staging, known: DataFrame | None = None) -> DataFrame:
     s = stg.sellers.select("seller_id", "seller_zip_code_prefix", "seller_city", "seller_state")
-    return surrogate_key(s, "seller_sk", ["seller_id"])
+    return surrogate_key(s, "seller_sk", ["seller_id"], known, check=True)
 
 
 def build_fact_orders(stg: Staging, dim_customers: DataFrame) -> DataFrame:
@@ -178,11 +180,13 @@ def write_table(df: DataFrame, path: str, name: str, with_created_at: bool = Tru
 
 
 def _write_checked(df: DataFrame, path: str, name: str, with_created_at: bool = True,
-                   bucket_by: list[str] | None = None) -> DataFrame:
+                   bucket_by: list[str] | None = None, known: bool = False) -> DataFrame:
     """Write a table to a new ``path`` and check its rules; the read-back.
 
     With ``bucket_by`` the files are hash-partitioned and written as buckets
-    (one file each), through a catalog entry that is dropped again.
+    (one file each), through a catalog entry that is dropped again.  A dimension's
+    natural key was checked while it was numbered; ``known`` says that keys of an
+    earlier load were joined to it, which is checked by a count of its own.
     """
     spark = df.sparkSession
     out = df.withColumn("created_at", F.current_timestamp()) if with_created_at else df
@@ -196,9 +200,12 @@ def _write_checked(df: DataFrame, path: str, name: str, with_created_at: bool =
     back = spark.read.parquet(path)
     if name in CORE_KEYS:
         unique, not_null = CORE_KEYS[name]
-        assert_keys(back, name, unique=unique, not_null=not_null)
-        if name in SURROGATE_KEYS:
-            assert_keys(back, name, unique=[SURROGATE_KEYS[name]])
+        if name in SURROGATE_KEYS and not known:
+            assert_dense(back, name, SURROGATE_KEYS[name], not_null)
+        else:
+            assert_keys(back, name, unique=unique, not_null=not_null)
+            if name in SURROGATE_KEYS:
+                assert_keys(back, name, unique=[SURROGATE_KEYS[name]])
     return back.drop("created_at")
 
 
@@ -227,6 +234,43 @@ def _bucketed(spark: SparkSession, database: str, name: str, path: str, sample:
     return spark.table(f"{database}.{name}")
 
 
+MANIFEST = "CURRENT.json"
+
+
+def _manifest(spark: SparkSession, root: str) -> dict | None:
+    """The manifest of the published version of the tables under ``root``, if there is one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{MANIFEST}")
+    if not path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path):
+        return None
+    return json.loads("".join(r.value for r in spark.read.text(f"{root}/{MANIFEST}").collect()))
+
+
+def published_tables(spark: SparkSession, root: str) -> dict[str, str]:
+    """Table -> folder of the published version: all of one load, whatever happens to others."""
+    found = _manifest(spark, root)
+    return {name: f"{root}/{found['version']}/{name}" for name in found["tables"]} if found else {}
+
+
+def publish_version(spark: SparkSession, root: str, version: str, tables: list[str]) -> None:
+    """Make ``root/version`` the published version of all its tables, by one rename of the manifest.
+
+    Readers that opened the version before still find it; older ones go.
+    """
+    jvm, earlier = spark._jvm, (_manifest(spark, root) or {}).get("version")
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    fresh, current = (jvm.org.apache.hadoop.fs.Path(f"{root}/{n}") for n in (f"manifest-{version}.json", MANIFEST))
+    fs = current.getFileSystem(conf)
+    out = fs.create(fresh)
+    out.write(bytearray(json.dumps({"version": version, "tables": sorted(tables)}).encode()))
+    out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(current).toUri(), conf).rename(fs.makeQualified(fresh), fs.makeQualified(current), over)
+    for status in fs.listStatus(current.getParent()):
+        if status.isDirectory() and status.getPath().getName().startswith("v-") and status.getPath().getName() not in (version, earlier):
+            fs.delete(status.getPath(), True)
+
+
 def materialize_core(spark: SparkSession, stg: Staging, root: str, parallel: bool = True,
                      database: str | None = None) -> Core:
     """Build and write the seven core tables under ``root``; return read-backs.
@@ -234,30 +278,39 @@ def materialize_core(spark: SparkSession, stg: Staging, root: str, parallel: boo
     Every table is submitted as its own concurrent Spark job as soon as its
     inputs exist: dimensions, payments and reviews right away; orders and
     order lines once the dimensions they look keys up in are written.  All
-    tables are written to a fresh folder and checked there; only when all keep
-    their rules do they replace the earlier ones, so a bad batch never lands.
+    tables are written to the folder of a new version and checked there; only when all keep
+    their rules is the version published (``publish_version``), so a bad batch never lands
+    and readers never see tables of two loads.  Surrogate keys of an earlier published
+    version stay: rows known from any load before keep theirs, newcomers follow.
     The bucketed table is registered (external, metadata only) in ``database``.
     """
     database = database or "bazaar_" + uuid.uuid4().hex[:12]
-    fresh = f"{root}-new-{uuid.uuid4().hex[:12]}"
+    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    fresh, earlier = f"{root}/{version}", published_tables(spark, root)
+    known = {name: spark.read.parquet(earlier.get(f"keys_{name}", earlier[name])).select(*CORE_KEYS[name][0], key)
+             for name, key in SURROGATE_KEYS.items() if name in earlier}
 
     def w(name, build):
-        return _write_checked(build(), f"{fresh}/{name}", name, bucket_by=BUCKETED.get(name))
+        back = _write_checked(build(), f"{fresh}/{name}", name, bucket_by=BUCKETED.get(name), known=name in known)
+        if name in known:   # all keys that were ever given, also of rows that left
+            natural = CORE_KEYS[name][0]
+            new = back.select(*natural, SURROGATE_KEYS[name]).join(known[name], natural, "left_anti")
+            known[name].unionByName(new).write.parquet(f"{fresh}/keys_{name}")
+        return back
 
     if not parallel:
         t = {}
-        for name, build in _builds(stg, lambda n: t[n]).items():
+        for name, build in _builds(stg, lambda n: t[n], known).items():
             t[name] = w(name, build)
     else:
         with ThreadPoolExecutor(max_workers=len(CORE_TABLES)) as pool:
             futures: dict = {}
-            for name, build in _builds(stg, lambda n: futures[n].result()).items():
+            for name, build in _builds(stg, lambda n: futures[n].result(), known).items():
                 futures[name] = pool.submit(w, name, build)
             t = {n: futures[n].result() for n in CORE_TABLES}
 
-    paths = {n: f"{root}/{n}" for n in CORE_TABLES}
-    for name, path in paths.items():
-        publish(spark, f"{fresh}/{name}", path)
+    publish_version(spark, root, version, [*CORE_TABLES, *(f"keys_{n}" for n in known)])
+    paths = {n: f"{fresh}/{n}" for n in CORE_TABLES}
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     tables = {}
     for name, path in paths.items():
@@ -266,21 +319,14 @@ def materialize_core(spark: SparkSession, stg: Staging, root: str, parallel: boo
     return Core(**tables, paths=paths)
 
 
-def _builds(stg: Staging, dim):
-    """Build functions in dependency order; ``dim(name)`` yields a written dimension."""
+def _builds(stg: Staging, dim, known: dict[str, DataFrame]):
+    """Build functions in dependency order; ``dim(name)`` yields a written dimension, ``known`` holds earlier keys."""
     return {
-        "dim_customers": lambda: build_dim_customers(stg),
-        "dim_products": lambda: build_dim_products(stg),
-        "dim_sellers": lambda: build_dim_sellers(stg),
+        "dim_customers": lambda: build_dim_customers(stg, known.get("dim_customers")),
+        "dim_products": lambda: build_dim_products(stg, known.get("dim_products")),
+        "dim_sellers": lambda: build_dim_sellers(stg, known.get("dim_sellers")),
         "fact_payments": lambda: build_fact_payments(stg),
         "fact_reviews": lambda: build_fact_reviews(stg),
         "fact_orders": lambda: build_fact_orders(stg, dim("dim_customers")),
         "fact_order_items": lambda: build_fact_order_items(stg, dim("dim_products"), dim("dim_sellers")),
     }
-
-
-def lazy_core(stg: Staging) -> Core:
-    """The core model as unmaterialised DataFrames (dims are still keyed once)."""
-    dc, dp, ds = build_dim_customers(stg), build_dim_products(stg), build_dim_sellers(stg)
-    return Core(dc, dp, ds, build_fact_orders(stg, dc), build_fact_order_items(stg, dp, ds),
-                build_fact_payments(stg), build_fact_reviews(stg))

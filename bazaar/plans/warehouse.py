@@ -1,6 +1,6 @@
 """One source's layers: staging, core and analytics, each written once.
 
-Core and analytics tables (and staging tables of text sources) are written as
+Core and analytics tables (and staging tables with several readers) are written as
 Parquet under a fresh folder of the shared checkpoint root and read back, so
 every downstream query scans columnar files.  A ``Warehouse`` is memoised per (application, source) so a
 session that runs many queries builds each layer once.
@@ -20,32 +20,48 @@ from bazaar.sources.schemas import STAGING_TABLES
 from bazaar.sources.staging import Staging, staging_from_driver
 
 
-def load_staging(spark: SparkSession, raw: Staging, root: str) -> Staging:
-    """The staging layer of a source.
+class StoredStaging(Staging):
+    """Staging tables kept as Parquet once they have readers enough.
 
-    Columnar sources are read in place, pruned to what a query needs.  A table
-    of a text source is parsed once, when a query first asks for it, and kept
-    as Parquet.
+    A table of a text source is parsed when it is first asked for, and kept.  One that is
+    derived from others is read in place by its first reader, pruned to what that
+    needs, and kept when a second one asks; ``keep`` says at once that there will be several.
     """
-    if raw.columnar:
-        return raw
-
-    def load(name):
-        path = f"{root}/{name}"
-        raw.table(name).write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
 
-    # Each table has its own lock: builds of different tables load side by side.
-    locks = {name: threading.Lock() for name in STAGING_TABLES}
-    loaded: dict[str, DataFrame] = {}
+    def __init__(self, spark: SparkSession, raw: Staging, root: str):
+        super().__init__(self._load)
+        self.spark, self.raw, self.root = spark, raw, root
+        # Each table has its own lock: builds of different tables load side by side.
+        self._locks = {name: threading.Lock() for name in STAGING_TABLES}
+        self._readers = dict.fromkeys(STAGING_TABLES, 0)
+
+    def _load(self, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        self.raw.table(name).write.mode("overwrite").parquet(path)
+        return self.spark.read.parquet(path)
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self._locks:
+            raise KeyError(name)
+        with self._locks[name]:
+            self._readers[name] += 1
+            if self.raw.derived and self._readers[name] == 1:
+                return self.raw.table(name)
+            return super().table(name)
+
+    def keep(self, *names: str) -> None:
+        """These tables (all, if none is named) will be read more than once."""
+        for name in names or STAGING_TABLES:
+            with self._locks[name]:
+                self._readers[name] += 1
+
+    def stored(self, name: str) -> bool:
+        return name in self._cache
 
-    def once(name):
-        with locks[name]:
-            if name not in loaded:
-                loaded[name] = load(name)
-            return loaded[name]
 
-    return Staging(once)
+def load_staging(spark: SparkSession, raw: Staging, root: str) -> Staging:
+    """The staging layer of a source: columnar sources as they are, others kept as Parquet (``StoredStaging``)."""
+    return raw if raw.columnar and not raw.derived else StoredStaging(spark, raw, root)
 
 
 class Warehouse:
@@ -81,10 +97,11 @@ class Warehouse:
         ``{prefix}core`` and ``{prefix}analytics`` (external tables over the
         written files).  Staging tables that were read in place are written first."""
         for name in STAGING_TABLES:
-            if self.raw.columnar or not self._load_raw:
-                self.staging.table(name).write.mode("overwrite").parquet(f"{self.root}/staging/{name}")
-            else:
+            if isinstance(self.staging, StoredStaging):
+                self.staging.keep(name)
                 self.staging.table(name)
+            else:
+                self.staging.table(name).write.mode("overwrite").parquet(f"{self.root}/staging/{name}")
         layers = {"staging": {t: self.staging.table(t) for t in STAGING_TABLES},
                   "core": {t: self.core.table(t) for t in CORE_TABLES},
                   "analytics": {"rfm_customer": self.rfm, "rfm_segment_summary": self.rfm_summary}}
@@ -93,7 +110,7 @@ class Warehouse:
             db = f"{prefix}{layer}"
             self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
             for name in tables:
-                path = f"{self.root}/{layer}/{name}"
+                path = self.core.paths[name] if layer == "core" else f"{self.root}/{layer}/{name}"
                 self.spark.sql(f"DROP TABLE IF EXISTS {db}.{name}")
                 self.spark.catalog.createTable(f"{db}.{name}", path=path, source="parquet")
             out[db] = sorted(tables)

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bazaar.operators.ordering import global_position
+
 # Fixed mapping (one SELECT per staging table).
 MAPPING_SQL: dict[str, str] = {
     "orders": """
@@ -117,28 +119,32 @@ def _source(spark: SparkSession, sf_dir: str, table: str, spread: int | None) ->
 
 # The line number of the order_items mapping, as DuckDB computes it.
 LINE_NUMBER = "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_tax, l_shipdate)"
-# Line numbers of an order that are ordered together.
-LINE_BLOCK = 1000
+# Lines from which an order is hot: its lines are not numbered by one task.
+HOT_LINES = 1_000_000
+_LINE_ORDER = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax", "l_shipdate")
 
 
-def number_lines(lines: DataFrame) -> DataFrame:
+def number_lines(lines: DataFrame, hot_lines: int = HOT_LINES) -> DataFrame:
     """``lines`` with ``line_position``: their rank within the order (LINE_NUMBER's values).
 
-    An order may hold a huge share of all lines, so rows are ranked within
-    blocks of line numbers and follow the counts of the order's earlier blocks.
-    Only orders of several blocks have such counts to join.
+    One shuffle of the lines, by order.  Counts per order (partial sums of the key column
+    alone) name the hot orders, if any; their lines are numbered over sorted ranges, each
+    order's first position taken off, so that a range holds no more than its share,
+    also of lines that share one line number.
     """
-    block = F.floor(F.col("l_linenumber") / LINE_BLOCK)
-    order = [F.col(c).asc_nulls_first() for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax", "l_shipdate")]
-    inside = F.row_number().over(Window.partitionBy("l_orderkey", "_block").orderBy(*order))
-    earlier = F.sum("_n").over(Window.partitionBy("l_orderkey").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
-    blocks = lines.groupBy("l_orderkey", block.alias("_block")).agg(F.count(F.lit(1)).alias("_n"))
-    before = (blocks.withColumn("_before", earlier).where(F.col("_before") > 0)
-              .select(F.col("l_orderkey").alias("_order"), F.col("_block").alias("_of"), "_before"))
-    ranked = lines.withColumn("_block", block).withColumn("_inside", inside)
-    joined = ranked.join(before, (F.col("l_orderkey") == F.col("_order")) & (F.col("_block") == F.col("_of")), "left")
-    return (joined.withColumn("line_position", F.coalesce("_before", F.lit(0)) + F.col("_inside"))
-                  .drop("_block", "_inside", "_order", "_of", "_before"))
+    order = [F.col(c).asc_nulls_first() for c in _LINE_ORDER]
+    numbered = lines.withColumn("line_position", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("bigint"))
+    hot = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_lines).select(F.col("l_orderkey").alias("_hot"))
+    keys = [r["_hot"] for r in hot.collect()]   # an order for each HOT_LINES lines at most
+    if not keys:
+        return numbered
+    of_hot = F.coalesce(F.col("l_orderkey").isin([k for k in keys if k is not None]), F.lit(None in keys))
+    cold = lines.where(~of_hot).withColumn("line_position", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*order)).cast("bigint"))
+    # Equal lines are interchangeable; a number of their own spreads them over the ranges.
+    ranged = global_position(lines.where(of_hot).withColumn("_tie", F.monotonically_increasing_id()), [F.col("l_orderkey").asc_nulls_first(), *order, F.col("_tie")], out="_at")
+    first = ranged.groupBy(F.col("l_orderkey").alias("_order")).agg(F.min("_at").alias("_first"))   # partial minima: a row for each hot order
+    joined = ranged.join(F.broadcast(first), F.col("l_orderkey").eqNullSafe(F.col("_order")))
+    return cold.unionByName(joined.withColumn("line_position", F.col("_at") - F.col("_first") + 1).drop("_tie", "_at", "_order", "_first"))
 
 
 def mapped_staging_table(spark: SparkSession, sf_dir: str, name: str, spread: int | None = None) -> DataFrame:

@@ -51,6 +51,7 @@ class Staging:
 
     loader: Callable[[str], DataFrame]
     columnar: bool = False   # scans prune columns: queries read the source in place
+    derived: bool = False    # tables are computed from others each time that they are read
     _cache: dict = field(default_factory=dict)
     _lock: threading.RLock = field(default_factory=threading.RLock)
 
@@ -87,7 +88,7 @@ def staging_from_driver(spark: SparkSession, sf_dir: str, spread: int | None = N
     ``spread`` deals each table out to so many partitions first: for files of a
     single row group, which one task would read.
     """
-    return Staging(lambda t: mapped_staging_table(spark, sf_dir, t, spread), columnar=True)
+    return Staging(lambda t: mapped_staging_table(spark, sf_dir, t, spread), columnar=True, derived=True)
 
 
 def staging_from_frames(frames: dict[str, DataFrame]) -> Staging:

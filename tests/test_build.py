@@ -2,6 +2,7 @@ import os
 import tempfile
 
 from bazaar.plans.build import build_warehouse
+from bazaar.plans.core import CORE_TABLES, published_tables
 from bazaar.sources.staging import staging_from_driver
 
 from .fixtures import golden_staging
@@ -14,8 +15,9 @@ def test_build_on_fixture_writes_every_layer(spark):
     assert spark.table("gold_core.fact_orders").count() == 8
     assert spark.sql("SELECT COUNT(*) AS n FROM gold_analytics.rfm_customer").first().n == 3
     assert spark.table("gold_staging.orders").count() == 9
-    for layer, names in {"core": ["dim_customers", "fact_orders", "fact_order_items", "fact_reviews"],
-                         "analytics": ["rfm_customer", "rfm_segment_summary"],
+    tables = published_tables(spark, f"{out}/core")
+    assert sorted(tables) == sorted(CORE_TABLES) and all(os.path.isdir(p) for p in tables.values())
+    for layer, names in {"analytics": ["rfm_customer", "rfm_segment_summary"],
                          "reports/staging": ["dq_dup_orders", "dq_unmapped_by_category"]}.items():
         for n in names:
             assert os.path.isdir(f"{out}/{layer}/{n}"), (layer, n)
@@ -63,4 +65,4 @@ def test_close_drops_catalog_metadata_only(spark):
     assert spark.catalog.databaseExists(wh.database)
     wh.close()
     assert not spark.catalog.databaseExists(wh.database)
-    assert spark.read.parquet(f"{wh.root}/core/fact_orders").count() == n
+    assert spark.read.parquet(published_tables(spark, f"{wh.root}/core")["fact_orders"]).count() == n

@@ -100,3 +100,33 @@ def test_rank_desc_matches_window_rank_with_ties_and_nulls(spark):
     want = df.withColumn("w", F.rank().over(Window.orderBy(F.col("revenue").desc_nulls_first())))
     assert got.count() == 1500
     assert got.join(want, "cat").where(F.col("rk") != F.col("w")).count() == 0
+
+
+def test_selection_by_rank_equals_sorting(spark):
+    import random
+
+    from bazaar.operators.ordering import Ordered, select_at
+    r = random.Random(3)
+    rows = [(r.choice([None, 1, 1, 1, 2, r.randint(-5, 900)]), r.choice(["", "a", "ab"]) + f"{i:05x}" if i else None, r.randint(1, 4)) for i in range(900)]
+    df = spark.createDataFrame(rows, "v int, id string, w long").withColumn("v", F.col("v").cast("decimal(10,2)")).cache()
+    ranks = [1, 2, 17, 450, 451, 600, 899, 900]
+    for ascending in (True, False):
+        for nulls_first in (True, False):
+            key = lambda x: ((x[0] is None) != nulls_first, (x[0] or 0) * (1 if ascending else -1), x[1] is None, (x[1] or "").encode())
+            plain = sorted(rows, key=key)
+            order = [Ordered("v", ascending, nulls_first), Ordered("id")]
+            for few, cells in ((10_000, 1024), *([(3, 8)] if ascending != nulls_first else [])):
+                assert [(None if v is None else int(v), i) for v, i in select_at(df, order, ranks, few=few, cells=cells)] == [plain[k - 1][:2] for k in ranks]
+            weighed = [x[0] for x in plain for _ in range(x[2])]
+            got = select_at(df, order[:1], [1, 500, len(weighed)], weight="w", few=3, cells=16)
+            assert [None if v is None else int(v) for (v,) in got] == [weighed[k - 1] for k in (1, 500, len(weighed))]
+
+
+def test_numbering_notices_repeated_and_null_keys(spark):
+    import pytest
+
+    from bazaar.operators.quality import ConstraintViolation
+    assert surrogate_key(spark.createDataFrame([("a",), ("b",)], "k string"), "sk", ["k"], check=True).count() == 2
+    for bad in ([("a",), ("b",), ("a",)], [("a",), (None,)]):
+        with pytest.raises(ConstraintViolation):
+            surrogate_key(spark.createDataFrame(bad, "k string").repartition(3), "sk", ["k"], check=True)

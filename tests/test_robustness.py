@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 from bazaar.operators.ordering import Ordered, global_position, ntile_by_bounds, ntile_bounds, ntile_from_position
 from bazaar.operators.quality import ConstraintViolation
 from bazaar.plans import build
-from bazaar.plans.core import materialize_core
+from bazaar.plans import core
+from bazaar.plans.core import CORE_TABLES, SURROGATE_KEYS, materialize_core, published_tables
 from bazaar.plans.warehouse import Warehouse
 from bazaar.sources.driver_tables import LINE_NUMBER, number_lines
-from bazaar.sources.staging import read_staging, staging_from_files
+from bazaar.sources.staging import Staging, read_staging, staging_from_files
 
 from .fixtures import ITEMS, TABLES, frames, golden_staging
 
@@ -67,8 +68,24 @@ def test_line_numbers_of_a_hot_order(spark):
     rows = [(1, n * 3 % 5000, n % 7, 1, 1.0, 0.1, None) for n in range(5000)] + [(k, n, 1, 1, 1.0, 0.1, None) for k in range(2, 50) for n in range(k % 5)]
     names = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double, l_tax double, l_shipdate date"
     lines = spark.createDataFrame(rows, names)
-    got = number_lines(lines).withColumn("expected", F.expr(LINE_NUMBER))
-    assert got.count() == len(rows) and got.where("line_position <> expected").isEmpty()
+    for hot_lines in (1000, 10**9):
+        got = number_lines(lines, hot_lines).withColumn("expected", F.expr(LINE_NUMBER))
+        assert got.count() == len(rows) and got.where("line_position <> expected").isEmpty()
+
+
+def test_line_numbers_of_a_hot_order_with_one_line_number(spark, many_partitions):
+    """10^5 lines that share their order and number: equal ones too, all in one range if that went by the number."""
+    same = spark.range(100_000).select(F.lit(1).cast("long").alias("l_orderkey"), F.lit(1).cast("long").alias("l_linenumber"), (F.col("id") % 300).alias("l_partkey"), F.lit(1).cast("long").alias("l_suppkey"),
+                                       F.lit(1.0).alias("l_extendedprice"), F.lit(0.1).alias("l_tax"), F.lit(None).cast("date").alias("l_shipdate"))
+    lines = same.unionByName(same.limit(50).withColumn("l_orderkey", F.lit(2).cast("long")))
+    got = number_lines(lines, 1000).where("l_orderkey = 1").groupBy("l_partkey").agg(F.min("line_position").alias("lo"), F.max("line_position").alias("hi"), F.count_distinct("line_position").alias("n"))
+    ends, last = got.orderBy("l_partkey").collect(), 0
+    for r in ends:
+        assert r.lo == last + 1 and r.n == r.hi - r.lo + 1
+        last = r.hi
+    assert last == 100_000
+    hot = number_lines(lines, 1000).where("l_orderkey = 1").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert hot < 50_000
 
 
 def test_summary_counts_all_violations(spark):
@@ -95,7 +112,7 @@ def test_a_bad_batch_never_lands(spark):
     with pytest.raises(ConstraintViolation):
         materialize_core(spark, golden_staging(spark, bad), root)
     for name, rows in before.items():
-        assert sorted(map(str, spark.read.parquet(f"{root}/{name}").drop("created_at").collect())) == rows
+        assert sorted(map(str, spark.read.parquet(published_tables(spark, root)[name]).drop("created_at").collect())) == rows
     again = materialize_core(spark, golden_staging(spark), root)   # and a good one replaces it
     assert again.fact_order_items.count() == len(ITEMS) - 1
 
@@ -128,3 +145,50 @@ def test_segment_averages_of_unrounded_ratios(spark):
     for r in wh.rfm_summary.collect():
         assert r.avg_order_value == pytest.approx(plain[r.rfm_segment].aov, rel=1e-9)
         assert r.avg_ltv_12m_approx == pytest.approx(plain[r.rfm_segment].ltv, rel=1e-9)
+
+
+def test_a_second_load_keeps_surrogate_keys(spark):
+    root = tempfile.mkdtemp(prefix="bazaar-keys-") + "/core"
+    keys = {"dim_customers": "customer_id", "dim_products": "product_id", "dim_sellers": "seller_id"}
+    held = lambda c: {n: {r[k]: r[SURROGATE_KEYS[n]] for r in c.table(n).collect()} for n, k in keys.items()}
+    first = held(materialize_core(spark, golden_staging(spark), root))
+    more = {k: list(v) for k, v in TABLES.items()}
+    gone = more["customers"].pop()
+    more["customers"] += [("a0", "U90", "1", "x", "SP"), ("zz", "U91", "1", "x", "SP")]   # the first sorts before all others
+    second = held(materialize_core(spark, golden_staging(spark, more), root))
+    old = {k: v for k, v in first["dim_customers"].items() if k != gone[0]}
+    n = len(first["dim_customers"])
+    assert second["dim_customers"] == old | {"a0": n + 1, "zz": n + 2} and second["dim_products"] == first["dim_products"]
+    more["customers"] += [gone, ("mm", "U92", "1", "x", "SP")]   # one comes back
+    third = held(materialize_core(spark, golden_staging(spark, more), root))
+    assert third["dim_customers"] == first["dim_customers"] | {"a0": n + 1, "zz": n + 2, "mm": n + 3}
+
+
+def test_a_failed_publication_leaves_the_old_set_whole(spark, monkeypatch):
+    root = tempfile.mkdtemp(prefix="bazaar-crash-") + "/core"
+    materialize_core(spark, golden_staging(spark), root)
+    before = published_tables(spark, root)
+    rows = {n: spark.read.parquet(p).count() for n, p in before.items()}
+
+    def crash(*_):
+        raise OSError("lost the connection")
+
+    monkeypatch.setattr(core, "publish_version", crash)
+    with pytest.raises(OSError):
+        materialize_core(spark, golden_staging(spark), root)
+    assert published_tables(spark, root) == before and rows == {n: spark.read.parquet(p).count() for n, p in before.items()}
+    monkeypatch.undo()
+    after = materialize_core(spark, golden_staging(spark), root).paths
+    assert all(published_tables(spark, root)[n] == after[n] and after[n] != before[n] for n in CORE_TABLES)
+    assert len({p.split("/")[-2] for p in published_tables(spark, root).values()}) == 1
+
+
+def test_derived_staging_is_stored_for_its_second_reader(spark):
+    made = []
+    raw = golden_staging(spark)
+    wh = Warehouse(spark, Staging(lambda t: made.append(t) or raw.table(t), columnar=True, derived=True))
+    assert wh.staging.sellers.count() == 4 and not wh.staging.stored("sellers")
+    assert wh.staging.sellers.count() == 4 and wh.staging.stored("sellers")
+    assert wh.staging.sellers.count() == 4 and os.listdir(f"{wh.root}/staging".removeprefix("file:")) == ["sellers"]
+    wh.staging.keep("orders")
+    assert wh.staging.orders.count() == 9 and wh.staging.stored("orders")
