@@ -152,15 +152,19 @@ def calibrate(model: Model, logits: np.ndarray, label: np.ndarray, target: float
 
 
 def fit(labelled: DataFrame, label: str = "lang", per_label: int = PER_LANGUAGE, target: float = 0.99) -> Model:
-    """Model learned from a bounded sample of the rows with text and a non-null ``label``."""
+    """Model learned from a bounded sample of the rows with text and a non-null ``label``.
+
+    Rows equal in id and text count once, however often they are repeated.
+    """
     labelled = labelled.where(F.col("text").isNotNull() & F.col(label).isNotNull())
-    n = {r[0]: r[1] for r in labelled.groupBy(label).count().collect()}  # one row a language
+    n = {r[0]: r[1] for r in labelled.groupBy(label).agg(F.count_distinct(F.xxhash64("doc_id", "text"))).collect()}  # one row a language
     languages = sorted(n)
     deal = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30))
     share = F.lit(0)
     for name in languages:
         share = F.when(F.col(label) == name, F.lit(min(1.0, per_label / n[name]) * (1 << 30))).otherwise(share)
-    sample = labelled.where(deal < share).select(F.col(label).alias("label"), "text", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)).alias("fold"))
+    sample = (labelled.where(deal < share).select(F.col(label).alias("label"), "text", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(5)).alias("fold"), F.xxhash64("doc_id", "text").alias("_row"))
+              .groupBy("label", "_row", "fold").agg(F.first("text").alias("text")))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -225,8 +225,11 @@ def calibrate(chain: Chain, raw: np.ndarray, label: np.ndarray) -> None:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | None:
-    """Chain learned from about ``sample`` labelled documents (doc_id, quality 0 or 1)."""
-    labels = labels.where(F.col("quality").isin(0, 1)).select("doc_id", "quality")
+    """Chain learned from about ``sample`` labelled documents (doc_id, quality 0 or 1).
+
+    Repeated labels and documents count once.
+    """
+    labels = labels.where(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     n = labels.count()
     if not n:
         return None
@@ -245,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | Non
 
     # Bounded: ``sample`` documents of at most MAX_LINES lines, 24 bytes a line.
     got = sorted(((r["fold"], r["label"], bytes(r["bins"]), bytes(r["size"])) for r in
-                  texts.select(F.xxhash64("doc_id", F.lit(29)).alias("fold"), "text", "quality").mapInArrow(features, "fold long, label int, bins binary, size binary").collect()))
+                  texts.select(F.xxhash64("doc_id", F.lit(29)).alias("fold"), "text", "quality").groupBy("fold", F.xxhash64("text").alias("_text")).agg(F.first("text").alias("text"), F.first("quality").alias("quality")).drop("_text").mapInArrow(features, "fold long, label int, bins binary, size binary").collect()))
     if not got:
         return None
     lines = [(np.frombuffer(r[2], dtype=np.uint8).reshape(-1, N), np.frombuffer(r[3])) for r in got]

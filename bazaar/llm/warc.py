@@ -31,7 +31,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -57,6 +57,11 @@ def _header_value(text: str) -> str:
     return "".join(quote(c) if ord(c) < 33 or ord(c) == 127 else c for c in text)
 
 
+def _id_value(page_id: str) -> str:
+    """A page id as a header value that ``unquote`` gives back whole."""
+    return quote(page_id, safe="!#$&'()*+,/:;=?@[]~")
+
+
 def _record_id(page_id: str | None, digest: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>"
 
@@ -69,11 +74,11 @@ def record(page_id: str | None, url: str | None, payload: bytes, digest: str, re
     if url is not None:
         head.append(("WARC-Target-URI", _header_value(url)))
     if page_id is not None:
-        head.append(("X-Page-Id", _header_value(page_id)))
+        head.append(("X-Page-Id", _id_value(page_id)))
     if revisit:
         head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id(refers_to, digest))]
         if refers_to is not None:
-            head.append(("X-Refers-To-Page-Id", _header_value(refers_to)))
+            head.append(("X-Refers-To-Page-Id", _id_value(refers_to)))
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head).encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
@@ -231,7 +236,8 @@ def read_members(index: DataFrame, payload: bool = False) -> DataFrame:
                 full = head["warc-type"] == "response"
                 if full and digest_text(hashlib.sha1(body).digest()) != digest:
                     raise ValueError(f"payload digest differs in {path} at {offset}")
-                rows.append((head.get("x-page-id"), head.get("warc-target-uri"), head["warc-type"], head.get("x-refers-to-page-id"),
+                page_id, refers_to = (x if x is None else unquote(x) for x in (head.get("x-page-id"), head.get("x-refers-to-page-id")))
+                rows.append((page_id, head.get("warc-target-uri"), head["warc-type"], refers_to,
                              len(body) if full else int(head["x-payload-bytes"]), digest, body if full and payload else None))
             if rows:
                 kinds = [pa.string()] * 4 + [pa.int64(), pa.string(), pa.binary()]

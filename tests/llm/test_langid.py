@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -41,3 +42,30 @@ def test_calibration_rejects():
     L.calibrate(model, logits, label, 0.99)
     p = model.probabilities(logits).max(axis=1)
     assert ((p >= model.threshold) == np.array([True, True, False, False] * 20)).all()
+
+
+def by_hand(model, text):
+    """Mean of the rows' logits over all n-grams of the text, then the softmax."""
+    rows = L.subwords(L.characters(text))
+    z = (model.table[rows].astype(float).mean(axis=0) + model.bias) / model.temperature
+    p = [math.exp(x - max(z)) for x in z]
+    best = max(range(len(p)), key=lambda k: (p[k], -k))
+    return model.languages[best], p[best] / sum(p)
+
+
+def test_prediction_equals_forward_pass_by_hand(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = L.fit(docs.where("doc_id % 3 <> 0"))
+    texts = {r.doc_id: r.text for r in docs.collect() if r.text and len(r.text) < 20_000}
+    got = {r.doc_id: r for r in L.predict(docs, model).collect()}
+    for i, text in texts.items():
+        if L.characters(text).any():
+            name, score = by_hand(model, text)
+            assert got[i].lang_pred == name and abs(got[i].score - score) < 1e-5
+
+
+def test_repeated_rows_count_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    hot = docs.where("doc_id = 1").crossJoin(spark.range(100_000)).drop("id")
+    once, often = L.fit(docs, per_label=40), L.fit(docs.unionByName(hot), per_label=40)
+    assert once.languages == often.languages and np.allclose(once.table, often.table)

@@ -55,3 +55,13 @@ def test_defined_results(frame):
     assert Q.score(frame([]), Q.Chain()).count() == 0
     none = df.select("doc_id").withColumn("quality", df["doc_id"].cast("int")).where("doc_id < 0")
     assert Q.fit(df, none) is None
+
+
+def test_repeated_labels_and_documents_count_once(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    first = labels.first().doc_id
+    hot = spark.range(100_000).drop("id")
+    often = Q.fit(docs.unionByName(docs.where(f"doc_id = {first}").crossJoin(hot)), labels.unionByName(labels.where(f"doc_id = {first}").crossJoin(hot)))
+    once = Q.fit(docs, labels)
+    assert np.allclose(once.slope, often.slope) and np.allclose(once.shift, often.shift)

@@ -56,3 +56,21 @@ def test_no_python_in_the_plan(frame):
     rows = frame([(i, f"text {i % 7}") for i in range(50)])
     plan = S.shard(rows.select("doc_id", "text"), 4)._jdf.queryExecution().toString()
     assert not any(word in plan for word in ("Python", "Arrow", "Pandas", "ExistingRDD"))
+
+
+def test_cut_is_the_weighted_median(frame):
+    from pyspark.sql import functions as F
+    r = random.Random(8)
+    rows = [(i, f"{i} " + "y" * r.randint(0, 300)) for i in range(500)]
+    got = {x.doc_id: x for x in S.shard(frame(rows), 2, {"place": F.pmod(F.col("doc_id") * 37, F.lit(500)).cast("double")}).collect()}
+    place = {i: i * 37 % 500 for i, _ in rows}
+    halves = [[i for i in got if got[i].shard == k] for k in (0, 1)]
+    low, high = sorted(halves, key=lambda half: min(place[i] for i in half))
+    assert max(place[i] for i in low) < min(place[i] for i in high)
+    # No cut between two rows is nearer to half of all bytes by more than a row.
+    left = sum(got[i].size for i in low)
+    total, best, run = sum(x.size for x in got.values()), None, 0
+    for i in sorted(got, key=place.get):
+        run += got[i].size
+        best = min(best, abs(run - total / 2)) if best is not None else abs(run - total / 2)
+    assert abs(left - total / 2) <= best + max(x.size for x in got.values())

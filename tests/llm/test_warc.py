@@ -69,3 +69,12 @@ def test_streams_in_small_chunks():
             out = io.BytesIO()
             got = list(W.normalise_stream(W.inflate(data[i:i + size] for i in range(0, len(data), size)), out.write))
             assert [gzip.decompress(out.getvalue()[a:a + n]) for a, n, _ in got] == records
+
+
+def test_ids_with_spaces_and_controls_come_back(spark):
+    ids = ["a b", " lead", "100%", "%20", "é\n", "x\ty", "plain", ""]
+    pages = spark.createDataFrame([(i, "u", f"<p>{k // 2}</p>") for k, i in enumerate(ids)], "page_id string, url string, html string")
+    folder = shared_folder(spark, "test")
+    got = W.read_members(W.normalise(W.write_monolithic(W.with_revisits(pages), f"{folder}/whole"), f"{folder}/members")).collect()
+    assert sorted(r.page_id for r in got) == sorted(ids)
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {min(ids[k], ids[k + 1]) for k in range(0, len(ids), 2)}
