@@ -19,8 +19,8 @@ bytes, and the suffix array of the whole corpus is dealt out in buckets:
 4. *Buckets.*  For the others the bytes are fetched and the suffixes starting
    in the runs of one bucket are put in suffix order by their bytes (prefix
    doubling); the longer of the matches with the entries at the previous and the next
-   smaller position is the LPF (and with positions counted from the end, the longest
-   match with a later place).
+   smaller position is the LPF.  Where all copies go, the first of them lies beside the
+   others in suffix order.
 5. A bucket of more than ``WIDE`` bytes is not held by one task: its suffixes become
    rows that Spark groups by their fingerprint, which gives the same answer with
    partial aggregation, but no order and no lengths.
@@ -59,8 +59,9 @@ ANCHOR_BYTES = 160
 ANCHOR_WORDS = 20
 #: Most bytes (or words) of the different runs of one bucket that a task puts in suffix order itself.
 WIDE = 4 << 20
-#: Bytes of a document that are fingerprinted at a time, and bytes of buckets ordered at a time.
-CHUNK, BATCH = 1 << 20, 2 << 20
+#: Bytes of a document that are fingerprinted at a time, bytes of runs sent at a time, and bytes of buckets
+#: ordered at a time (few: sorting is quicker while all numbers lie in a processor's cache).
+CHUNK, BATCH, ORDERED = 1 << 20, 2 << 20, 1 << 18
 
 
 # -- numpy core -----------------------------------------------------------------
@@ -293,7 +294,10 @@ def _bucket_spans(min_bytes: int, keep: str, words: bool):
         position = (place[row] << 32) + inside
         repeat = previous_factors(suffixes, order, start, bucket, position) >= min_bytes
         if keep == "none":
-            repeat |= previous_factors(suffixes, order, start, bucket, -position) >= min_bytes
+            # Equal suffixes lie together in suffix order: where one repeats an earlier one, all of them go.
+            with_next = suffixes.common(start[order[:-1]], start[order[1:]]) >= min_bytes
+            group = np.cumsum(np.concatenate([[True], ~with_next | (bucket[order[1:]] != bucket[order[:-1]])])) - 1
+            repeat[order] = np.bincount(group, weights=repeat[order])[group] > 0
             repeat &= t.column("alone").to_numpy()[row]
         hit = np.flatnonzero(repeat)
         if not len(hit):
@@ -306,9 +310,9 @@ def _bucket_spans(min_bytes: int, keep: str, words: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        for batch in (b.slice(i, 2000) for b in batches for i in range(0, len(b), 2000)):
+        for batch in (b.slice(i, 200) for b in batches for i in range(0, len(b), 200)):
             held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held is not None else pa.Table.from_batches([batch])
-            if held.nbytes < BATCH:
+            if held.nbytes < ORDERED:
                 continue
             gram = held.column("gram").to_numpy()
             whole = int(np.flatnonzero(gram != gram[-1])[-1]) + 1 if (gram != gram[-1]).any() else 0
