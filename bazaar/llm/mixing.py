@@ -11,7 +11,7 @@ block by block:
    words; a hot source has more of them, none is larger.
 3. *Quotas.*  Whole passes draw every block once.  The last pass draws the first blocks
    up to the rest of the target (sums over groups of blocks, then over the blocks of one
-   group) and of the next block the documents that still fit.
+   group) and of the next block the documents that bring it nearest to that rest.
 4. *Splitting tree.*  The draws of all sources are dealt out to the shards of the
    output: a node halves its shards and draws the left half's share of each source's
    quota from a multivariate hypergeometric distribution, down to single shards.  Quotas
@@ -28,7 +28,7 @@ however the table is split.
 Defined results: a null text has no words; documents without words are never drawn (they
 add none); a null source is a source, the last one; rows equal in doc_id, source and
 text are units of their own, told apart by number only; a source without words has
-target 0; a document larger than a rest is passed over in the last pass; extra columns
+target 0; a document larger than twice a rest is passed over in the last pass; extra columns
 are passed over, also such named like an output; no rows give no rows.
 """
 
@@ -49,6 +49,8 @@ SHARE, MOST = 1.5, 2
 SHARDS, SEED = 16, 20240117
 #: Words of a block, sources that one task splits, and the most draws that the generator takes at once.
 BLOCK_WORDS, GROUP, MOST_DRAWS = 1 << 16, 4096, 500_000_000
+#: Units of a block drawn in part that are chosen by subset sums.
+LAST = 64
 WORD = r"[^\x20\x09-\x0D]+"
 #: Factors of the passes' orders; each pass takes the first that has no divisor in common with the blocks' number.
 PRIMES = (1_000_003, 998_244_353, 1_000_000_007, 2_147_483_647)
@@ -153,18 +155,51 @@ def _uniform(*cols) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def nearest_fit(sizes: list[int], rest: float, last: int = LAST) -> list[bool]:
+    """Which of some units to take so that their sizes add up to about ``rest``.
+
+    In order, whatever still fits; of the last ones the subset whose sum comes nearest,
+    over or under (reachable sums as the bits of a number, about a million at most).
+    """
+    head, left, fits = max(0, len(sizes) - last), rest, []
+    for size in sizes[:head]:
+        fits.append(size <= left)
+        left -= size if size <= left else 0
+    grain = max(1, int(left) // 1_000_000)
+    tail, most, goal = [round(x / grain) for x in sizes[head:]], int(2 * left / grain) + 1, left / grain
+    reach = [1]
+    for size in tail:
+        reach.append((reach[-1] | reach[-1] << size) & ((1 << most + 1) - 1) if size <= most else reach[-1])
+    bits = bin(reach[-1])[:1:-1]  # the lowest first
+    under, over = bits.rfind("1", 0, int(goal) + 1), bits.find("1", int(goal) + 1)
+    at = over if over >= 0 and over - goal < goal - under else under
+    taken = []
+    for size, before in zip(reversed(tail), reversed(reach[:-1])):
+        taken.append(not before >> at & 1)
+        at -= size if taken[-1] else 0
+    return fits + taken[::-1]
+
+
 def _fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the blocks that are drawn in part, which units still fit, in random order (rows sorted by source and place)."""
-    source, left = None, 0.0
+    """Of the blocks that are drawn in part, which units are taken (rows sorted by source and random order; a block is held)."""
+    held: list[pa.RecordBatch] = []
+
+    def solved() -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        fits = nearest_fit(t.column("size").to_pylist(), t.column("part_rest")[0].as_py())
+        return t.set_column(t.column_names.index("fits"), "fits", pa.array(fits, pa.bool_())).to_batches()[0]
+
     for batch in batches:
-        fits = []
-        for place, size, rest in zip(*(batch.column(c).to_pylist() for c in ("place", "size", "part_rest"))):
-            if place != source:
-                source, left = place, rest
-            fits.append(size <= left)
-            left -= size if size <= left else 0
-        names = batch.schema.names
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names if c != "fits"), pa.array(fits, pa.bool_())], [*(c for c in names if c != "fits"), "fits"])
+        place = batch.column("place").to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(place)) + 1).tolist(), len(place)]
+        for a, b in zip(edges, edges[1:]):
+            if b > a:
+                if held and held[0].column("place")[0].as_py() != int(place[a]):
+                    yield solved()
+                    held = []
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield solved()
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST,
@@ -205,7 +240,7 @@ def mix(docs: DataFrame, shards: int = SHARDS, weights: tuple[int, ...] = WEIGHT
     quotas = sources.join(ends, "place", "left").select("place", "blocks", "passes", F.coalesce("part", F.lit(0)).alias("whole"), F.coalesce("part_rest", F.lit(0.0)).alias("part_rest"))
     quotas = cut(quotas.withColumn("quota", quota).withColumn("group", F.floor((F.col("place") - 1) / GROUP).cast("int")))
 
-    # What each block's units are drawn for; of a block drawn in part, those that fit.
+    # What each block's units are drawn for; of a block drawn in part, those that make up the rest.
     in_part = (F.col("pass") == F.col("passes")) & (F.col("block") == F.col("whole"))
     by_block = draws(quotas, shards, seed).groupBy("place", "block").agg(
         F.collect_list(F.struct("pass", "shard", "draw_order")).alias("draws"), F.max(F.when(in_part, F.col("pass"))).alias("part_pass"), F.max("part_rest").alias("part_rest"))
