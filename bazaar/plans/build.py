@@ -3,8 +3,9 @@
     python -m bazaar.plans.build --out OUT (--csv-dir DIR | --driver-dir DIR)
 
 Writes, under OUT:
-  core/<table>               the seven star-schema tables (Parquet)
-  analytics/<table>          rfm_customer, rfm_segment_summary (Parquet)
+  core/v-*/<table>           the seven star-schema tables (Parquet), a folder for each version
+  analytics/v-*/<table>      rfm_customer, rfm_segment_summary (Parquet), likewise
+  */CURRENT.json             the published version of the layer; ``published_set`` reads both
   reports/staging/<check>    each row-level staging check (duplicates, orphans,
                              distributions, unmapped categories)
   reports/staging/<t>_counts NULL-key and rule-violation counts of table <t>, one scan each
@@ -88,8 +89,8 @@ def build_warehouse(spark: SparkSession, staging: Staging, out: str,
 
     _concurrently(write_check, list(cleaning.staging_report(wh.staging).items()))
 
-    wh.core  # noqa: B018 — writes core/<table>, checks keys
-    wh.rfm_summary  # noqa: B018 — writes analytics/rfm_customer and analytics/rfm_segment_summary
+    wh.core  # noqa: B018 — writes and publishes the core tables, checks keys
+    wh.rfm_summary  # noqa: B018 — writes rfm_customer and rfm_segment_summary and publishes both
 
     def write_report(key):
         PLANS[key](wh).write.mode("overwrite").parquet(f"{out}/reports/{key}")

@@ -137,6 +137,7 @@ class Core:
     fact_payments: DataFrame
     fact_reviews: DataFrame
     paths: dict = field(default_factory=dict)   # table -> written folder
+    version: str = ""
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
@@ -168,20 +169,8 @@ def bucket_count(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def write_table(df: DataFrame, path: str, name: str, with_created_at: bool = True,
-                bucket_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` (+ load timestamp) to a fresh folder, check keys there, then publish it at ``path``.
-
-    If a key rule is broken, ``path`` keeps what it had.
-    """
-    fresh = f"{path}-new-{uuid.uuid4().hex[:12]}"
-    _write_checked(df, fresh, name, with_created_at, bucket_by)
-    publish(df.sparkSession, fresh, path)
-    return df.sparkSession.read.parquet(path).drop("created_at")
-
-
-def _write_checked(df: DataFrame, path: str, name: str, with_created_at: bool = True,
-                   bucket_by: list[str] | None = None, known: bool = False) -> DataFrame:
+def write_checked(df: DataFrame, path: str, name: str, with_created_at: bool = True,
+                  bucket_by: list[str] | None = None, known: bool = False) -> DataFrame:
     """Write a table to a new ``path`` and check its rules; the read-back.
 
     With ``bucket_by`` the files are hash-partitioned and written as buckets
@@ -210,23 +199,6 @@ def _write_checked(df: DataFrame, path: str, name: str, with_created_at: bool =
     return back.drop("created_at")
 
 
-def publish(spark: SparkSession, fresh: str, path: str) -> None:
-    """Put the folder ``fresh`` in the place of ``path`` (a rename; the earlier version goes)."""
-    jvm = spark._jvm
-    source, target = (jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, path))
-    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    fs.mkdirs(target.getParent())
-    old = jvm.org.apache.hadoop.fs.Path(f"{path}-old-{uuid.uuid4().hex[:12]}")
-    replaced = fs.exists(target) and fs.rename(target, old)
-    if not fs.rename(source, target):
-        if replaced:
-            fs.rename(old, target)
-        raise OSError(f"cannot publish {path}")
-    if replaced:
-        fs.delete(old, True)
-    spark.catalog.refreshByPath(path)
-
-
 def _bucketed(spark: SparkSession, database: str, name: str, path: str, sample: DataFrame) -> DataFrame:
     """Catalog entry (metadata only) that tells Spark the buckets of a published table."""
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sample.schema.fields)
@@ -246,34 +218,59 @@ def _manifest(spark: SparkSession, root: str) -> dict | None:
     return json.loads("".join(r.value for r in spark.read.text(f"{root}/{MANIFEST}").collect()))
 
 
+def published_version(spark: SparkSession, root: str) -> tuple[str | None, str | None]:
+    """The published version under ``root`` and the core version that it was computed from, if any."""
+    found = _manifest(spark, root) or {}
+    return found.get("version"), found.get("of")
+
+
 def published_tables(spark: SparkSession, root: str) -> dict[str, str]:
     """Table -> folder of the published version: all of one load, whatever happens to others."""
     found = _manifest(spark, root)
     return {name: f"{root}/{found['version']}/{name}" for name in found["tables"]} if found else {}
 
 
-def publish_version(spark: SparkSession, root: str, version: str, tables: list[str]) -> None:
+def published_set(spark: SparkSession, out: str) -> dict[str, str]:
+    """Table -> folder of the published analytics and of the core version that they were computed from.
+
+    One load throughout, also while a newer core waits for its analytics; the published
+    core alone if there are no analytics yet.
+    """
+    _, of = published_version(spark, f"{out}/analytics")
+    if not of:
+        return published_tables(spark, f"{out}/core")
+    return {name: f"{out}/core/{of}/{name}" for name in CORE_TABLES} | published_tables(spark, f"{out}/analytics")
+
+
+def new_version() -> str:
+    """Name of a new version's folder; names sort by time."""
+    return f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
+def publish_version(spark: SparkSession, root: str, version: str, tables: list[str], of: str | None = None,
+                    keep: tuple[str, ...] = ()) -> None:
     """Make ``root/version`` the published version of all its tables, by one rename of the manifest.
 
-    Readers that opened the version before still find it; older ones go.
+    ``of`` names the core version that the tables were computed from.  Readers that opened
+    the version before still find it, as they do those in ``keep``; older ones go.
     """
     jvm, earlier = spark._jvm, (_manifest(spark, root) or {}).get("version")
     conf = spark._jsparkSession.sessionState().newHadoopConf()
     fresh, current = (jvm.org.apache.hadoop.fs.Path(f"{root}/{n}") for n in (f"manifest-{version}.json", MANIFEST))
     fs = current.getFileSystem(conf)
     out = fs.create(fresh)
-    out.write(bytearray(json.dumps({"version": version, "tables": sorted(tables)}).encode()))
+    out.write(bytearray(json.dumps({"version": version, "tables": sorted(tables)} | ({"of": of} if of else {})).encode()))
     out.close()
     over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
     over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(current).toUri(), conf).rename(fs.makeQualified(fresh), fs.makeQualified(current), over)
     for status in fs.listStatus(current.getParent()):
-        if status.isDirectory() and status.getPath().getName().startswith("v-") and status.getPath().getName() not in (version, earlier):
+        if status.isDirectory() and status.getPath().getName().startswith("v-") and status.getPath().getName() not in (version, earlier, *keep):
             fs.delete(status.getPath(), True)
 
 
 def materialize_core(spark: SparkSession, stg: Staging, root: str, parallel: bool = True,
-                     database: str | None = None) -> Core:
+                     database: str | None = None, keep: tuple[str, ...] = ()) -> Core:
     """Build and write the seven core tables under ``root``; return read-backs.
 
     Every table is submitted as its own concurrent Spark job as soon as its
@@ -283,16 +280,17 @@ def materialize_core(spark: SparkSession, stg: Staging, root: str, parallel: boo
     their rules is the version published (``publish_version``), so a bad batch never lands
     and readers never see tables of two loads.  Surrogate keys of an earlier published
     version stay: rows known from any load before keep theirs, newcomers follow.
+    Of older versions, the one before this and those in ``keep`` stay.
     The bucketed table is registered (external, metadata only) in ``database``.
     """
     database = database or "bazaar_" + uuid.uuid4().hex[:12]
-    version = f"v-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    version = new_version()
     fresh, earlier = f"{root}/{version}", published_tables(spark, root)
     known = {name: spark.read.parquet(earlier.get(f"keys_{name}", earlier[name])).select(*CORE_KEYS[name][0], key)
              for name, key in SURROGATE_KEYS.items() if name in earlier}
 
     def w(name, build):
-        back = _write_checked(build(), f"{fresh}/{name}", name, bucket_by=BUCKETED.get(name), known=name in known)
+        back = write_checked(build(), f"{fresh}/{name}", name, bucket_by=BUCKETED.get(name), known=name in known)
         if name in known:   # all keys that were ever given, also of rows that left
             natural = CORE_KEYS[name][0]
             new = back.select(*natural, SURROGATE_KEYS[name]).join(known[name], natural, "left_anti")
@@ -310,14 +308,14 @@ def materialize_core(spark: SparkSession, stg: Staging, root: str, parallel: boo
                 futures[name] = pool.submit(w, name, build)
             t = {n: futures[n].result() for n in CORE_TABLES}
 
-    publish_version(spark, root, version, [*CORE_TABLES, *(f"keys_{n}" for n in known)])
+    publish_version(spark, root, version, [*CORE_TABLES, *(f"keys_{n}" for n in known)], None, keep)
     paths = {n: f"{fresh}/{n}" for n in CORE_TABLES}
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     tables = {}
     for name, path in paths.items():
         files = spark.read.parquet(path)
         tables[name] = (_bucketed(spark, database, name, path, files) if name in BUCKETED else files).drop("created_at")
-    return Core(**tables, paths=paths)
+    return Core(**tables, paths=paths, version=version)
 
 
 def _builds(stg: Staging, dim, known: dict[str, DataFrame]):

@@ -13,13 +13,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from bazaar.plans.core import CORE_TABLES, Core, materialize_core, write_table
+from bazaar.plans.core import CORE_TABLES, Core, materialize_core, new_version, publish_version, published_version, write_checked
 from bazaar.plans.rfm import rfm_customer, rfm_segment_summary
 from bazaar.session import app_id, apply_semantics, run_folder
 from bazaar.sources.schemas import STAGING_TABLES
 from bazaar.sources.staging import Staging, staging_from_driver
 
 
+ANALYTICS_TABLES = ("rfm_customer", "rfm_segment_summary")
+
+
 class StoredStaging(Staging):
     """Staging tables kept as Parquet once they have readers enough.
 
@@ -76,6 +79,7 @@ class Warehouse:
         self._staging: Staging | None = None
         self._core: Core | None = None
         self._analytics: dict[str, DataFrame] = {}
+        self._analytics_version, self._analytics_published = new_version(), False
         self._lock = threading.RLock()
         # catalog database holding the bucketed core table's metadata
         self.database = "bazaar_" + uuid.uuid4().hex[:12]
@@ -104,13 +108,13 @@ class Warehouse:
                 self.staging.table(name).write.mode("overwrite").parquet(f"{self.root}/staging/{name}")
         layers = {"staging": {t: self.staging.table(t) for t in STAGING_TABLES},
                   "core": {t: self.core.table(t) for t in CORE_TABLES},
-                  "analytics": {"rfm_customer": self.rfm, "rfm_segment_summary": self.rfm_summary}}
+                  "analytics": dict(zip(ANALYTICS_TABLES, (self.rfm, self.rfm_summary)))}
         out = {}
         for layer, tables in layers.items():
             db = f"{prefix}{layer}"
             self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {db}")
             for name in tables:
-                path = self.core.paths[name] if layer == "core" else f"{self.root}/{layer}/{name}"
+                path = {"staging": f"{self.root}/staging/{name}", "analytics": self._analytics_path(name)}.get(layer) or self.core.paths[name]
                 self.spark.sql(f"DROP TABLE IF EXISTS {db}.{name}")
                 self.spark.catalog.createTable(f"{db}.{name}", path=path, source="parquet")
             out[db] = sorted(tables)
@@ -120,15 +124,23 @@ class Warehouse:
     def core(self) -> Core:
         with self._lock:
             if self._core is None:
+                # Analytics of an earlier load keep the core that they were computed from.
+                _, of = published_version(self.spark, f"{self.root}/analytics")
                 self._core = materialize_core(self.spark, self.staging, f"{self.root}/core",
-                                              database=self.database)
+                                              database=self.database, keep=(of,) if of else ())
             return self._core
 
+    def _analytics_path(self, name: str) -> str:
+        return f"{self.root}/analytics/{self._analytics_version}/{name}"
+
     def _analytics_table(self, name: str, build) -> DataFrame:
+        """An analytics table, written to the folder of a version, which is published once it holds all of them."""
         with self._lock:
             if name not in self._analytics:
-                df = build()
-                self._analytics[name] = write_table(df, f"{self.root}/analytics/{name}", name)
+                self._analytics[name] = write_checked(build(), self._analytics_path(name), name)
+            if len(self._analytics) == len(ANALYTICS_TABLES) and not self._analytics_published:
+                publish_version(self.spark, f"{self.root}/analytics", self._analytics_version, list(ANALYTICS_TABLES), self.core.version)
+                self._analytics_published = True
             return self._analytics[name]
 
     @property

@@ -2,7 +2,7 @@ import os
 import tempfile
 
 from bazaar.plans.build import build_warehouse
-from bazaar.plans.core import CORE_TABLES, published_tables
+from bazaar.plans.core import CORE_TABLES, published_set, published_tables
 from bazaar.sources.staging import staging_from_driver
 
 from .fixtures import golden_staging
@@ -17,16 +17,16 @@ def test_build_on_fixture_writes_every_layer(spark):
     assert spark.table("gold_staging.orders").count() == 9
     tables = published_tables(spark, f"{out}/core")
     assert sorted(tables) == sorted(CORE_TABLES) and all(os.path.isdir(p) for p in tables.values())
-    for layer, names in {"analytics": ["rfm_customer", "rfm_segment_summary"],
-                         "reports/staging": ["dq_dup_orders", "dq_unmapped_by_category"]}.items():
-        for n in names:
-            assert os.path.isdir(f"{out}/{layer}/{n}"), (layer, n)
+    both = published_set(spark, out)
+    assert sorted(both) == sorted([*CORE_TABLES, "rfm_customer", "rfm_segment_summary"]) and all(os.path.isdir(p) for p in both.values())
+    for n in ("dq_dup_orders", "dq_unmapped_by_category"):
+        assert os.path.isdir(f"{out}/reports/staging/{n}"), n
     # the fixture holds a negative payment: that test fails, every other one passes
     assert report["t_negative_payments"] == (1, "FAIL")
     assert report["t_revenue_reconciliation"] == (1, "PASS")
     assert report["t_row_counts"] == (7, "PASS")
     assert all(s == "PASS" for t, (_, s) in report.items() if t != "t_negative_payments")
-    rfm = spark.read.parquet(f"{out}/analytics/rfm_customer")
+    rfm = spark.read.parquet(published_set(spark, out)["rfm_customer"])
     assert "created_at" in rfm.columns and rfm.count() == 3
 
 
@@ -51,7 +51,7 @@ def test_build_from_csv_files(spark):
     out = tempfile.mkdtemp(prefix="bazaar-build-")
     report = {r.test: r.status for r in build_warehouse(spark, stg, out).collect()}
     assert report["t_revenue_reconciliation"] == "PASS" and report["t_negative_payments"] == "FAIL"
-    rfm = {r.customer_unique_id: r for r in spark.read.parquet(f"{out}/analytics/rfm_customer").collect()}
+    rfm = {r.customer_unique_id: r for r in spark.read.parquet(published_set(spark, out)["rfm_customer"]).collect()}
     assert sorted(rfm) == ["U1", "U3", "U5"] and str(rfm["U1"].monetary_total) == "33.13"
 
 
