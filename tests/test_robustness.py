@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bazaar.operators.ordering import Ordered, global_position, ntile_by_bounds, ntile_bounds, ntile_from_position
-from bazaar.operators.quality import ConstraintViolation
+from bazaar.operators.quality import ConstraintViolation, assert_keys, key_groups
 from bazaar.plans import build
 from bazaar.plans import core
 from bazaar.plans.core import CORE_TABLES, SURROGATE_KEYS, materialize_core, published_set, published_tables, published_version
@@ -227,3 +227,37 @@ def test_derived_staging_is_stored_for_its_second_reader(spark):
     assert wh.staging.sellers.count() == 4 and os.listdir(f"{wh.root}/staging".removeprefix("file:")) == ["sellers"]
     wh.staging.keep("orders")
     assert wh.staging.orders.count() == 9 and wh.staging.stored("orders")
+
+
+def test_key_check_groups_lines_by_order_and_ships_no_keys(spark):
+    lines = spark.range(600).select(F.concat(F.lit("order "), F.col("id") % 100).alias("order_id"), (1 + F.col("id") / 100).cast("int").alias("item"))
+    _, groups = key_groups(lines, ["order_id", "item"], ["order_id"])
+    assert groups.agg(F.count("*"), F.sum("_n"), F.min(F.col("_n") == F.col("_most"))).first() == (100, 600, True)
+    shuffled = [x for x in groups._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate" in x]
+    assert shuffled and all("order_id" not in x for x in shuffled)   # a hash of fixed width, not the texts
+    assert assert_keys(lines, "lines", ["order_id", "item"], ["order_id", "item"]) is lines
+
+
+@pytest.mark.parametrize("rows, problem", [
+    ([("x", i) for i in range(-130, 200)], None),
+    ([("x", i) for i in range(-130, 200)] + [("x", 64), ("x", -1), ("x", -1)], "2 duplicated"),
+    ([("x", 1), ("y", 1), ("x", 65), ("x", -63)], None),
+    ([("x", None), ("x", 0)], "b: 1 NULL"),
+    ([("x", None), ("x", None), (None, 3), (None, 3)], "a: 2 NULL; b: 2 NULL; 2 duplicated"),
+    ([], None)])
+def test_key_check_is_exact(spark, rows, problem):
+    df = spark.createDataFrame(rows, "a string, b int")
+    if problem is None:
+        assert_keys(df, "t", ["a", "b"], ["a", "b"])
+    else:
+        with pytest.raises(ConstraintViolation, match=problem):
+            assert_keys(df, "t", ["a", "b"], ["a", "b"])
+
+
+def test_key_check_of_one_column_and_of_optional_integers(spark):
+    assert_keys(spark.createDataFrame([("x", None), ("x", 0), ("y", None)], "a string, b bigint"), "t", ["a", "b"], ["a"])
+    assert_keys(spark.createDataFrame([("x", 1), ("y", 1)], "a string, b int"), "t", ["a"], ["b"])
+    with pytest.raises(ConstraintViolation, match="1 duplicated"):
+        assert_keys(spark.createDataFrame([("x", 1), ("y", 1)], "a string, b int"), "t", ["b"])
+    with pytest.raises(ConstraintViolation, match="a: 1 NULL"):
+        assert_keys(spark.createDataFrame([("x", 1), (None, 1)], "a string, b int"), "t", [], ["a"])

@@ -51,7 +51,7 @@ OPERATORS = [
     ("orphan_rows", "bazaar.operators.quality.orphan_rows (+ orphan_count)"),
     ("value_distribution", "bazaar.operators.quality.value_distribution"),
     ("grain_check", "bazaar.operators.quality.grain_check"),
-    ("assert_keys", "bazaar.operators.quality.assert_keys (one job: key_violations)"),
+    ("assert_keys", "bazaar.operators.quality.assert_keys (one job: key_groups)"),
     ("surrogate_key", "bazaar.operators.ordering.surrogate_key (distributed global position)"),
     ("latest_per_key", "bazaar.operators.windows.latest_per_key"),
     ("revenue_per_order", "bazaar.plans.metrics.revenue_per_order"),
