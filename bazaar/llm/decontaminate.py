@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import NEAR, SHINGLE_WORDS, by_bytes, mix64, shingle_batch, shingle_hashes, table
+from bazaar.llm.common import NEAR, SHINGLE_WORDS, by_bytes, mix64, released, shingle_batch, shingle_hashes, table
 
 MISS = 1e-6
 BLOCK_BYTES = 8 << 20
@@ -180,7 +180,7 @@ def find_items(docs: DataFrame, items: DataFrame, threshold: float = NEAR, block
                     yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row)), pa.array([ids[i] for i in item]), pa.array(n), pa.array(found), pa.array(found / n)],
                                                      ["doc_id", "item_id", "n_shingles", "n_found", "containment"])
 
-        return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, n_shingles long, n_found long, containment double")
+        return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {doc_kind}, item_id {item_kind}, n_shingles long, n_found long, containment double")
 
     return reduce(DataFrame.unionByName, map(one, _blocks(items, threshold, block_bytes)))
 
@@ -196,7 +196,7 @@ def without_items(docs: DataFrame, items: DataFrame, threshold: float = NEAR, bl
                 clean[[hit[0] for hit in search(batch.column("text").to_pylist(), sent.value, threshold)]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(released(run), docs.schema)
     return docs
 
 

@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import NEAR, cut, mix64, shingle_hashes, table
+from bazaar.llm.common import NEAR, cut, mix64, released, shingle_hashes, table
 
 TREES, DEPTH, RECALL = 20, 8, 0.9995
 TILE, TILE_BYTES = 1000, 8 << 20
@@ -301,7 +301,7 @@ def _signed(named: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(signs, pa.binary())], [*names, "sign"])
 
     kind = named.schema["doc_id"].dataType.simpleString()
-    signed = named.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(sign, f"doc_id {kind}, text_id long, guard long, n_bytes long, sign binary")
+    signed = named.withColumn("n_bytes", F.octet_length("text").cast("long")).mapInArrow(released(sign), f"doc_id {kind}, text_id long, guard long, n_bytes long, sign binary")
     return cut(signed.groupBy("text_id", "guard").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_copies"), F.max("n_bytes").alias("n_bytes"), F.first("sign").alias("sign")))
 
 
@@ -333,10 +333,10 @@ def _verified(named: DataFrame, texts: DataFrame, work: DataFrame, depth: int, t
     more = ["class"] if "class" in work.columns else []
     kinds = "tree int, key long, i int, j int, tile int, text_id long, sign binary" + ", class long" * len(more)
     with_sign = work.join(texts.select("text_id", "sign"), "text_id").select(*_UNIT, "tile", "text_id", "sign", *more)
-    wanted = cut(with_sign.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(_wanted(depth, threshold), kinds))
+    wanted = cut(with_sign.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(released(_wanted(depth, threshold)), kinds))
     places = wanted.groupBy("text_id").agg(F.collect_list(F.struct(*_UNIT, "tile", "sign", *more)).alias("at"))
     bodies = _fetched(named, texts, places)
-    return cut(bodies.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(_links(depth, threshold), "text_id long, links long, root long"))
+    return cut(bodies.repartition(*_UNIT).sortWithinPartitions(*_UNIT).mapInArrow(released(_links(depth, threshold)), "text_id long, links long, root long"))
 
 
 def _named(docs: DataFrame) -> DataFrame:
@@ -373,7 +373,7 @@ def _stars(named: DataFrame, texts: DataFrame, threshold: float, chunk: int) ->
     lead = heads.select(F.col("head").alias("text_id"), "head", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
     places = follow.unionByName(lead).groupBy("text_id").agg(F.collect_list(F.struct("head", "chunk")).alias("at"))
     bodies = _fetched(named, texts, places).repartition("head", "chunk").sortWithinPartitions("head", "chunk", F.col("text_id") != F.col("head"))
-    return cut(bodies.select("head", "text_id", "text").mapInArrow(_followers(threshold), "text_id long, head long"))
+    return cut(bodies.select("head", "text_id", "text").mapInArrow(released(_followers(threshold)), "text_id long, head long"))
 
 
 def text_roots(docs: DataFrame, threshold: float = NEAR, recall: float = RECALL, chunk: int = CHUNK) -> DataFrame:

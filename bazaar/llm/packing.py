@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaar.llm.common import cut, table
+from bazaar.llm.common import cut, released, table
 
 CAPACITY = 2048
 #: Pretokens whose ids a worker remembers at a time.
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), *cols], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
 
 
 # -- best-fit decreasing over the histogram -------------------------------------------
@@ -226,7 +226,7 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(bin_), pa.array(offset)], [*keep, "sequence_id", "offset"])
 
     out = T.StructType([*items.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(place, out)
+    return ranked.mapInArrow(released(place), out)
 
 
 def tokenizer_path() -> str:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaar.llm.common import Rolling, crc32_of_id, mix64, table, word_bounds
+from bazaar.llm.common import Rolling, crc32_of_id, mix64, released, table, word_bounds
 
 SAMPLE, MAX_LINES, THRESHOLD = 6000, 400, 0.3
 LINE_BYTES = 1 << 20
@@ -248,7 +248,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain | Non
 
     # Bounded: ``sample`` documents of at most MAX_LINES lines, 24 bytes a line.
     got = sorted(((r["fold"], r["label"], bytes(r["bins"]), bytes(r["size"])) for r in
-                  texts.select(F.xxhash64("doc_id", F.lit(29)).alias("fold"), "text", "quality").groupBy("fold", F.xxhash64("text").alias("_text")).agg(F.first("text").alias("text"), F.first("quality").alias("quality")).drop("_text").mapInArrow(features, "fold long, label int, bins binary, size binary").collect()))
+                  texts.select(F.xxhash64("doc_id", F.lit(29)).alias("fold"), "text", "quality").groupBy("fold", F.xxhash64("text").alias("_text")).agg(F.first("text").alias("text"), F.first("quality").alias("quality")).drop("_text").mapInArrow(released(features), "fold long, label int, bins binary, size binary").collect()))
     if not got:
         return None
     lines = [(np.frombuffer(r[2], dtype=np.uint8).reshape(-1, N), np.frombuffer(r[3])) for r in got]
@@ -284,7 +284,7 @@ def score(docs: DataFrame, chain: Chain | None, extra: bool = False) -> DataFram
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(p)], [*keep, "score"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return docs.mapInArrow(released(run), f"{fields}, score double")
 
 
 def op7_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,7 +52,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bazaar.llm.common import Rolling, cut, mix64, row_key, table, word_bounds, word_hashes
+from bazaar.llm.common import Rolling, cut, mix64, released, row_key, table, word_bounds, word_hashes
 
 MIN_BYTES = 400
 ANCHOR_BYTES = 160
@@ -408,7 +408,7 @@ def repeat_spans(keyed: DataFrame, min_bytes: int, keep: str, anchor_bytes: int,
     rows = f"gram long, whole long, {key}, occurs int, at binary"
     least = 2 * min_bytes - 1 if words else min_bytes  # bytes
     runs = (keyed.where(F.octet_length("text") >= least).select("doc_id", "text", "_hd", "_ht")
-            .mapInArrow(_anchor_rows(min_bytes, anchor_bytes, words), rows))
+            .mapInArrow(released(_anchor_rows(min_bytes, anchor_bytes, words)), rows))
 
     # Anchors that occur more than once; the rest of the corpus needs no further look.
     # Stored, so that the join's two sides are plain shuffles and Spark can split a hot anchor.
@@ -424,7 +424,7 @@ def repeat_spans(keyed: DataFrame, min_bytes: int, keep: str, anchor_bytes: int,
     judged = runs.join(equal.select("gram", "whole", "n", "top"), ["gram", "whole"])
     is_top = (F.col("_hd") == F.col("top._hd")) & (F.col("_ht") == F.col("top._ht"))
     skip = F.when(is_top, F.col("top._first")).otherwise(-1) if keep == "first" else F.lit(-1)
-    spans = judged.where("n > 1").select("_hd", "_ht", "occurs", "at", skip.alias("skip")).mapInArrow(_run_spans(min_bytes), _SPANS)
+    spans = judged.where("n > 1").select("_hd", "_ht", "occurs", "at", skip.alias("skip")).mapInArrow(released(_run_spans(min_bytes)), _SPANS)
 
     # One of each set of equal runs, where a bucket holds different ones.
     singles = equal.where("mixed").select("gram", (F.col("n") == 1).alias("alone"), "top.*")
@@ -438,14 +438,14 @@ def repeat_spans(keyed: DataFrame, min_bytes: int, keep: str, anchor_bytes: int,
         some = singles.join(breadth.where(condition), "gram")
         wanted = (some.groupBy("_hd", "_ht").agg(F.collect_list(F.struct("gram", "alone", F.col("_first").alias("first"), F.col("_windows").alias("windows"), F.col("_place").alias("place"))).alias("wanted")))
         texts = keyed.select("doc_id", "text", "_hd", "_ht")
-        return texts.join(wanted, ["_hd", "_ht"]).mapInArrow(_run_bytes(min_bytes, words), runs_type)
+        return texts.join(wanted, ["_hd", "_ht"]).mapInArrow(released(_run_bytes(min_bytes, words)), runs_type)
 
     narrow = (with_bytes(f"breadth <= {int(wide)}").repartition(F.col("gram")).sortWithinPartitions("gram", "doc_id", "_ht", "first")
-              .mapInArrow(_bucket_spans(min_bytes, keep, words), _SPANS))
+              .mapInArrow(released(_bucket_spans(min_bytes, keep, words)), _SPANS))
     spans = spans.unionByName(narrow)
     if not breadth.where(f"breadth > {int(wide)}").isEmpty():
         windows_type = f"gram long, name long, {key}, start int, alone boolean"
-        each = with_bytes(f"breadth > {int(wide)}").mapInArrow(_window_rows(min_bytes, words), windows_type)
+        each = with_bytes(f"breadth > {int(wide)}").mapInArrow(released(_window_rows(min_bytes, words)), windows_type)
         same = each.groupBy("gram", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "_ht", "start", "_hd")).alias("top")).where("n > 1")
         gone = F.col("alone") if keep == "none" else ~((F.col("_hd") == F.col("top._hd")) & (F.col("_ht") == F.col("top._ht")) & (F.col("start") == F.col("top.start")))
         hits = each.join(same, ["gram", "name"]).where(gone).select("_hd", "_ht", "start")
@@ -477,7 +477,7 @@ def remove_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, keep: str = "fir
     joined = keyed.join(per_doc, ["_hd", "_ht"], "left").drop("_hd", "_ht")
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     out = T.StructType(docs.schema.fields + [T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())])
-    return joined.mapInArrow(_merged, out)
+    return joined.mapInArrow(released(_merged), out)
 
 
 def _cut_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -513,7 +513,7 @@ def cut_repeats(docs: DataFrame, min_bytes: int = MIN_BYTES, anchor_bytes: int =
     others = F.struct(*[c for c in docs.columns if c != "text"]).alias("_others")
     narrow = docs.select("doc_id", "text", others)
     done = remove_repeats(narrow, min_bytes, "first", anchor_bytes, min_words=min_words, anchor_words=anchor_words).select("doc_id", "text", "_others", "spans")
-    done = done.mapInArrow(_cut_text, narrow.schema).select(*("text" if c == "text" else F.col("_others").getField(c).alias(c) for c in docs.columns))
+    done = done.mapInArrow(released(_cut_text), narrow.schema).select(*("text" if c == "text" else F.col("_others").getField(c).alias(c) for c in docs.columns))
     return done.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 

@@ -55,3 +55,28 @@ def test_batches_equal_single_texts():
                         one = one[:0]
                     assert (got[starts[k]:starts[k + 1]] == one).all() and starts[k + 1] - starts[k] == len(one)
     assert [x for a, b in C.by_bytes(cells, 100) for x in range(a, b)] == list(range(len(cells)))
+
+
+def test_workers_give_back_what_a_task_has_freed(spark):
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            hold = [bytes(60_000) for _ in range(2000)] + [b"x"]   # 120 MB under malloc's mmap threshold
+            C.Rolling(np.zeros(1 << 18, dtype=np.uint8))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(hold)] * len(batch), pa.int64())], ["id", "n"])
+
+    def anonymous():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(line.split()[1]) for line in f if line.startswith("Pss_Anon"))
+
+    rows = pa.record_batch({"id": [1, 2]})
+    before = anonymous()
+    assert [b.to_pydict() for b in C.released(run)(iter([rows, rows]))] == [{"id": [1, 2], "n": [2001, 2001]}] * 2
+    assert len(C.Rolling._pow) == len(C.Rolling._inv) == C.Rolling.KEPT and anonymous() - before < 30_000
+    part = C.released(run)(iter([rows, rows]))
+    next(part)
+    part.close()   # a reader that wants no more
+    assert len(C.Rolling._pow) == C.Rolling.KEPT
+    assert (C.Rolling(np.arange(100_000, dtype=np.uint64)).all(9)[:5] == C.Rolling(np.arange(20, dtype=np.uint64)).all(9)[:5]).all()
+    assert sorted(map(tuple, spark.range(3).mapInArrow(C.released(run), "id long, n long").collect())) == [(0, 2001), (1, 2001), (2, 2001)]
