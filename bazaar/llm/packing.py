@@ -25,9 +25,10 @@ columns and replaces those named like an output.  No rows give no rows.
 from __future__ import annotations
 
 import itertools
-import unicodedata
+import re
+import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,10 +44,35 @@ CAPACITY = 2048
 REMEMBERED = 400_000
 # The splitting pattern of the tokenizer file's pre-tokenizer.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Latin letters, common punctuation and plain white space: normalised, lowered and split alike
+#: here and in the tokenizer (NFC leaves each of them as it is).
+PLAIN = r"\t\n\r\x20-\x7e\xa1-įı-ɏ‐-‧€"
 
 
 # -- tokens -------------------------------------------------------------------------
 
+class Remembered(dict):
+    """Word -> ids; those of a new word are computed when they are first asked for."""
+
+    def __init__(self, compute: Callable[[str], bytes]):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, word: str) -> bytes:
+        got = self[word] = self.compute(word)
+        return got
+
+
+def plain_split() -> Callable[[str], list[str]]:
+    """``PRETOKEN``'s matches in a lowered text of plain characters: its classes spelt out, which ``re`` searches faster."""
+    plain = re.compile(f"[{PLAIN}]").match
+    low = sorted({x for c in map(chr, range(0x2100)) if plain(c) for x in c.lower()})
+    pattern = PRETOKEN
+    for name in (r"\p{L}", r"\p{N}", r"\s"):
+        pattern = pattern.replace(name, "".join(c for c in low if regex.match(name, c)))
+    return re.compile(pattern).findall
+
+
 class Encoder:
     """Ids of texts under a word-BPE file, with the ids of repeated words remembered.
 
@@ -63,11 +89,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.split = regex.compile(PRETOKEN).findall
+        self.known = Remembered(self.word_ids)
+        self.split = plain_split()
         special = "|".join(regex.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
-        # Latin letters, common punctuation and plain white space behave alike here and in the tokenizer.
-        self.plain = regex.compile(r"[\t\n\r\x20-\x7e\xa1-įı-ɏ‐-‧€]*").fullmatch
+        self.odd = re.compile(f"[^{PLAIN}]").search
         self.special = regex.compile(special).search if special else lambda _: None
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = lambda word: level.pre_tokenize_str(word)[0][0] if not word.isascii() else word
@@ -78,25 +103,31 @@ class Encoder:
             cls._by_path[path] = cls(path)
         return cls._by_path[path]
 
+    def word_ids(self, word: str) -> bytes:
+        """Ids of a pretoken, by the file's BPE model."""
+        ids = [t.id for t in self.model.tokenize(self.as_bytes(word))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def ids(self, text: str | None) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
-        if not self.plain(text) or self.special(text):
+        if self.odd(text) or self.special(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        known, out = self.known, []
-        for word in self.split(unicodedata.normalize("NFC", text).lower()):
-            got = known.get(word)
-            if got is None:
-                got = known[word] = np.array([t.id for t in self.model.tokenize(self.as_bytes(word))], dtype="<u4").tobytes()
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.known.__getitem__, self.split(text.lower())))
+
 
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = True) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, ids) of each document's ids and the end id, cut at the capacity.
+
+    Without ``with_ids`` the ids themselves stay in the tasks.
+    """
+    kinds = {"piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64(), "ids": pa.binary()}
+    if not with_ids:
+        del kinds["ids"]
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, ids) of each document's ids and the end id, cut at the capacity."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = Encoder.of(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
@@ -108,13 +139,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cell = ids[at:at + 4 * capacity]
                         row.append(j)
-                        rest.append((k, at // 4, len(cell) // 4, zlib.crc32(cell), cell))
-                cols = [pa.array(x, k) for x, k in zip(zip(*rest), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+                        rest.append((k, at // 4, len(cell) // 4, zlib.crc32(cell), cell)[:len(kinds)])
+                cols = [pa.array(x, k) for x, k in zip(zip(*rest), kinds.values())]
                 if row:
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), *cols], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), *cols], ["doc_id", *kinds])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, ids binary")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 # -- best-fit decreasing over the histogram -------------------------------------------
@@ -237,7 +268,7 @@ def tokenizer_path() -> str:
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(pieces(docs, tokenizer or tokenizer_path(), capacity).drop("ids"), capacity)
+    return pack(pieces(docs, tokenizer or tokenizer_path(), capacity, with_ids=False), capacity)
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 import collections
 import random
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
+import regex
 
 from bazaar.llm import packing as P
 
@@ -44,6 +46,30 @@ def test_ids_equal_the_tokenizer(spark):
         assert e.ids(t) == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), t
 
 
+def test_plain_texts_split_as_the_pattern_says():
+    e = P.Encoder.of(P.tokenizer_path())
+    plain = [c for c in map(chr, range(0x110000)) if not e.odd(c)]
+    assert len(plain) == 553 and all(unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c) for c in plain)
+    r = random.Random(5)
+    texts = ["".join(plain), "".join(a + b for a in plain for b in "a1 .'é")] + ["".join(r.choice(plain + list("'strevmld \n") * 40) for _ in range(60)) for _ in range(400)]
+    for t in texts:
+        assert P.plain_split()(t.lower()) == regex.findall(P.PRETOKEN, t.lower()), t
+        assert e.ids(t) == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), t
+
+
+def test_remembered_words_are_computed_once():
+    calls = []
+    known = P.Remembered(lambda w: calls.append(w) or w.encode())
+    assert b"".join(map(known.__getitem__, ["a", "b", "a"])) == b"aba" and calls == ["a", "b"]
+
+
+def test_ids_stay_in_the_tasks_of_packing(frame):
+    df = frame([(1, "some words " * 40), (2, None), (3, "x")])
+    with_ids, without = (P.pieces(df, P.tokenizer_path(), 32, with_ids=x) for x in (True, False))
+    assert without.columns == [c for c in with_ids.columns if c != "ids"]
+    assert sorted(without.collect()) == sorted(with_ids.drop("ids").collect())
+
+
 def test_pieces_round_trip_and_gapless(frame):
     rows = [(i, " ".join(f"word{(i * 7 + k) % 13} the," for k in range(i * 3 % 40))) for i in range(60)] + [(60, None), (61, ""), (61, ""), (None, "x")]
     df, e = frame(rows, clash=True), P.Encoder.of(P.tokenizer_path())
