@@ -16,6 +16,7 @@ from bazaar.plans import build
 from bazaar.plans import core
 from bazaar.plans.core import CORE_TABLES, SURROGATE_KEYS, materialize_core, published_set, published_tables, published_version
 from bazaar.plans.warehouse import Warehouse
+from bazaar.sources import driver_tables
 from bazaar.sources.driver_tables import LINE_NUMBER, number_lines
 from bazaar.sources.staging import Staging, read_staging, staging_from_files
 
@@ -73,6 +74,20 @@ def test_line_numbers_of_a_hot_order(spark):
         assert got.count() == len(rows) and got.where("line_position <> expected").isEmpty()
 
 
+def test_lines_are_counted_by_cells_and_dealt_into_tasks_as_they_grow(spark, monkeypatch):
+    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = [(None if k == 7 else k, n * 3 % 5, n % 7, 1, 1.0, 0.1, None) for k in range(40) for n in range(k % 9 + 1)] + [(3, 9, n, 1, 1.0, 0.1, None) for n in range(200)]
+    names = "l_orderkey long, l_linenumber long, l_partkey long, l_suppkey long, l_extendedprice double, l_tax double, l_shipdate date"
+    lines = spark.createDataFrame(rows, names)
+    monkeypatch.setattr(driver_tables, "LINE_CELLS", 2)   # cells are full although few of their orders are hot
+    for hot_lines in (100, 210, 10**9):
+        got = number_lines(lines, hot_lines, 1).withColumn("expected", F.expr(LINE_NUMBER))
+        assert got.count() == len(rows) and got.where("line_position <> expected").isEmpty()
+    few, many = (number_lines(lines, task_lines=n)._jdf.queryExecution().executedPlan().toString() for n in (10**9, 1))
+    assert few.count("Exchange hashpartitioning(l_orderkey") == many.count("Exchange") == 1
+    assert len(rows) > shuffles and f", {len(rows)})" in many and f", {len(rows)})" not in few   # one shuffle, as many tasks as asked for
+
+
 def test_line_numbers_of_a_hot_order_with_one_line_number(spark, many_partitions):
     """10^5 lines that share their order and number: equal ones too, all in one range if that went by the number."""
     same = spark.range(100_000).select(F.lit(1).cast("long").alias("l_orderkey"), F.lit(1).cast("long").alias("l_linenumber"), (F.col("id") % 300).alias("l_partkey"), F.lit(1).cast("long").alias("l_suppkey"),
