@@ -15,6 +15,7 @@ from bazaar.operators.quality import ConstraintViolation, assert_keys, key_group
 from bazaar.plans import build
 from bazaar.plans import core
 from bazaar.plans.core import CORE_TABLES, SURROGATE_KEYS, materialize_core, published_set, published_tables, published_version
+from bazaar.plans.catalog import PLANS
 from bazaar.plans.warehouse import Warehouse
 from bazaar.sources import driver_tables
 from bazaar.sources.driver_tables import LINE_NUMBER, number_lines
@@ -88,6 +89,17 @@ def test_lines_are_counted_by_cells_and_dealt_into_tasks_as_they_grow(spark, mon
     assert len(rows) > shuffles and f", {len(rows)})" in many and f", {len(rows)})" not in few   # one shuffle, as many tasks as asked for
 
 
+def test_order_items_are_numbered_once_for_the_core_and_their_query(spark):
+    raw = golden_staging(spark)
+    wh = Warehouse(spark, Staging(raw.table, columnar=True, derived=True))
+    got = PLANS["fact_order_items"](wh)
+    assert any("/staging/order_items/" in f for f in got.inputFiles())
+    assert sorted(got.collect(), key=str) == sorted(wh.core.fact_order_items.collect(), key=str)
+    other = Warehouse(spark, Staging(raw.table, columnar=True, derived=True))
+    other.core   # noqa: B018 — the core alone reads the lines in place
+    assert not other.staging.stored("order_items")
+
+
 def test_line_numbers_of_a_hot_order_with_one_line_number(spark, many_partitions):
     """10^5 lines that share their order and number: equal ones too, all in one range if that went by the number."""
     same = spark.range(100_000).select(F.lit(1).cast("long").alias("l_orderkey"), F.lit(1).cast("long").alias("l_linenumber"), (F.col("id") % 300).alias("l_partkey"), F.lit(1).cast("long").alias("l_suppkey"),
